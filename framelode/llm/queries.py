@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelode.llm import matroska, pii, secrets, sharding, simhash, urls
+from framelode.llm import matroska, mixing, pii, secrets, sharding, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op5_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_matroska_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_gray": op3_simhash_gray,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_secret_guess_cost": op5_secret_guess_cost,
+    "op6_pivotal_mix": op6_pivotal_mix,
+    "op7_toxicity_channel": op7_toxicity_channel,
     "op8_matroska_columns": op8_matroska_columns,
     "op9_url_ngram_filter": op9_url_ngram_filter,
 }
