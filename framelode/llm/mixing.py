@@ -111,6 +111,22 @@ def settle(size: np.ndarray, copies: float, group: int, leaf: int) -> tuple[np.n
     return done + whole, held, float(p[held]) if held >= 0 else 0.0
 
 
+def combiner(depth: int, last: bool):
+    def combine(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("leaf", ignore_index=True)
+        p = pdf["p"].to_numpy(copy=True)
+        salt = int(key[0]), int(key[1]), depth
+        up, held = pivot(pdf["size"].to_numpy(), p, salt)
+        pdf["up"], pdf["p"] = up, p
+        pdf["open"] = np.arange(len(pdf)) == held
+        if last and held >= 0:
+            pdf.loc[held, "up"] = int(chance(*salt, -1) < p[held])
+            pdf["open"] = False
+        return pdf[["group", "leaf", "size", "p", "node", "up", "open"]]
+
+    return combine
+
+
 def rests(leaves: DataFrame) -> DataFrame:
     """``group, leaf, up``: for the row that each leaf has left, whether it is rounded up. Input: group, leaf, size, p."""
     level, done = leaves.withColumn("node", F.col("leaf")), None
@@ -122,18 +138,7 @@ def rests(leaves: DataFrame) -> DataFrame:
         if top is None:
             break
 
-        def combine(key, pdf: pd.DataFrame, depth: int = depth, last: bool = top == 0) -> pd.DataFrame:
-            pdf = pdf.sort_values("leaf", ignore_index=True)
-            p = pdf["p"].to_numpy(copy=True)
-            up, held = pivot(pdf["size"].to_numpy(), p, (int(key[0]), int(key[1]), depth))
-            pdf["up"], pdf["p"] = up, p
-            pdf["open"] = np.arange(len(pdf)) == held
-            if last and held >= 0:
-                pdf.loc[held, "up"] = int(chance(int(key[0]), depth, 2) < p[held])
-                pdf["open"] = False
-            return pdf[["group", "leaf", "size", "p", "node", "up", "open"]]
-
-        out = written(level.groupBy("group", "node").applyInPandas(combine, "group long, leaf long, size long, p double, node long, up long, open boolean"), "mix-rests")
+        out = written(level.groupBy("group", "node").applyInPandas(combiner(depth, top == 0), "group long, leaf long, size long, p double, node long, up long, open boolean"), "mix-rests")
         settled = out.filter(~F.col("open")).select("group", "leaf", "up")
         done = settled if done is None else done.union(settled)
         if top == 0:
