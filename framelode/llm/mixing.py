@@ -209,9 +209,7 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     taken = rounded(rows, emit, "ident long, copies long").groupBy("ident").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     # equal rows share what they take: the whole part each, and the rest to as many of them (told apart by a running number)
-    found = wide.select("row", "ident").join(taken, "ident")
-    alone = found.filter("rows = 1").withColumn("of_row", F.col("copies"))
     number = F.row_number().over(Window.partitionBy("ident").orderBy("ident"))
-    several = found.filter("rows > 1").withColumn("of_row", F.floor(F.col("copies") / F.col("rows")) + (number <= F.col("copies") % F.col("rows")).cast("long"))
-    both = alone.select("row", "of_row").union(several.select("row", "of_row"))
-    return both.filter("of_row > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "of_row")).alias("copy")).select("row.*")
+    found = wide.select("row", "ident").join(taken, "ident").withColumn("number", number)
+    shared = found.select("row", (F.floor(F.col("copies") / F.col("rows")) + (F.col("number") <= F.col("copies") % F.col("rows")).cast("long")).alias("of_row"))
+    return shared.filter("of_row > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "of_row")).alias("copy")).select("row.*")

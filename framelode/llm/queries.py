@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelode.llm import matroska, mixing, pii, secrets, sharding, simhash, toxicity, urls
+from framelode.llm import decontamination, matroska, mixing, pii, secrets, sharding, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op9_url_ngram_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_anchors": op2_pii_anchors,
     "op3_simhash_gray": op3_simhash_gray,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity_channel": op7_toxicity_channel,
     "op8_matroska_columns": op8_matroska_columns,
     "op9_url_ngram_filter": op9_url_ngram_filter,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
 
 #: DuckDB SQL by query, where SQL can express the operator.
