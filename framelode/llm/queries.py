@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelode.llm import decontamination, matroska, mixing, pii, secrets, sharding, simhash, toxicity, urls
+from framelode.llm import decontamination, lm_scoring, matroska, mixing, pii, secrets, sharding, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ce_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), labels.filter("quality = 1"))
+
+
 def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ce_difference": op1_ce_difference,
     "op2_pii_anchors": op2_pii_anchors,
     "op3_simhash_gray": op3_simhash_gray,
     "op4_feistel_shards": op4_feistel_shards,
