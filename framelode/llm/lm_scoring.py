@@ -75,8 +75,9 @@ def chunked(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 def gram_counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``cell, target, background``: occurrences of each 4-gram in target documents and in all documents.
 
-    ``target`` has the ids of target documents (nulls and repeats do no harm). Each id's documents count."""
-    ids = target.select(target[id_col].alias("t_id")).filter("t_id IS NOT NULL").distinct()
+    ``target`` has the ids of target documents (nulls and repeats do no harm). Each id's documents count. Ids grow with
+    the corpus, so they are never broadcast: documents and ids meet by one shuffle on the id, at every size."""
+    ids = target.select(target[id_col].alias("t_id")).filter("t_id IS NOT NULL").distinct().hint("merge")
     flagged = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(ids, F.col("id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().alias("in_target"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
