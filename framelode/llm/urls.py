@@ -60,11 +60,13 @@ def slots(h: Column, p: Column) -> Column:
     def grams(s: Column, mark: str) -> Column:
         marked = F.concat(F.lit(mark), s, F.lit("$"))
         n = F.length(marked)
-        each = [
-            F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.pmod(F.xxhash64(F.substring(marked, i, F.lit(k))), F.lit(SLOTS)).cast("int"))).otherwise(F.array().cast("array<int>"))
-            for k in (3, 4, 5)
-        ]
-        return F.concat(*each)
+
+        def of(k: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
+            each = F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(marked, i, F.lit(k))), F.lit(SLOTS)).cast("int"))
+            return F.when(n >= k, each).otherwise(F.array().cast("array<int>"))
+
+        return F.concat(*(of(k) for k in (3, 4, 5)))
 
     return F.array_distinct(F.concat(grams(h, "^"), grams(p, "~")))
 
