@@ -42,10 +42,29 @@ def l1(a: Column | str, b: Column | str) -> Column:
 DISTANCES = {"l1": l1, "l2": l2}
 
 
+def pair_sums(a: Column | str, b: Column | str) -> Column:
+    """``struct(n, ma, mb, aa, bb, ab)``: size, means and centred sums of products, in one pass that reads each vector once."""
+    start = F.struct(*(F.lit(ZERO).alias(c) for c in ("n", "ma", "mb", "aa", "bb", "ab")))
+
+    def step(s: Column, p: Column) -> Column:
+        n = s["n"] + 1
+        da, db = p["x"] - s["ma"], p["y"] - s["mb"]
+        keep = s["n"] / n
+        return F.struct(n.alias("n"), (s["ma"] + da / n).alias("ma"), (s["mb"] + db / n).alias("mb"), (s["aa"] + da * da * keep).alias("aa"), (s["bb"] + db * db * keep).alias("bb"), (s["ab"] + da * db * keep).alias("ab"))
+
+    return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), start, step)
+
+
 def cosine_dissimilarity(a: Column | str, b: Column | str) -> Column:
-    """1 - a.b / (|a| |b|); null where a vector is zero."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, 1 - dot(a, b) / norm)
+    """1 - a.b / (|a| |b|); null where a vector is zero. One pass that reads each vector once."""
+    start = F.struct(*(F.lit(ZERO).alias(c) for c in ("aa", "bb", "ab")))
+    pairs = F.zip_with(col(a), col(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.aggregate(
+        pairs,
+        start,
+        lambda s, p: F.struct((s["aa"] + p["x"] * p["x"]).alias("aa"), (s["bb"] + p["y"] * p["y"]).alias("bb"), (s["ab"] + p["x"] * p["y"]).alias("ab")),
+        lambda s: F.when((s["aa"] > 0) & (s["bb"] > 0), 1 - s["ab"] / (F.sqrt(s["aa"]) * F.sqrt(s["bb"]))),
+    )
 
 
 def mean(a: Column | str) -> Column:
@@ -54,11 +73,14 @@ def mean(a: Column | str) -> Column:
 
 def variance(a: Column | str, sample: bool = False) -> Column:
     """Population variance of a vector's entries, or the sample variance (null under two entries)."""
-    a = col(a)
-    n = F.size(a)
-    m = F.aggregate(a, F.lit(ZERO), lambda s, x: s + x) / n
-    squares = F.aggregate(F.transform(a, lambda x: (x - m) * (x - m)), F.lit(ZERO), lambda s, x: s + x)
-    return F.when(n > 1, squares / (n - 1)) if sample else F.when(n > 0, squares / n)
+    start = F.struct(*(F.lit(ZERO).alias(c) for c in ("n", "m", "q")))
+
+    def step(s: Column, x: Column) -> Column:
+        n, d = s["n"] + 1, x - s["m"]
+        return F.struct(n.alias("n"), (s["m"] + d / n).alias("m"), (s["q"] + d * d * s["n"] / n).alias("q"))
+
+    least = 1 if sample else 0
+    return F.aggregate(col(a), start, step, lambda s: F.when(s["n"] > least, s["q"] / (s["n"] - least)))
 
 
 def std(a: Column | str) -> Column:
@@ -72,11 +94,8 @@ def squared_deviation(a: Column | str, center: float) -> Column:
 
 def pearson(a: Column | str, b: Column | str) -> Column:
     """Correlation of two vectors' entries; null where one is constant."""
-    a, b = col(a), col(b)
-    ma, mb = mean(a), mean(b)
-    top = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    down = F.sqrt(variance(a) * variance(b)) * F.size(a)
-    return F.when(down > 0, top / down)
+    s = F.transform(F.array(pair_sums(a, b)), lambda s: F.when((s["aa"] > 0) & (s["bb"] > 0), s["ab"] / (F.sqrt(s["aa"]) * F.sqrt(s["bb"]))))
+    return F.element_at(s, 1)
 
 
 def normalise(a: Column | str, by: Column | str) -> Column:

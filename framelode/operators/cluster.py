@@ -15,6 +15,7 @@ from framelode.operators.sequence import FRAME, SPAN, VIDEO, chunked
 from framelode.scratch import written
 
 MAX_PASSES = 501
+DRIVER_ROWS = 20_000  # centroids that may pass through the driver; more are written tables
 K_LIMIT, DEDUP_LIMIT = 0.4, 0.3
 LBG_STEP = 0.051
 
@@ -56,12 +57,12 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, vector: str, metri
 
     Centroids are few (a codebook): they are collected, with a check, and compared in numpy, batch by batch."""
     c, ids = codebook_arrays(centroids)
-    at = points.columns.index(vector)
+    names, at = points.columns, points.columns.index(vector)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             label, dist = nearest_rows(vectors(b.column(at)), c, metric)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids[label], pa.int64()), pa.array(dist)], [*points.columns, "cluster_id", "dist"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids[label], pa.int64()), pa.array(dist)], [*names, "cluster_id", "dist"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
     return points.mapInArrow(scan, f"{schema}, cluster_id long, dist double")
@@ -94,28 +95,35 @@ def means(assigned: DataFrame, vector: str, size: int, video: str = VIDEO) -> Da
     return assigned.groupBy(video, "cluster_id").agg(vec.mean_vector(vector, size).alias("vec"), F.count("*").alias("n"), F.bit_xor(F.xxhash64(video, FRAME, "cluster_id")).alias("mark"))
 
 
-def kmeans(frames: DataFrame, k: int | DataFrame, vector: str = "hist", metric: str = "l2", max_passes: int = MAX_PASSES, video: str = VIDEO) -> tuple[DataFrame, DataFrame]:
+def kmeans(frames: DataFrame, k: int | DataFrame, vector: str = "hist", metric: str = "l2", max_passes: int = MAX_PASSES, video: str = VIDEO, stable: bool = False) -> tuple[DataFrame, DataFrame]:
     """k-means of each video's frames: ``(frames with cluster_id and dist, centroids video, cluster_id, vec)``.
 
     Seeds are the first k frames; a cluster without frames keeps its centroid; passes end when no label changes.
-    All videos run in one job a pass, so no task holds a video; centroids are a written table (no lineage)."""
+    All videos run in one job a pass, so no task holds a video; centroids are a table of their own (no lineage), and so
+    are the frames, unless they are ``stable``: a stored table already."""
     points = frames.filter(F.col(vector).isNotNull())
+    points = points if stable else written(points, "points")
     size = points.agg(F.max(F.size(vector))).first()[0] or 1
     centroids = written(first_rows(points, k, vector, video), "centroids")
+    settle = in_memory if centroids.count() <= DRIVER_ROWS else written
     seen = None
     for _ in range(max_passes):
-        new = written(means(assign(points, centroids, vector, metric, video), vector, size, video), "centroids")
+        new = settle(means(assign(points, centroids, vector, metric, video), vector, size, video), "means")
         mark = new.agg(F.bit_xor("mark"), F.sum("n")).first()
         old = centroids.select(F.col(video).alias("__v"), F.col("cluster_id").alias("__c"), F.col("vec").alias("__old"))
         joined = old.join(new, F.col("__v").eqNullSafe(F.col(video)) & (F.col("__c") == F.col("cluster_id")), "left")
-        centroids = joined.select(F.col("__v").alias(video), F.col("__c").alias("cluster_id"), F.coalesce("vec", "__old").alias("vec"))
+        centroids = settle(joined.select(F.col("__v").alias(video), F.col("__c").alias("cluster_id"), F.coalesce("vec", "__old").alias("vec")), "centroids")
         if mark == seen:
             break
         seen = mark
-        centroids = written(centroids, "centroids")
     return assign(points, centroids, vector, metric, video), centroids
 
 
+def in_memory(df: DataFrame, name: str) -> DataFrame:
+    """A small result as a local table: what ``written`` does for large ones. Callers check the size."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def keyframes(assigned: DataFrame, video: str = VIDEO, frame: str = FRAME) -> DataFrame:
     """``video, cluster_id, frame_id, dist``: the member nearest to each centroid; ties go to the first frame."""
     best = assigned.groupBy(video, "cluster_id").agg(F.min(F.struct("dist", frame)).alias("m"))
@@ -180,7 +188,7 @@ def lbg(points: DataFrame, vector: str = "vec", words: int = 150, step: float =
     From the mean of all points, cells split into c (1 + step) and c (1 - step) until there are enough; after each
     split Lloyd passes run until the relative gain in distortion is at most ``step`` (or ``passes`` times). The first
     ``words`` are kept; their counts are those of the last pass."""
-    points = points.filter(F.col(vector).isNotNull())
+    points = written(points.filter(F.col(vector).isNotNull()).select(vector), "descriptors")
     first = column_means(points, vector).first()
     if not first["n"]:
         return np.zeros((0, 0)), np.zeros(0, np.int64)
@@ -255,7 +263,7 @@ def xmeans_groups(frames: DataFrame, keys: tuple[str, ...], vector: str, k: int
     """``keys, cluster_id, frame_id, n``: X-means in each group (a shot), and the frame nearest to each centroid."""
     narrow = frames.select(*keys, frame, vector).filter(F.col(vector).isNotNull())
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(frame, ignore_index=True)
         x = np.array(pdf[vector].tolist(), float)
         label, c = xmeans(x, k, most, passes)
@@ -284,7 +292,7 @@ def dedup_greedy(frames: DataFrame, vector: str = "hist_norm", limit: float = DE
     there is one a cluster."""
     narrow = frames.select(video, frame, vector)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(frame, ignore_index=True)
         return pdf.iloc[greedy_unique(np.array(pdf[vector].tolist(), float), limit, metric)][[video, frame]]
 

@@ -167,9 +167,9 @@ def merge_intervals(spans: DataFrame, gap: int = GAP, cap: int = CAP, video: str
     """``video, start, end`` with neighbours merged in order of their starts."""
     narrow = spans.select(video, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = merged(sorted(zip(pdf[start].tolist(), pdf[end].tolist(), strict=True)), gap, cap)
-        return pd.DataFrame({video: [key[0]] * len(out), start: [s for s, _ in out], end: [e for _, e in out]})
+        return pd.DataFrame({video: pd.Series([key[0]] * len(out), dtype=object), start: [s for s, _ in out], end: [e for _, e in out]})
 
     return narrow.groupBy(video).applyInPandas(run, f"`{video}` {narrow.schema[video].dataType.simpleString()}, `{start}` long, `{end}` long")
 
@@ -179,11 +179,11 @@ def dissolves(signals: DataFrame, variance: str = "gray_var", p: float = SMOOTH,
     ratio = by_maximum(signals.select(video, frame, F.coalesce(F.col(variance), F.lit(0.0)).alias(variance)), variance, "__x", video)
     ratio = ratio.withColumn("__m", median5(by_frame(video, frame), "__x")).select(video, frame, "__m")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(frame, ignore_index=True)
         ids = pdf[frame].tolist()
         found = merged(sorted(dissolve_spans(spline(pdf["__m"].to_numpy(), p))))
-        return pd.DataFrame({video: [key[0]] * len(found), "start_frame": [ids[s] for s, _ in found], "end_frame": [ids[e] for _, e in found]})
+        return pd.DataFrame({video: pd.Series([key[0]] * len(found), dtype=object), "start_frame": [ids[s] for s, _ in found], "end_frame": [ids[e] for _, e in found]})
 
     return ratio.groupBy(video).applyInPandas(run, f"`{video}` {signals.schema[video].dataType.simpleString()}, start_frame long, end_frame long")
 

@@ -38,6 +38,11 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def v6(c: Column | str) -> Column:
+    """Six decimals of a variance: many are dyadic fractions, and a tie must not turn on the order of a sum."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6)
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proxies.event_signals(spark, sf_dir, EVENT_TYPES)
 
@@ -91,7 +96,7 @@ def assigned(k: int) -> str:
 # Histograms ---------------------------------------------------------------------------------------
 
 
-@query(f"WITH {DOC} SELECT video_id, frame_id, n_pixels, bin, CAST(c AS BIGINT) AS cnt, round(CAST(c AS DOUBLE) / nullif(n_pixels, 0), 6) AS share FROM dense")
+@query(f"WITH {DOC} SELECT video_id, frame_id, n_pixels, CAST(bin AS INT) AS bin, CAST(c AS BIGINT) AS cnt, round(CAST(c AS DOUBLE) / nullif(n_pixels, 0), 6) AS share FROM dense")
 def hist16(spark, sf_dir):
     d = proxies.documents(spark, sf_dir)
     long = d.select("video_id", "frame_id", "n_pixels", F.posexplode("hist").alias("bin", "c"))
@@ -115,10 +120,10 @@ def hist256_folded(spark, sf_dir):
     return wide.select("frame_id", F.posexplode(histogram.fold(F.col("hist"))).alias("bin", "c")).select("frame_id", F.col("bin").cast("long").alias("bin"), F.col("c").cast("long").alias("cnt"))
 
 
-@query("WITH ev AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame_id, CAST(least(255, floor(value)) AS INT) AS gray FROM events) SELECT frame_id, count(*) AS n_pixels, round(avg(gray), 6) AS gray_mean, round(var_pop(gray), 6) AS gray_var, round(var_samp(gray), 6) AS gray_var_samp FROM ev GROUP BY ALL")
+@query("WITH ev AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame_id, CAST(least(255, floor(value)) AS INT) AS gray FROM events) SELECT frame_id, count(*) AS n_pixels, round(avg(gray) + 1e-9::DOUBLE, 6) AS gray_mean, round(var_pop(gray) + 1e-9::DOUBLE, 6) AS gray_var, round(var_samp(gray) + 1e-9::DOUBLE, 6) AS gray_var_samp FROM ev GROUP BY ALL")
 def gray_variance(spark, sf_dir):
     s = histogram.gray_statistics(proxies.event_pixels(spark, sf_dir), F.col("gray"))
-    return s.select("frame_id", "n_pixels", *(r6(c).alias(c) for c in ("gray_mean", "gray_var", "gray_var_samp")))
+    return s.select("frame_id", "n_pixels", *(v6(c).alias(c) for c in ("gray_mean", "gray_var", "gray_var_samp")))
 
 
 RGB = {"r": "(p_partkey * 7 + p_size * 5) % 256", "g": "(p_partkey * 13 + p_size) % 256", "b": "(p_partkey * 29) % 256"}
@@ -273,10 +278,10 @@ def xmeans(spark, sf_dir):
 
 def evented(name: str, oracle: str, before: int, after: int, compute, of=signals):
     def run(spark, sf_dir):
-        return chunked(of(spark, sf_dir), lambda w: {"y": compute(w)}, before, after).select("video_id", "frame_id", r6("y").alias("y"))
+        return chunked(of(spark, sf_dir), lambda w: {"y": compute(w)}, before, after).select("video_id", "frame_id", v6("y").alias("y"))
 
     run.__name__ = name
-    query(f"WITH {EVT} SELECT video_id, frame_id, round({oracle}, 6) AS y FROM dis")(run)
+    query(f"WITH {EVT} SELECT video_id, frame_id, round({oracle} + 1e-9::DOUBLE, 6) AS y FROM dis")(run)
 
 
 evented("dissimilarity", "dissim", 1, 1, lambda w: signal.dissimilarity(w, "hist"))
@@ -314,11 +319,11 @@ def shots(spark, sf_dir):
     return signal.shots(masked(spark, sf_dir))
 
 
-@query(f"WITH {EVT}, {EFFECTS}, {SHOTS} SELECT s.video_id, CAST(shot_id AS INT) AS shot_id, frame_id, round(gray_var, 6) AS gray_var FROM sig s JOIN shots t ON s.video_id = t.video_id AND s.frame_id BETWEEN t.start_frame AND t.end_frame")
+@query(f"WITH {EVT}, {EFFECTS}, {SHOTS} SELECT s.video_id, CAST(shot_id AS INT) AS shot_id, frame_id, round(gray_var + 1e-9::DOUBLE, 6) AS gray_var FROM sig s JOIN shots t ON s.video_id = t.video_id AND s.frame_id BETWEEN t.start_frame AND t.end_frame")
 def shot_frames(spark, sf_dir):
     s = with_dissimilarity(spark, sf_dir)
     found = signal.shots(signal.effects(s, cut_limit=CUT_HERE, dissolve=False))
-    return signal.shot_frames(s, found).select("video_id", "shot_id", "frame_id", r6("gray_var").alias("gray_var"))
+    return signal.shot_frames(s, found).select("video_id", "shot_id", "frame_id", v6("gray_var").alias("gray_var"))
 
 
 @query(f"WITH {EVT} SELECT video_id, count(*) FILTER (WHERE y > 0) AS nscenes FROM (SELECT video_id, {filtered('dissim', 24)} AS y FROM dis) GROUP BY ALL")
@@ -353,10 +358,10 @@ def pair_filter(spark, sf_dir):
     return summary.pair_filter(d, "hist_norm", "hist", None, correlation=0.95).select("video_id", "frame_id")
 
 
-@query("WITH ev AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame_id, CAST(least(255, floor(value)) AS INT) AS gray FROM events) SELECT frame_id, round(var_pop(gray), 6) AS gray_var FROM ev GROUP BY ALL HAVING var_pop(gray) > 700")
+@query("WITH ev AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame_id, CAST(least(255, floor(value)) AS INT) AS gray FROM events) SELECT frame_id, round(var_pop(gray) + 1e-9::DOUBLE, 6) AS gray_var FROM ev GROUP BY ALL HAVING var_pop(gray) > 700")
 def low_variance_filter(spark, sf_dir):
     s = histogram.gray_statistics(proxies.event_pixels(spark, sf_dir), F.col("gray"))
-    return summary.low_variance_filter(s).select("frame_id", r6("gray_var").alias("gray_var"))
+    return summary.low_variance_filter(s).select("frame_id", v6("gray_var").alias("gray_var"))
 
 
 def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framelode.operators import bovw, cluster, histogram, signal
 from framelode.operators.sequence import by_frame
+from framelode.scratch import written
 
 
 @dataclass(frozen=True)
@@ -36,9 +37,9 @@ def histogram_summary(features: DataFrame, preset: Preset | str = "python") -> D
     """``video_id, frame_id``: meaningful frames, as many clusters as there are jumps, the frame nearest to each centroid,
     and no near copies. ``features``: ``video_id, frame_id, hist, hist_norm``. A video without frames has no summary."""
     p = PRESETS[preset] if isinstance(preset, str) else preset
-    kept = histogram.meaningful(features, p.max_std)
+    kept = written(histogram.meaningful(features, p.max_std).select("video_id", "frame_id", "hist", "hist_norm"), "features")
     k = cluster.estimate_k(kept, "hist_norm", p.k_thresholds, p.metric)
-    assigned, _ = cluster.kmeans(kept, k, "hist", p.metric)
+    assigned, _ = cluster.kmeans(kept, k, "hist", p.metric, stable=True)
     keys = cluster.keyframes(assigned).select("video_id", "frame_id")
     return cluster.dedup_greedy(kept.join(keys, ["video_id", "frame_id"], "left_semi"), "hist_norm", p.dedup, p.metric)
 
@@ -65,10 +66,12 @@ def shot_summary(features: DataFrame, descriptors: DataFrame, params: ShotParame
     """``video_id, frame_id``: shots, representative frames of each, a bag of visual words for each of these, and the
     frame nearest to each cluster of bags. ``descriptors``: ``video_id, frame_id, desc_id, vec``."""
     params = params or ShotParameters()
+    features = written(features.select("video_id", "frame_id", "hist", "gray_var"), "features")
     shots, scenes, _ = segmentation(features, params)
+    scenes = written(scenes, "scenes")
     in_shots = signal.shot_frames(features.select("video_id", "frame_id", "hist"), shots)
     reps = cluster.xmeans_groups(in_shots, ("video_id", "shot_id"), "hist", 1, params.shot_clusters, params.shot_passes).select("video_id", "frame_id").distinct()
-    own = descriptors.join(reps, ["video_id", "frame_id"], "left_semi")
+    own = written(descriptors.join(written(reps, "representatives"), ["video_id", "frame_id"], "left_semi"), "descriptors")
     words, _ = cluster.lbg(own, "vec", params.words)
     spark = features.sparkSession
     book = spark.createDataFrame([(k, w.tolist()) for k, w in enumerate(words)], "cluster_id int, vec array<double>")
@@ -84,7 +87,7 @@ def scene_keyframes(bags: DataFrame, scenes: DataFrame, params: ShotParameters)
     passes = params.scene_passes
     joined = bags.join(scenes, "video_id").withColumn("nscenes", F.greatest("nscenes", F.lit(1)))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_id", ignore_index=True)
         x, k = np.array(pdf["hist"].tolist(), float), int(pdf["nscenes"].iloc[0])
         label, c = cluster.xmeans(x, k, 4 * k, passes)
