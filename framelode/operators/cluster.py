@@ -48,6 +48,10 @@ def first_rows(frames: DataFrame, k: int | DataFrame, vector: str, video: str =
 def assign(frames: DataFrame, centroids: DataFrame, vector: str, metric: str = "l2", video: str = VIDEO) -> DataFrame:
     """``frames`` with ``cluster_id`` and ``dist`` of the nearest centroid of the same video; ties go to the least id."""
     lists = centroids.groupBy(F.col(video).alias("__v")).agg(F.collect_list(F.struct("cluster_id", "vec")).alias("__c"))
+    return assign_lists(frames, lists, vector, metric, video)
+
+
+def assign_lists(frames: DataFrame, lists: DataFrame, vector: str, metric: str, video: str) -> DataFrame:
     joined = frames.join(lists, F.col(video).eqNullSafe(F.col("__v"))).withColumn("__n", vec.nearest(vector, "__c", metric))
     return joined.withColumns({"cluster_id": F.col("__n.cluster_id"), "dist": F.col("__n.dist")}).drop("__v", "__c", "__n")
 
@@ -105,23 +109,43 @@ def kmeans(frames: DataFrame, k: int | DataFrame, vector: str = "hist", metric:
     points = points if stable else written(points, "points")
     size = points.agg(F.max(F.size(vector))).first()[0] or 1
     centroids = written(first_rows(points, k, vector, video), "centroids")
-    settle = in_memory if centroids.count() <= DRIVER_ROWS else written
+    if centroids.count() <= DRIVER_ROWS:
+        return few_centroids(points, centroids, vector, size, metric, max_passes, video)
     seen = None
     for _ in range(max_passes):
-        new = settle(means(assign(points, centroids, vector, metric, video), vector, size, video), "means")
+        new = written(means(assign(points, centroids, vector, metric, video), vector, size, video), "means")
         mark = new.agg(F.bit_xor("mark"), F.sum("n")).first()
         old = centroids.select(F.col(video).alias("__v"), F.col("cluster_id").alias("__c"), F.col("vec").alias("__old"))
         joined = old.join(new, F.col("__v").eqNullSafe(F.col(video)) & (F.col("__c") == F.col("cluster_id")), "left")
-        centroids = settle(joined.select(F.col("__v").alias(video), F.col("__c").alias("cluster_id"), F.coalesce("vec", "__old").alias("vec")), "centroids")
+        centroids = written(joined.select(F.col("__v").alias(video), F.col("__c").alias("cluster_id"), F.coalesce("vec", "__old").alias("vec")), "centroids")
         if mark == seen:
             break
         seen = mark
     return assign(points, centroids, vector, metric, video), centroids
 
 
-def in_memory(df: DataFrame, name: str) -> DataFrame:
-    """A small result as a local table: what ``written`` does for large ones. Callers check the size."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+def few_centroids(points: DataFrame, centroids: DataFrame, vector: str, size: int, metric: str, max_passes: int, video: str) -> tuple[DataFrame, DataFrame]:
+    """The passes of k-means with the centroids on the driver: one job each."""
+    spark, kind = points.sparkSession, points.schema[video].dataType.simpleString()
+    now = {(r[video], r["cluster_id"]): r["vec"] for r in centroids.collect()}
+
+    def lists() -> DataFrame:
+        by_video: dict = {}
+        for (v, c), x in sorted(now.items(), key=lambda e: e[0][1]):
+            by_video.setdefault(v, []).append((c, x))
+        return spark.createDataFrame(list(by_video.items()), f"__v {kind}, __c array<struct<cluster_id:int,vec:array<double>>>")
+
+    seen = None
+    for _ in range(max_passes):
+        mark = 0
+        for r in means(assign_lists(points, lists(), vector, metric, video), vector, size, video).collect():
+            now[r[video], r["cluster_id"]] = r["vec"]
+            mark ^= r["mark"]
+        if mark == seen:
+            break
+        seen = mark
+    table = spark.createDataFrame([(v, c, x) for (v, c), x in now.items()], f"`{video}` {kind}, cluster_id int, vec array<double>")
+    return assign_lists(points, lists(), vector, metric, video), table
 
 
 def keyframes(assigned: DataFrame, video: str = VIDEO, frame: str = FRAME) -> DataFrame:
