@@ -15,6 +15,7 @@ from framelode.operators.sequence import FRAME, SPAN, VIDEO, chunked
 from framelode.scratch import written
 
 MAX_PASSES = 501
+GROUP_ROWS = 100_000  # frames of a video that one task may hold; larger videos are distributed
 DRIVER_ROWS = 20_000  # centroids that may pass through the driver; more are written tables
 K_LIMIT, DEDUP_LIMIT = 0.4, 0.3
 LBG_STEP = 0.051
@@ -103,10 +104,60 @@ def kmeans(frames: DataFrame, k: int | DataFrame, vector: str = "hist", metric:
     """k-means of each video's frames: ``(frames with cluster_id and dist, centroids video, cluster_id, vec)``.
 
     Seeds are the first k frames; a cluster without frames keeps its centroid; passes end when no label changes.
-    All videos run in one job a pass, so no task holds a video; centroids are a table of their own (no lineage), and so
-    are the frames, unless they are ``stable``: a stored table already."""
+    Videos of at most ``GROUP_ROWS`` frames run each in one task, larger ones in one job a pass, in which no task holds a
+    video. Frames are stored first, unless they are ``stable``: a stored table already."""
     points = frames.filter(F.col(vector).isNotNull())
     points = points if stable else written(points, "points")
+    sizes = points.groupBy(F.col(video).alias("__v")).agg(F.count("*").alias("__rows"))
+    large = written(sizes.filter(F.col("__rows") > GROUP_ROWS), "large-videos")
+    if large.isEmpty():
+        return grouped_kmeans(points, k, vector, metric, max_passes, video)
+    same = F.col(video).eqNullSafe(F.col("__v"))
+    small = grouped_kmeans(points.join(large, same, "left_anti"), k, vector, metric, max_passes, video)
+    rest = distributed_kmeans(points.join(large, same, "left_semi"), k, vector, metric, max_passes, video)
+    return small[0].unionByName(rest[0]), small[1].unionByName(rest[1])
+
+
+def grouped_kmeans(points: DataFrame, k: int | DataFrame, vector: str, metric: str, max_passes: int, video: str) -> tuple[DataFrame, DataFrame]:
+    """k-means of videos of at most ``GROUP_ROWS`` frames: all passes of a video in one task."""
+    names = points.columns
+    if isinstance(k, int):
+        counted = points.withColumn("__k", F.lit(k))
+    else:
+        counted = points.join(k.select(F.col(video).alias("__v"), F.col("k").cast("int").alias("__k")), F.col(video).eqNullSafe(F.col("__v"))).drop("__v")
+
+    def fitted(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        pdf = pdf.sort_values(FRAME, ignore_index=True)
+        x = np.array(pdf[vector].tolist(), float)
+        c, seen = x[: int(pdf["__k"].iloc[0])].copy(), None
+        for _ in range(max_passes):
+            label, _ = nearest_rows(x, c, metric)
+            sums, n = np.zeros_like(c), np.bincount(label, minlength=len(c))
+            np.add.at(sums, label, x)
+            c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+            if seen is not None and np.array_equal(label, seen):
+                break
+            seen = label
+        return pdf, x, c
+
+    def assigned(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, c = fitted(pdf)
+        label, dist = nearest_rows(x, c, metric)
+        return pdf[names].assign(cluster_id=label.astype(np.int32), dist=dist)
+
+    def centred(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, _, c = fitted(pdf)
+        return pd.DataFrame({video: pdf[video].iloc[[0] * len(c)].to_numpy(), "cluster_id": np.arange(len(c), dtype=np.int32), "vec": list(c)})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
+    kind = points.schema[video].dataType.simpleString()
+    groups = counted.groupBy(video)
+    return groups.applyInPandas(assigned, f"{schema}, cluster_id int, dist double"), groups.applyInPandas(centred, f"`{video}` {kind}, cluster_id int, vec array<double>")
+
+
+def distributed_kmeans(points: DataFrame, k: int | DataFrame, vector: str, metric: str, max_passes: int, video: str) -> tuple[DataFrame, DataFrame]:
+    """k-means of videos of any size, all of them in one job a pass."""
+    points = written(points, "points")
     size = points.agg(F.max(F.size(vector))).first()[0] or 1
     centroids = written(first_rows(points, k, vector, video), "centroids")
     if centroids.count() <= DRIVER_ROWS:
@@ -125,27 +176,73 @@ def kmeans(frames: DataFrame, k: int | DataFrame, vector: str = "hist", metric:
 
 
 def few_centroids(points: DataFrame, centroids: DataFrame, vector: str, size: int, metric: str, max_passes: int, video: str) -> tuple[DataFrame, DataFrame]:
-    """The passes of k-means with the centroids on the driver: one job each."""
-    spark, kind = points.sparkSession, points.schema[video].dataType.simpleString()
+    """The passes of k-means with the centroids on the driver: one job each, in which each batch gives partial sums."""
+    kind, names = points.schema[video].dataType.simpleString(), points.columns
     now = {(r[video], r["cluster_id"]): r["vec"] for r in centroids.collect()}
+    at_video, at_vector, at_frame = names.index(video), names.index(vector), names.index(FRAME)
 
-    def lists() -> DataFrame:
-        by_video: dict = {}
+    def by_video() -> dict:
+        out: dict = {}
         for (v, c), x in sorted(now.items(), key=lambda e: e[0][1]):
-            by_video.setdefault(v, []).append((c, x))
-        return spark.createDataFrame(list(by_video.items()), f"__v {kind}, __c array<struct<cluster_id:int,vec:array<double>>>")
+            out.setdefault(v, ([], []))[0].append(c)
+            out[v][1].append(x)
+        return {v: (np.array(ids), np.array(x, float)) for v, (ids, x) in out.items()}
+
+    def labelled(b: pa.RecordBatch, lists: dict) -> Iterator[tuple[object, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By video: rows, vectors, labels and distances of a batch."""
+        x, keys = vectors(b.column(at_vector)), b.column(at_video).to_pylist()
+        rows: dict = {}
+        for i, v in enumerate(keys):
+            rows.setdefault(v, []).append(i)
+        for v, own in rows.items():
+            ids, c = lists[v]
+            label, dist = nearest_rows(x[own], c, metric)
+            yield v, np.array(own), x[own], ids[label], dist
+
+    def summing(lists: dict):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                frames = pd.util.hash_array(np.array(b.column(at_frame).to_pylist()))
+                out: list[list] = [[], [], [], [], []]
+                for v, own, x, label, _ in labelled(b, lists):
+                    z = (frames[own] ^ np.uint64(hash_text(v))) * (label.astype(np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
+                    for c in np.unique(label):
+                        of = label == c
+                        row = v, int(c), int(of.sum()), x[of].sum(0).tolist(), int(np.bitwise_xor.reduce(z[of] ^ (z[of] >> np.uint64(31))).view(np.int64))
+                        for col, value in zip(out, row, strict=True):
+                            col.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], b.schema.field(at_video).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.float64())), pa.array(out[4], pa.int64())], ["v", "c", "n", "sums", "mark"])
+
+        return scan
+
+    def assigning(lists: dict):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                label, dist = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+                for _, own, _, own_label, own_dist in labelled(b, lists):
+                    label[own], dist[own] = own_label, own_dist
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.int32()), pa.array(dist)], [*names, "cluster_id", "dist"])
+
+        return scan
 
     seen = None
     for _ in range(max_passes):
+        parts = points.mapInArrow(summing(by_video()), f"v {kind}, c int, n long, sums array<double>, mark long")
         mark = 0
-        for r in means(assign_lists(points, lists(), vector, metric, video), vector, size, video).collect():
-            now[r[video], r["cluster_id"]] = r["vec"]
+        for r in parts.groupBy("v", "c").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("sums")[j]) for j in range(size))).alias("sums"), F.bit_xor("mark").alias("mark")).collect():
+            now[r["v"], r["c"]] = [x / r["n"] for x in r["sums"]]
             mark ^= r["mark"]
         if mark == seen:
             break
         seen = mark
-    table = spark.createDataFrame([(v, c, x) for (v, c), x in now.items()], f"`{video}` {kind}, cluster_id int, vec array<double>")
-    return assign_lists(points, lists(), vector, metric, video), table
+    table = points.sparkSession.createDataFrame([(v, c, x) for (v, c), x in now.items()], f"`{video}` {kind}, cluster_id int, vec array<double>")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
+    return points.mapInArrow(assigning(by_video()), f"{schema}, cluster_id int, dist double"), table
+
+
+def hash_text(v: object) -> int:
+    """A number for a video id that is the same in every process."""
+    return int.from_bytes(str(v).encode()[-8:], "big")
 
 
 def keyframes(assigned: DataFrame, video: str = VIDEO, frame: str = FRAME) -> DataFrame:

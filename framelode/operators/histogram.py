@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +24,41 @@ def from_long(pixels: DataFrame, value: Column, bins: int = BINS, width: int = 1
     return pixels.groupBy(*keys).agg(F.count("*").alias("n_pixels"), F.array(*counts).alias("hist"))
 
 
-def from_text(df: DataFrame, text: Column, bins: int = BINS) -> DataFrame:
-    """``df`` with ``n_pixels`` and ``hist`` of a text's characters as pixels: bin = least(code point, 255) div 16.
+def from_text(df: DataFrame, text: str, bins: int = BINS) -> DataFrame:
+    """``df`` without its text column, with ``n_pixels`` and ``hist`` of the text's characters as pixels:
+    bin = least(code point, 255) div 16. Null texts have nulls.
 
-    A narrow projection: each bin is a count of a character class."""
-    width = 256 // bins
-    classes = [f"[\\x{{{k * width:x}}}-\\x{{{(k + 1) * width - 1 if k < bins - 1 else 0x10FFFF:x}}}]" for k in range(bins)]
-    return df.withColumn("n_pixels", F.char_length(text).cast("long")).withColumn("hist", F.array(*(F.regexp_count(text, F.lit(c)).cast("double") for c in classes)))
+    Narrow: Arrow batches, counted 4 MB of text at a time. (Sixteen counts of character classes in SQL take ten
+    times as long, and exploding characters shuffles.)"""
+    kept = [c for c in df.columns if c != text]
+    narrow = df.select(*kept, text)
+    kinds = "".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}, " for c in kept)
+
+    def count(texts: list[str]) -> np.ndarray:
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        place = np.minimum(codes, 255).astype(np.int64) // (256 // bins)
+        place += np.repeat(np.arange(len(texts)) * bins, np.fromiter(map(len, texts), np.int64, len(texts)))
+        return np.bincount(place, minlength=len(texts) * bins).reshape(-1, bins).astype(float)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(len(kept)).to_pylist()
+            full, held, size, parts = [t or "" for t in texts], [], 0, []
+            for t in full:
+                held.append(t)
+                size += len(t)
+                if size >= 1 << 20:
+                    parts.append(count(held))
+                    held, size = [], 0
+            parts.append(count(held) if held else np.zeros((0, bins)))
+            hist = np.concatenate(parts)
+            there = np.array([t is not None for t in texts], bool)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(hist.ravel()), bins).cast(pa.list_(pa.float64()))
+            none = pa.nulls(len(texts), flat.type)
+            mask = pa.array(there)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pc.if_else(mask, pa.array([len(t) for t in full], pa.int64()), None), pc.if_else(mask, flat, none)], [*kept, "n_pixels", "hist"])
+
+    return narrow.mapInArrow(scan, f"{kinds}n_pixels long, hist array<double>")
 
 
 def image_features(images: DataFrame, space: str = "rgb", bins: int = BINS, keys: tuple[str, ...] = ("video_id", "frame_id")) -> DataFrame:

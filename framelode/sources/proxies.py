@@ -11,7 +11,7 @@ from framelode.operators import histogram
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source is a video, a document a frame, a character a pixel: ``video_id, frame_id, n_pixels, hist, hist_norm``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("video_id"), F.col("doc_id").alias("frame_id"), "text")
-    return histogram.with_norm(histogram.from_text(docs, F.col("text")).drop("text"))
+    return histogram.with_norm(histogram.from_text(docs, "text"))
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,8 @@ def test_estimate_k_and_dedup(spark):
 def test_kmeans_and_keyframes(spark, monkeypatch):
     points = [[0.0, 0.0], [1.0, 0.0], [0.0, 1.0], [10.0, 10.0], [11.0, 10.0], [10.0, 12.0]]
     df = sequence(spark, points, "hist", "array<double>")
-    for rows in (cluster.DRIVER_ROWS, 0):  # through the driver, and through written tables
+    for group, rows in ((cluster.GROUP_ROWS, 0), (1, cluster.DRIVER_ROWS), (1, 0)):  # grouped, with centroids on the driver, in written tables
+        monkeypatch.setattr(cluster, "GROUP_ROWS", group)
         monkeypatch.setattr(cluster, "DRIVER_ROWS", rows)
         found, centroids = cluster.kmeans(df, 2, "hist")
         assert column(found, "cluster_id") == [0, 0, 0, 1, 1, 1]
@@ -194,9 +195,9 @@ def test_histograms(spark):
     rows = histogram.from_long(px, F.col("value"), channel="channel", channels=2).orderBy("frame_id").collect()
     assert rows[0]["hist"][0] == 1 and rows[0]["hist"][15] == 1 and rows[0]["hist"][17] == 1 and sum(rows[0]["hist"]) == 3
     t = spark.createDataFrame([("aé\n€😀",), ("",), (None,)], "t string")
-    got = histogram.with_norm(histogram.from_text(t, F.col("t"))).collect()
+    got = histogram.with_norm(histogram.from_text(t.withColumn("i", F.lit(1)), "t")).collect()
     assert got[0]["n_pixels"] == 5 and got[0]["hist"][0] == 1 and got[0]["hist"][6] == 1 and got[0]["hist"][14] == 1 and got[0]["hist"][15] == 2
-    assert got[1]["n_pixels"] == 0 and got[1]["hist_norm"] is None and got[2]["hist"][0] is None
+    assert got[1]["n_pixels"] == 0 and got[1]["hist_norm"] is None and got[2]["hist"] is None and got[2]["n_pixels"] is None
     hue = spark.createDataFrame([([1.0] * 180,)], "h array<double>").select(histogram.hue_histogram(F.col("h")).alias("x")).first()["x"]
     assert hue == [16.0] * 11 + [4.0] + [0.0] * 4
 
