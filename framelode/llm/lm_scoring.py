@@ -1,34 +1,47 @@
 """Cross-entropy difference between a target and a background language model.
 
-Both models are 4-gram models over one shared vocabulary of 64 symbols that covers every text: letters
-in lower case, classes of digits, spaces and punctuation, and classes of the bytes of other scripts, plus
-a boundary before and after each text. Order and smoothing (Witten-Bell interpolation down to a uniform
-model) are the same on both sides, so losses differ by what the models have seen and by nothing else.
-A document's score is the mean over its tokens of target loss less background loss, in nats: the lower,
-the more it is like the target.
-
-Statistics cover every document: the background counts all of them, the target all labelled as such.
-Counts are summed in each task before the shuffle. The model has ``64 ** 4`` cells, whatever the input:
-that bounds what the driver gathers (20 bytes a cell that occurs) and broadcasts (4 bytes a cell).
+Both models share one vocabulary, the words of all documents (in lower case, apart at white space), and an
+alphabet of 64 symbols. A word's probability mixes a word model with a character trigram model,
+``(1 - BACKOFF) * (count - 1) / total + BACKOFF * trigrams(word)``: a word seen once or never costs what its letters
+say, since one occurrence may be the scored document's own. ``total`` sums ``count - 1`` over the words seen.
+Form and weights are the same on both sides: losses differ by what the models have seen and by nothing else.
+A document's score is the mean over its tokens (its words and the end) of target loss less background loss, in
+nats: the lower, the more it is like the target.
+
+Statistics cover every document and grow with the corpus: the background counts all of them, the target all
+labelled as such, and each word has its row. Nothing that grows is broadcast or sent to the driver:
+
+1. Documents and target ids are dealt to chunks of about ``CHUNK`` bytes by the hash of the id. Each chunk counts
+   its words and trigrams once; a table of ``chunk, word hash, counts`` is written.
+2. A window over the word's hash (one row a chunk at most) gives each chunk the counts that its words have in all
+   chunks; they are written. The driver takes the totals and ``SYMBOLS ** 3`` trigram counts.
+3. Chunks of documents and of counts meet, and each document is scored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
+
+from framelode.scratch import written
 
 SYMBOLS = 64
-CELLS = SYMBOLS**4
-CHUNK = 1 << 22  # bytes of text counted at once
-GAP = b"\0\0\0"
+CELLS = SYMBOLS**3
+BACKOFF = 0.25
+CHUNK, LEAST_CHUNKS = 1 << 25, 32  # bytes of text; chunks at any size
+END = "\0"
+COUNTS = pa.schema([("word", pa.bool_()), ("key", pa.int64()), ("chunk", pa.int32()), ("target", pa.int64()), ("background", pa.int64())])
 
 
 def symbol_table() -> np.ndarray:
-    """Symbol of each byte of a text's UTF-8 form; 0 is the boundary."""
+    """Symbol of each byte of a word's UTF-8 form; 0 is the boundary."""
     s = np.full(256, 29, np.int32)
     s[0] = 0
     s[97:123] = s[65:91] = np.arange(1, 27)
@@ -45,99 +58,121 @@ def symbol_table() -> np.ndarray:
 SYMBOL = symbol_table()
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each token and its three predecessors, and where each text's tokens start: one token a byte and the end."""
-    k = SYMBOL[np.frombuffer(GAP + GAP.join(texts) + GAP, np.uint8)]
-    cell = ((k[:-3] * SYMBOLS + k[1:-2]) * SYMBOLS + k[2:-1]) * SYMBOLS + k[3:]
-    length = np.fromiter(map(len, texts), np.int64, len(texts))
-    start = np.r_[0, np.cumsum(length + 3)]  # windows of text i: start[i] .. start[i] + length[i], the last one has the end
+def tokens(text: str | None) -> list[str]:
+    """Words in lower case, then the end."""
+    return [*(text or "").lower().split(), END]
+
+
+def keys(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words)).view(np.int64)
+
+
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of each word's symbols and its boundary, given two before, and where each word's cells start."""
+    data = [w.encode("utf-8", "replace") for w in words]
+    k = SYMBOL[np.frombuffer(b"\0\0" + b"\0\0".join(data) + b"\0", np.uint8)]
+    cell = (k[:-2] * SYMBOLS + k[1:-1]) * SYMBOLS + k[2:]
+    length = np.fromiter(map(len, data), np.int64, len(data))
     inside = np.ones(len(cell), bool)
-    for gap in (1, 2):
-        at = start[1:] - gap
-        inside[at[at < len(cell)]] = False
+    inside[np.cumsum(length + 2)[:-1] - 1] = False  # the second boundary between two words
     return cell[inside], np.r_[0, np.cumsum(length + 1)]
 
 
-def chunked(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts' bytes, ``CHUNK`` bytes or one text at once, each with the place of its first one."""
-    held, size, s = [], 0, 0
-    for i, t in enumerate(texts):
-        data = (t or "").encode()
-        if held and size + len(data) > CHUNK:
-            yield s, held
-            held, size, s = [], 0, i
-        held.append(data)
-        size += len(data)
-    if held:
-        yield s, held
-
+def dealt(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``id, text, chunk`` of documents and ``id, chunk`` of targets. Null ids are dealt by their text."""
+    size = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
+    n = max(LEAST_CHUNKS, -(-size // CHUNK))
 
-def gram_counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``cell, target, background``: occurrences of each 4-gram in target documents and in all documents.
+    def chunk(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
-    ``target`` has the ids of target documents (nulls and repeats do no harm). Each id's documents count. Ids grow with
-    the corpus, so they are never broadcast: documents and ids meet by one shuffle on the id, at every size."""
-    ids = target.select(target[id_col].alias("t_id")).filter("t_id IS NOT NULL").distinct().hint("merge")
-    flagged = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(ids, F.col("id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().alias("in_target"), "text")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    ids = target.select(target[id_col].cast(rows.schema["id"].dataType).alias("id")).filter("id IS NOT NULL").distinct()
+    return rows.withColumn("chunk", F.when(F.col("id").isNull(), chunk(F.col("text"))).otherwise(chunk(F.col("id")))), ids.withColumn("chunk", chunk(F.col("id")))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flags = np.array(b.column(0).to_pylist(), bool)
-            texts = b.column(1).to_pylist()
-            for side in (True, False):
-                for _, part in chunked([t for t, f in zip(texts, flags, strict=True) if f == side]):
-                    cell, n = np.unique(windows(part)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(n * side, pa.int64()), pa.array(n, pa.int64())], ["cell", "target", "background"])
 
-    return flagged.mapInArrow(count, "cell int, target long, background long").groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+def count_chunk(docs: pa.Table, ids: pa.Table) -> pa.Table:
+    """Occurrences of each word and trigram in a chunk: in target documents and in all of them."""
+    if not docs.num_rows:
+        return COUNTS.empty_table()
+    wanted = set(ids.column("id").to_pylist())
+    here, both = Counter(), Counter()
+    for i, text in zip(docs.column("id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+        found = tokens(text)
+        both.update(found)
+        if i in wanted:
+            here.update(found)
+    words = list(both)
+    sides = [np.fromiter((c[w] for w in words), np.int64, len(words)) for c in (here, both)]
+    cell, first = trigrams(words)
+    grams = [np.bincount(cell, np.repeat(s, np.diff(first)), CELLS).astype(np.int64) for s in sides]
+    seen = np.flatnonzero(grams[1])
+    chunk = np.full(len(words) + len(seen), docs.column("chunk")[0].as_py(), np.int32)
+    columns = [np.arange(len(chunk)) < len(words), np.r_[keys(words), seen], chunk, *(np.r_[s, g[seen]] for s, g in zip(sides, grams, strict=True))]
+    return pa.Table.from_arrays([pa.array(c) for c in columns], schema=COUNTS)
 
 
-def losses(cells: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
-    """Negative log probabilities of the last symbol after three, a slice for each first symbol."""
-    whole = np.zeros(CELLS, np.float32 if not len(counts) or counts.max() < 1 << 24 else np.float64)
-    whole[cells] = counts
-    four = whole.reshape(SYMBOLS, SYMBOLS, SYMBOLS, SYMBOLS)
+def gram_losses(counts: np.ndarray) -> np.ndarray:
+    """Negative log probabilities of the last symbol after two, with Witten-Bell interpolation down to a uniform model."""
 
     def mixed(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        kinds, total = (n > 0).sum(-1, keepdims=True), n.sum(-1, keepdims=True, dtype=np.float64)
+        kinds, total = (n > 0).sum(-1, keepdims=True), n.sum(-1, keepdims=True)
         return np.where(total > 0, (n + kinds * lower) / np.maximum(total + kinds, 1), lower)
 
-    three = sum(four[a].astype(np.float64) for a in range(SYMBOLS))
+    three = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64)
     one = mixed(three.sum((0, 1)), np.full(SYMBOLS, 1 / SYMBOLS))
     two = mixed(three.sum(0), one[None, :])
-    three = mixed(three, two[None, :, :])
-    for a in range(SYMBOLS):
-        yield -np.log(mixed(four[a], three))
-
-
-def difference_model(counts: DataFrame) -> np.ndarray:
-    """Target loss less background loss of every cell."""
-    t = counts.toArrow()
-    cells = t.column("cell").to_numpy()
-    sides = [losses(cells, t.column(c).to_numpy()) for c in ("target", "background")]
-    return np.concatenate([(a - b).astype(np.float32).ravel() for a, b in zip(*sides, strict=True)])
-
-
-def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, ce_diff`` for each row of ``docs``: tokens (bytes and the end), and the mean loss difference.
-
-    Null texts are empty: one token, the end. Ids may be null or repeated; other columns are not read. One narrow pass."""
-    narrow = docs.select(docs[id_col], docs[text_col])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return -np.log(mixed(three, two[None, :, :])).ravel()
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for b in batches:
-            n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for s, part in chunked(b.column(1).to_pylist()):
-                cell, first = windows(part)
-                total[s : s + len(part)] = np.add.reduceat(table[cell].astype(np.float64), first[:-1])
-                n[s : s + len(part)] = np.diff(first)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.round(total / np.maximum(n, 1), 9))], [id_col, "n_tokens", "ce_diff"])
 
-    return narrow.mapInArrow(scan, f"`{id_col}` {narrow.schema[0].dataType.simpleString()}, n_tokens long, ce_diff double")
+def word_losses(count: np.ndarray, total: int, cell: np.ndarray, first: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Negative log probabilities of words from their counts and their cells."""
+    spelled = np.log(BACKOFF) - np.add.reduceat(grams[cell], first[:-1])
+    with np.errstate(divide="ignore"):
+        return -np.logaddexp(np.log((1 - BACKOFF) * np.maximum(count - 1, 0) / max(total, 1)), spelled)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fit both models on ``docs`` (``target``: ids of target documents) and score every document. An empty target is a uniform model."""
-    return score(docs, difference_model(gram_counts(docs, target, id_col, text_col)), id_col, text_col)
+    """``id_col, n_tokens, ce_diff`` for each row of ``docs``: its words and the end, and the mean loss difference.
+
+    ``target`` has the ids of target documents: nulls and repeats do no harm, each row with such an id counts. An empty
+    target is a uniform model. Null and empty texts have one token, the end. Ids may be null or repeated (rows of one id
+    share a chunk); other columns are not read. One text is held by one task, whatever its length."""
+    rows, ids = dealt(docs, target, id_col, text_col)
+    counts = written(rows.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(count_chunk, "word boolean, key long, chunk int, target long, background long"), "lm-counts")
+    sides = ("target", "background")
+    everywhere = Window.partitionBy("key")
+    known = counts.filter("word").select("chunk", "key", (F.min("chunk").over(everywhere) == F.col("chunk")).alias("first"), *(F.sum(c).over(everywhere).alias(c) for c in sides))
+    known = written(known, "lm-words")
+    totals = known.filter("first").agg(*(F.coalesce(F.sum(F.greatest(F.col(c) - 1, F.lit(0))), F.lit(0)).alias(c) for c in sides)).first()
+    spelled = counts.filter("NOT word").groupBy("key").agg(*(F.sum(c).alias(c) for c in sides)).toArrow()
+    models = []
+    for c in sides:
+        whole = np.zeros(CELLS)
+        whole[spelled.column("key").to_numpy()] = spelled.column(c).to_numpy()
+        models.append((c, int(totals[c]), gram_losses(whole)))
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # two numbers for each cell
+    result = pa.schema([("id", to_arrow_type(rows.schema["id"].dataType)), ("n_tokens", pa.int64()), ("ce_diff", pa.float64())])
+
+    def score_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return result.empty_table()
+        found = [tokens(t) for t in left.column("text").to_pylist()]
+        place = {}
+        for text in found:
+            for w in text:
+                if w not in place:
+                    place[w] = len(place)
+        words = list(place)
+        key = right.column("key").to_numpy()
+        order = np.argsort(key)
+        at = order[np.searchsorted(key, keys(words), sorter=order)]  # each word of the chunk was counted
+        cell, first = trigrams(words)
+        losses = [word_losses(right.column(c).to_numpy()[at], total, cell, first, grams) for c, total, grams in shared.value]
+        gain = losses[0] - losses[1]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        mean = [gain[[place[w] for w in text]].mean() for text in found]
+        return pa.Table.from_arrays([left.column("id"), pa.array(n), pa.array(np.round(mean, 9), pa.float64())], schema=result)
+
+    scored = rows.groupBy("chunk").cogroup(known.drop("first").groupBy("chunk")).applyInArrow(score_chunk, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ce_diff double")
+    return scored.withColumnRenamed("id", id_col)

@@ -218,41 +218,65 @@ def test_overlap_against_plain_growth():
     assert found == {0: (7, 5, 20, 1)}
 
 
-def plain_loss(grams, cell):
-    """Witten-Bell interpolation from counts of 4-grams (tuples), by the definition."""
+def plain_losses(texts, end="\0"):
+    """Loss of a word by the definition: Witten-Bell trigrams of its symbols, mixed with counts less one."""
+    counts, grams = {}, {}
+
+    def cells(w):
+        k = [0, 0, *(int(lm_scoring.SYMBOL[b]) for b in w.encode()), 0]
+        return [tuple(k[i : i + 3]) for i in range(len(k) - 2)]
+
+    for t in texts:
+        for w in [*(t or "").lower().split(), end]:
+            counts[w] = counts.get(w, 0) + 1
+            for g in cells(w):
+                grams[g] = grams.get(g, 0) + 1
+    total = max(sum(n - 1 for n in counts.values()), 1)
+
     def p(h, w):
         lower = p(h[1:], w) if h else 1 / lm_scoring.SYMBOLS
         seen = {}
         for g, n in grams.items():
-            if g[3 - len(h) : 3] == h:
-                seen[g[3]] = seen.get(g[3], 0) + n
-        total = sum(seen.values())
-        return (seen.get(w, 0) + len(seen) * lower) / (total + len(seen)) if total else lower
+            if g[2 - len(h) : 2] == h:
+                seen[g[2]] = seen.get(g[2], 0) + n
+        whole = sum(seen.values())
+        return (seen.get(w, 0) + len(seen) * lower) / (whole + len(seen)) if whole else lower
 
-    return -np.log(p(cell[:3], cell[3]))
+    def loss(w):
+        spelled = sum(np.log(p(g[:2], g[2])) for g in cells(w)) + np.log(lm_scoring.BACKOFF)
+        known = (1 - lm_scoring.BACKOFF) * max(counts.get(w, 0) - 1, 0) / total
+        return -np.logaddexp(np.log(known), spelled) if known else -spelled
+
+    return loss
 
 
 def test_model_scoring(spark, make):
-    texts = ["abab ab", "ab!", "zz9 Zz", "", None, "é€ zz", "q" * 3000]
+    texts = ["abab ab", "ab! ab", "zz9 Zz zz", "", None, "é€ zz\tab", "q" * 3000, (None, "ab zz"), (None, "ab zz"), (2, "zz9")]
     df = make(texts)
     target = spark.createDataFrame([(0,), (1,), (1,), (None,), (99,)], "doc_id long")
-    rows = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(df, target).collect()}
-
-    def grams(t):
-        k = [0, 0, 0, *(int(lm_scoring.SYMBOL[b]) for b in (t or "").encode()), 0]
-        return [tuple(k[i : i + 4]) for i in range(len(k) - 3)]
-
-    sides = []
-    for keep in ((0, 1), range(len(texts))):
-        counts = {}
-        for i in keep:
-            for g in grams(texts[i]):
-                counts[g] = counts.get(g, 0) + 1
-        sides.append(counts)
-    for i, t in enumerate(texts[:6]):
-        g = grams(t)
-        assert rows[i]["n_tokens"] == len(g)
-        assert rows[i]["ce_diff"] == pytest.approx(np.mean([plain_loss(sides[0], x) - plain_loss(sides[1], x) for x in g]), abs=1e-5)
-    assert rows[0]["ce_diff"] < rows[2]["ce_diff"]
+    got = lm_scoring.cross_entropy_difference(df, target).collect()
+    plain = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
+    near, far = plain_losses([t for i, t in plain if i in (0, 1)]), plain_losses([t for _, t in plain])
+    want = []
+    for i, t in plain:
+        words = [*(t or "").lower().split(), "\0"]
+        want.append((i, len(words), np.mean([near(w) - far(w) for w in words])))
+    for side in (got, want):
+        side.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+    for r, w in zip(got, want, strict=True):
+        assert tuple(r)[:2] == w[:2] and r["ce_diff"] == pytest.approx(w[2], abs=1e-6)
+    by = {r["doc_id"]: r["ce_diff"] for r in got}
+    assert by[0] < by[2]
     assert lm_scoring.cross_entropy_difference(df.limit(0), target).count() == 0
     assert lm_scoring.cross_entropy_difference(df, target.limit(0)).count() == len(texts)
+
+
+def test_chunks_do_not_change_scores(make, spark, monkeypatch):
+    rng = random.Random(2)
+    df = make([" ".join(rng.choice(["one", "two", "three", "four", f"w{i}"]) for _ in range(20)) for i in range(80)])
+    target = spark.range(0, 80, 4).withColumnRenamed("id", "doc_id")
+    scores = []
+    for n in (1, 7):
+        monkeypatch.setattr(lm_scoring, "LEAST_CHUNKS", n)
+        scores.append(sorted(map(tuple, lm_scoring.cross_entropy_difference(df, target).collect())))
+    assert scores[0] == scores[1]
