@@ -35,7 +35,7 @@ from framelode.scratch import written
 SYMBOLS = 64
 CELLS = SYMBOLS**3
 BACKOFF = 0.25
-CHUNK, LEAST_CHUNKS = 1 << 25, 32  # bytes of text; chunks at any size
+CHUNK, LEAST_CHUNKS = 1 << 23, 128  # bytes of text; chunks at any size, many a task so that tasks are even
 END = "\0"
 COUNTS = pa.schema([("word", pa.bool_()), ("key", pa.int64()), ("chunk", pa.int32()), ("target", pa.int64()), ("background", pa.int64())])
 
