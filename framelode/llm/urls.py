@@ -40,7 +40,7 @@ def labelled(spark: SparkSession) -> DataFrame:
     for k in range(len(GOOD_WORDS) * 2):
         a, b = GOOD_WORDS[k % len(GOOD_WORDS)], GOOD_WORDS[(7 * k + 3 + k // len(GOOD_WORDS)) % len(GOOD_WORDS)]
         rows.append((f"https://{PREFIXES[k % 4]}{a}{'-' * (k % 9 == 0)}{b}.{DOMAINS[k % 3]}{PATHS[k % 6]}", 0))
-    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "row int, url string, bad int")
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, '{url}', {bad})" for k, (url, bad) in enumerate(rows)) + " AS labelled(row, url, bad)")
 
 
 def host(url: Column) -> Column:
