@@ -1,9 +1,11 @@
 """Cross-entropy difference between a target and a background language model.
 
-Both models share one vocabulary, the words of all documents (in lower case, apart at white space), and an
-alphabet of 64 symbols. A word's probability mixes a word model with a character trigram model,
-``(1 - BACKOFF) * (count - 1) / total + BACKOFF * trigrams(word)``: a word seen once or never costs what its letters
-say, since one occurrence may be the scored document's own. ``total`` sums ``count - 1`` over the words seen.
+Both models share one vocabulary, the words and runs of marks of all documents (in lower case), and an alphabet of
+64 symbols. Given the token before, a token repeats it with the share of such tokens, or else is drawn anew: full
+word bigrams (over half of which occur once) would move several times the corpus. A drawn word's probability mixes a word model with a character trigram model,
+``(1 - BACKOFF) * count / total + BACKOFF * trigrams(word)``, so unseen words cost no more than their letters say.
+Counts of words and repeats leave out the scored document itself, on each side that has it: else the background would know the rare
+words of every document, and the target those of its own only.
 Form and weights are the same on both sides: losses differ by what the models have seen and by nothing else.
 A document's score is the mean over its tokens (its words and the end) of target loss less background loss, in
 nats: the lower, the more it is like the target.
@@ -12,14 +14,15 @@ Statistics cover every document and grow with the corpus: the background counts
 labelled as such, and each word has its row. Nothing that grows is broadcast or sent to the driver:
 
 1. Documents and target ids are dealt to chunks of about ``CHUNK`` bytes by the hash of the id. Each chunk counts
-   its words and trigrams once; a table of ``chunk, word hash, counts`` is written.
+   its words and trigrams once; a table of ``chunk, word hash, counts`` is written, with the target ids' hashes.
 2. A window over the word's hash (one row a chunk at most) gives each chunk the counts that its words have in all
-   chunks; they are written. The driver takes the totals and ``SYMBOLS ** 3`` trigram counts.
+   chunks. The driver takes the totals and ``SYMBOLS ** 3`` trigram counts.
 3. Chunks of documents and of counts meet, and each document is scored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -36,8 +39,9 @@ SYMBOLS = 64
 CELLS = SYMBOLS**3
 BACKOFF = 0.25
 CHUNK, LEAST_CHUNKS = 1 << 23, 128  # bytes of text; chunks at any size, many a task so that tasks are even
-END = "\0"
-COUNTS = pa.schema([("word", pa.bool_()), ("key", pa.int64()), ("chunk", pa.int32()), ("target", pa.int64()), ("background", pa.int64())])
+PIECES, END = re.compile(r"\w+|[^\w\s]+"), "\0\0"
+GRAM, WORD, ID, REPEAT = range(4)
+COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("chunk", pa.int32()), ("target", pa.int64()), ("background", pa.int64())])
 
 
 def symbol_table() -> np.ndarray:
@@ -59,8 +63,13 @@ SYMBOL = symbol_table()
 
 
 def tokens(text: str | None) -> list[str]:
-    """Words in lower case, then the end."""
-    return [*(text or "").lower().split(), END]
+    """Words and runs of marks in lower case, then the end."""
+    return [*PIECES.findall((text or "").lower()), END]
+
+
+def drawn(found: list) -> list:
+    """The tokens that differ from the one before."""
+    return [w for w, before in zip(found, [None, *found]) if w != before]  # noqa: B905 - the last has no successor
 
 
 def keys(words: list[str]) -> np.ndarray:
@@ -96,20 +105,25 @@ def count_chunk(docs: pa.Table, ids: pa.Table) -> pa.Table:
     if not docs.num_rows:
         return COUNTS.empty_table()
     wanted = set(ids.column("id").to_pylist())
+    mine = [i for i in dict.fromkeys(docs.column("id").to_pylist()) if i in wanted]
     here, both = Counter(), Counter()
+    repeats = np.zeros(2, np.int64)
     for i, text in zip(docs.column("id").to_pylist(), docs.column("text").to_pylist(), strict=True):
         found = tokens(text)
-        both.update(found)
+        new = drawn(found)
+        both.update(new)
         if i in wanted:
-            here.update(found)
+            here.update(new)
+        repeats += (len(found) - len(new)) * np.array([i in wanted, True])
     words = list(both)
     sides = [np.fromiter((c[w] for w in words), np.int64, len(words)) for c in (here, both)]
     cell, first = trigrams(words)
     grams = [np.bincount(cell, np.repeat(s, np.diff(first)), CELLS).astype(np.int64) for s in sides]
     seen = np.flatnonzero(grams[1])
-    chunk = np.full(len(words) + len(seen), docs.column("chunk")[0].as_py(), np.int32)
-    columns = [np.arange(len(chunk)) < len(words), np.r_[keys(words), seen], chunk, *(np.r_[s, g[seen]] for s, g in zip(sides, grams, strict=True))]
-    return pa.Table.from_arrays([pa.array(c) for c in columns], schema=COUNTS)
+    parts = [(GRAM, seen, grams[0][seen], grams[1][seen]), (WORD, keys(words), *sides), (ID, keys(list(map(str, mine))), *np.zeros((2, len(mine)), np.int64)), (REPEAT, np.zeros(1, np.int64), *repeats[:, None])]
+    kind, key, target, background = (np.concatenate(c) for c in zip(*((np.full(len(k), x, np.int8), k, t, b) for x, k, t, b in parts), strict=True))
+    chunk = np.full(len(key), docs.column("chunk")[0].as_py(), np.int32)
+    return pa.Table.from_arrays([pa.array(c) for c in (kind, key, chunk, target, background)], schema=COUNTS)
 
 
 def gram_losses(counts: np.ndarray) -> np.ndarray:
@@ -125,54 +139,63 @@ def gram_losses(counts: np.ndarray) -> np.ndarray:
     return -np.log(mixed(three, two[None, :, :])).ravel()
 
 
-def word_losses(count: np.ndarray, total: int, cell: np.ndarray, first: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Negative log probabilities of words from their counts and their cells."""
-    spelled = np.log(BACKOFF) - np.add.reduceat(grams[cell], first[:-1])
+def word_losses(count: np.ndarray, total: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+    """Negative log probabilities of words from their counts, the totals and what their letters cost."""
     with np.errstate(divide="ignore"):
-        return -np.logaddexp(np.log((1 - BACKOFF) * np.maximum(count - 1, 0) / max(total, 1)), spelled)
+        return -np.logaddexp(np.log((1 - BACKOFF) * count / np.maximum(total, 1)), np.log(BACKOFF) - spelled)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, ce_diff`` for each row of ``docs``: its words and the end, and the mean loss difference.
+    """``id_col, n_tokens, ce_diff`` for each row of ``docs``: its tokens and the end, and the mean loss difference.
 
     ``target`` has the ids of target documents: nulls and repeats do no harm, each row with such an id counts. An empty
     target is a uniform model. Null and empty texts have one token, the end. Ids may be null or repeated (rows of one id
     share a chunk); other columns are not read. One text is held by one task, whatever its length."""
     rows, ids = dealt(docs, target, id_col, text_col)
-    counts = written(rows.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(count_chunk, "word boolean, key long, chunk int, target long, background long"), "lm-counts")
+    counts = written(rows.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(count_chunk, "kind byte, key long, chunk int, target long, background long"), "lm-counts")
     sides = ("target", "background")
-    everywhere = Window.partitionBy("key")
-    known = counts.filter("word").select("chunk", "key", (F.min("chunk").over(everywhere) == F.col("chunk")).alias("first"), *(F.sum(c).over(everywhere).alias(c) for c in sides))
-    known = written(known, "lm-words")
-    totals = known.filter("first").agg(*(F.coalesce(F.sum(F.greatest(F.col(c) - 1, F.lit(0))), F.lit(0)).alias(c) for c in sides)).first()
-    spelled = counts.filter("NOT word").groupBy("key").agg(*(F.sum(c).alias(c) for c in sides)).toArrow()
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sides]
+    totals = {r["kind"]: r for r in counts.groupBy("kind").agg(*sums).collect()}
+    spelled = counts.filter(F.col("kind") == GRAM).groupBy("key").agg(*sums).toArrow()
     models = []
     for c in sides:
         whole = np.zeros(CELLS)
         whole[spelled.column("key").to_numpy()] = spelled.column(c).to_numpy()
-        models.append((c, int(totals[c]), gram_losses(whole)))
+        models.append((c, *(int(totals[k][c]) if k in totals else 0 for k in (WORD, REPEAT)), gram_losses(whole)))
     shared = docs.sparkSession.sparkContext.broadcast(models)  # two numbers for each cell
+    everywhere = Window.partitionBy("key")
+    known = counts.filter(F.col("kind") == WORD).select("chunk", "kind", "key", *(F.sum(c).over(everywhere).alias(c) for c in sides))
+    known = known.unionByName(counts.filter(F.col("kind") == ID))
     result = pa.schema([("id", to_arrow_type(rows.schema["id"].dataType)), ("n_tokens", pa.int64()), ("ce_diff", pa.float64())])
 
     def score_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return result.empty_table()
-        found = [tokens(t) for t in left.column("text").to_pylist()]
-        place = {}
-        for text in found:
-            for w in text:
-                if w not in place:
-                    place[w] = len(place)
+        is_id = right.column("kind").to_numpy() == ID
+        in_target = np.isin(keys([str(i) for i in left.column("id").to_pylist()]), right.column("key").to_numpy()[is_id])
+        place: dict[str, int] = {}
+        found = [[place.setdefault(w, len(place)) for w in tokens(t)] for t in left.column("text").to_pylist()]
         words = list(place)
-        key = right.column("key").to_numpy()
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        found = [drawn(t) for t in found]
+        new = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.repeat(np.arange(len(found)) * len(words), new) + np.fromiter((k for text in found for k in text), np.int64, int(new.sum()))
+        pair, own = np.unique(flat, return_counts=True)
+        doc, word = np.divmod(pair, len(words))
+        key = right.column("key").to_numpy()[~is_id]
         order = np.argsort(key)
         at = order[np.searchsorted(key, keys(words), sorter=order)]  # each word of the chunk was counted
         cell, first = trigrams(words)
-        losses = [word_losses(right.column(c).to_numpy()[at], total, cell, first, grams) for c, total, grams in shared.value]
-        gain = losses[0] - losses[1]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        mean = [gain[[place[w] for w in text]].mean() for text in found]
-        return pa.Table.from_arrays([left.column("id"), pa.array(n), pa.array(np.round(mean, 9), pa.float64())], schema=result)
-
-    scored = rows.groupBy("chunk").cogroup(known.drop("first").groupBy("chunk")).applyInArrow(score_chunk, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ce_diff double")
+        losses = []
+        for c, total, repeats, grams in shared.value:
+            count = right.column(c).to_numpy()[~is_id][at]
+            left_out = in_target if c == "target" else np.ones(len(found), bool)
+            others, again = total - new * left_out, repeats - (n - new) * left_out
+            each = word_losses(count[word] - own * left_out[doc], others[doc], np.add.reduceat(grams[cell], first[:-1])[word])
+            share = (again + 0.5) / (others + again + 1)
+            losses.append(np.bincount(doc, each * own, len(found)) - new * np.log1p(-share) - (n - new) * np.log(share))
+        mean = (losses[0] - losses[1]) / n
+        return pa.Table.from_arrays([left.column("id"), pa.array(n), pa.array(np.round(mean, 9))], schema=result)
+
+    scored = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score_chunk, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ce_diff double")
     return scored.withColumnRenamed("id", id_col)

@@ -218,20 +218,29 @@ def test_overlap_against_plain_growth():
     assert found == {0: (7, 5, 20, 1)}
 
 
-def plain_losses(texts, end="\0"):
-    """Loss of a word by the definition: Witten-Bell trigrams of its symbols, mixed with counts less one."""
-    counts, grams = {}, {}
+def pieces(t):
+    return [*re.findall(r"\w+|[^\w\s]+", (t or "").lower()), "\0\0"]
+
+
+def plain_losses(texts):
+    """Loss of a token by the definition, without the tokens of ``own``: a repeat, or new from trigrams and counts."""
+    counts, grams, repeats = {}, {}, 0
 
     def cells(w):
         k = [0, 0, *(int(lm_scoring.SYMBOL[b]) for b in w.encode()), 0]
         return [tuple(k[i : i + 3]) for i in range(len(k) - 2)]
 
+    def new(words):
+        return [w for i, w in enumerate(words) if not i or words[i - 1] != w]
+
     for t in texts:
-        for w in [*(t or "").lower().split(), end]:
+        repeats += len(pieces(t)) - len(new(pieces(t)))
+        for w in new(pieces(t)):
             counts[w] = counts.get(w, 0) + 1
+        for w in dict.fromkeys(new(pieces(t))):
             for g in cells(w):
-                grams[g] = grams.get(g, 0) + 1
-    total = max(sum(n - 1 for n in counts.values()), 1)
+                grams[g] = grams.get(g, 0) + new(pieces(t)).count(w)
+    total = sum(counts.values())
 
     def p(h, w):
         lower = p(h[1:], w) if h else 1 / lm_scoring.SYMBOLS
@@ -242,16 +251,20 @@ def plain_losses(texts, end="\0"):
         whole = sum(seen.values())
         return (seen.get(w, 0) + len(seen) * lower) / (whole + len(seen)) if whole else lower
 
-    def loss(w):
+    def loss(w, before, own):
+        n, again = total - len(new(own)), repeats - len(own) + len(new(own))
+        share = (again + 0.5) / (n + again + 1)
+        if w == before:
+            return -np.log(share)
         spelled = sum(np.log(p(g[:2], g[2])) for g in cells(w)) + np.log(lm_scoring.BACKOFF)
-        known = (1 - lm_scoring.BACKOFF) * max(counts.get(w, 0) - 1, 0) / total
-        return -np.logaddexp(np.log(known), spelled) if known else -spelled
+        known = (1 - lm_scoring.BACKOFF) * (counts.get(w, 0) - new(own).count(w)) / max(n, 1)
+        return -np.log(1 - share) - (np.logaddexp(np.log(known), spelled) if known else spelled)
 
     return loss
 
 
 def test_model_scoring(spark, make):
-    texts = ["abab ab", "ab! ab", "zz9 Zz zz", "", None, "é€ zz\tab", "q" * 3000, (None, "ab zz"), (None, "ab zz"), (2, "zz9")]
+    texts = ["abab ab", "ab! ab ab", "zz9 Zz zz, !?", "", None, "é€ zz\tab", "q" * 3000, (None, "ab zz"), (None, "ab zz"), (2, "zz9")]
     df = make(texts)
     target = spark.createDataFrame([(0,), (1,), (1,), (None,), (99,)], "doc_id long")
     got = lm_scoring.cross_entropy_difference(df, target).collect()
@@ -259,8 +272,8 @@ def test_model_scoring(spark, make):
     near, far = plain_losses([t for i, t in plain if i in (0, 1)]), plain_losses([t for _, t in plain])
     want = []
     for i, t in plain:
-        words = [*(t or "").lower().split(), "\0"]
-        want.append((i, len(words), np.mean([near(w) - far(w) for w in words])))
+        words = pieces(t)
+        want.append((i, len(words), np.mean([near(w, b, words if i in (0, 1) else []) - far(w, b, words) for b, w in zip([None, *words], words, strict=False)])))
     for side in (got, want):
         side.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     for r, w in zip(got, want, strict=True):
