@@ -2,10 +2,11 @@
 
 Both models share one vocabulary, the words and runs of marks of all documents (in lower case), and an alphabet of
 64 symbols. Given the token before, a token repeats it with the share of such tokens, or else is drawn anew: full
-word bigrams, of which there are about half as many as tokens, would move several times the corpus. A drawn word's probability mixes a word model with a character trigram model,
-``(1 - BACKOFF) * count / total + BACKOFF * trigrams(word)``, so unseen words cost no more than their letters say.
-Counts of words and repeats leave out the scored document itself, on each side that has it: else the background would know the rare
-words of every document, and the target those of its own only.
+word bigrams, of which there are about half as many as tokens, would move several times the corpus. A drawn word's
+probability mixes a word model with a character trigram model, ``(1 - BACKOFF) * count / total + BACKOFF *
+trigrams(word)``, so unseen words cost no more than their letters say. Counts of words and repeats leave out the
+scored document itself, on each side that has it: else the background would know the rare words of every document,
+and the target those of its own only.
 Form and weights are the same on both sides: losses differ by what the models have seen and by nothing else.
 A document's score is the mean over its tokens (its words and the end) of target loss less background loss, in
 nats: the lower, the more it is like the target.
