@@ -19,7 +19,7 @@ Link: two fingerprints that differ in at most ``radius`` bits. The join is exact
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,20 +35,26 @@ HOT = 1 << 15
 FRONTIER = 1 << 14  # pairs of nodes that go down at once, each to FANOUT ** 2 pairs at most
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """The text's fingerprint. Fewer than ``width`` words make one shingle; no words give zero."""
+def shingle_hashes(text: str | None, width: int = WIDTH) -> list[int]:
+    """The hash of each shingle of a text. Fewer than ``width`` words make one shingle; no words none."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only; splits at 09-0D and 20 only
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     n = len(words) - width + 1
     if n <= 1:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = (ends[:n] - np.fromiter(map(len, words[:n]), np.int64, n) - 1).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = (ends[:n] - np.fromiter(map(len, words[:n]), np.int64, n) - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[s:e], 42) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """The text's fingerprint. Fewer than ``width`` words make one shingle; no words give zero."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     total = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[k : k + (1 << 16)], ">u8")
@@ -255,9 +261,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """``df`` with one row of each near-duplicate component: the least id (ties: the least row hash; of rows
     that agree in every column, one). Null ids come last. Columns as in ``df``."""
+    return least_rows(df, id_col, text_col, lambda keyed: near_duplicates_keyed(keyed, **options))
+
+
+def least_rows(df: DataFrame, id_col: str, text_col: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The row of the least key of each component; ``find`` gives ``key, component`` for rows ``key, text``."""
     ident = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
     keyed = df.select(F.struct(df[id_col].isNull().alias("none"), df[id_col].alias("id"), ident.alias("row")).alias("key"), df[text_col].alias("text"))
-    found = near_duplicates_keyed(keyed, **options)
+    found = find(keyed)
     kept = found.groupBy("component").agg(F.min("key").alias("key")).select(F.col("key.row").alias("__row"), F.coalesce(F.col("key.id").cast("string"), F.lit("")).alias("__id")).distinct()
     marked = df.withColumns({"__row": ident, "__id": F.coalesce(df[id_col].cast("string"), F.lit(""))})
     return marked.join(kept, ["__row", "__id"]).dropDuplicates(["__row", "__id"]).select(*df.columns)
