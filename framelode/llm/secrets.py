@@ -2,7 +2,8 @@
 
 Base kinds, in order: ``assign access hex``. Added kind: ``guess``, a value that follows a
 credential cue and whose cheapest segmentation into words, dates, repeats, keyboard walks
-and brute-force spans still needs at least ``10 ** min_guesses`` guesses.
+and brute-force spans still needs at least ``10 ** min_guesses`` guesses. After blanks or
+``is``, values of letters alone count as prose.
 
 A null or empty text has no spans. Offsets are code points, ends exclusive.
 """
@@ -159,7 +160,8 @@ def find(text: str | None, cues: ahocorasick.Automaton, min_guesses: float = MIN
             s, e = m.span(1)
             while e > s and text[e - 1] in ",.;:)]}\"'":
                 e -= 1
-            if SIGNED.match(text, s, e):  # plain words after a cue are prose
+            told = any(c in ":=" for c in text[m.start() : s])
+            if told or SIGNED.match(text, s, e):  # plain words after a cue and blanks or ``is`` are prose
                 values[s, e] = None
     out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]

@@ -128,3 +128,10 @@ def test_secret_query(make):
     rows = secrets.scan_secrets(df).collect()
     assert sum(r["n_assign"] for r in rows) == 3 and sum(r["n_access"] for r in rows) == 1 and len(rows) == 6
     assert secrets.scan_secrets(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cue", ["pwd=", "passphrase: ", "authorization: Bearer ", "auth = '", "credentials:"])
+def test_letters_alone_after_a_cue(cue):
+    cues, text = secrets.automaton(), cue + "QxZvWkPmNrTy and more"
+    assert [text[s:e] for s, e, k in secrets.find(text, cues) if k == "guess"] == ["QxZvWkPmNrTy"]
+    assert not secrets.find(cue + "sunshine", cues) and not secrets.find("the bearer certificates", cues)
