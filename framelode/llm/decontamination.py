@@ -5,7 +5,8 @@ counts as a letter. A seed is a fixed mask over ``SPAN`` tokens that leaves some
 out, so that a window with substituted tokens there has the same hash. Seed hashes of benchmark
 windows meet those of training windows; around each hit the two token sequences are compared on their
 diagonal, and the overlap grows while its score (1 a match, -2 a substitution) stays within ``DROP`` of
-its best. An overlap of ``min_tokens`` tokens with at least ``min_identity`` of them equal is a match.
+its best. An overlap of ``min_tokens`` tokens with at least ``min_identity`` of them equal is a match. Diagonals without a hit are not looked at: short passages with many
+substitutions are missed (the README has the recall).
 
 An item of fewer tokens than ``SPAN``, but at least ``SHORTEST``, is matched whole and without substitutions.
 
