@@ -1,202 +1,216 @@
-"""Cross-entropy difference between a target and a background language model.
-
-Both models share one vocabulary, the words and runs of marks of all documents (in lower case), and an alphabet of
-64 symbols. Given the token before, a token repeats it with the share of such tokens, or else is drawn anew: full
-word bigrams, of which there are about half as many as tokens, would move several times the corpus. A drawn word's
-probability mixes a word model with a character trigram model, ``(1 - BACKOFF) * count / total + BACKOFF *
-trigrams(word)``, so unseen words cost no more than their letters say. Counts of words and repeats leave out the
-scored document itself, on each side that has it: else the background would know the rare words of every document,
-and the target those of its own only.
-Form and weights are the same on both sides: losses differ by what the models have seen and by nothing else.
-A document's score is the mean over its tokens (its words and the end) of target loss less background loss, in
-nats: the lower, the more it is like the target.
-
-Statistics cover every document and grow with the corpus: the background counts all of them, the target all
-labelled as such, and each word has its row. Nothing that grows is broadcast or sent to the driver:
-
-1. Documents and target ids are dealt to chunks of about ``CHUNK`` bytes by the hash of the id. Each chunk counts
-   its words and trigrams once; a table of ``chunk, word hash, counts`` is written, with the target ids' hashes.
-2. A window over the word's hash (one row a chunk at most) gives each chunk the counts that its words have in all
-   chunks. The driver takes the totals and ``SYMBOLS ** 3`` trigram counts.
-3. Chunks of documents and of counts meet, and each document is scored.
+"""Cross-entropy difference between a target and a background language model of word bigrams.
+
+Both models share one vocabulary: the words and runs of marks of all documents, in lower case, and the boundary of a
+document. A token's probability, given the token before, backs off with Dirichlet priors to the token's share and
+from there to the vocabulary, with the same weights on both sides:
+
+    p1(w)     = (count(w) + WORDS / vocabulary) / (tokens + WORDS)
+    p2(w | v) = (count(v w) + PAIRS * p1(w)) / (count(v) + PAIRS)
+
+All counts, of pairs, words and tokens, leave the scored document out, on each side that has it: else the background
+would know the rare words of every document, and the target those of its own only. A document that occurs twice is
+thus known by its copy. The score is the mean over a document's tokens (the boundary at its end included) of target
+loss less background loss, in nats: the lower, the more it is like the target.
+
+Counts cover every document and grow with the corpus; nothing that grows is broadcast or sent to the driver, and texts
+stay where they are read:
+
+1. Each task cuts its documents into chunks of about ``CHUNK`` bytes and writes, for each chunk, its tokens as numbers,
+   and its keys (hashes of words and pairs) in order with their counts, cut at ``n`` ranges of the key space.
+2. A range's counts of all chunks meet in one task, and each chunk gets its totals back, in the order of its own keys and
+   without them. A key has one number a chunk at most, so the commonest word is one of many keys of its range: a range
+   holds about as many numbers as a chunk, whatever the corpus, and no key more than there are chunks.
+3. A chunk's tokens and totals meet, and each of its documents is scored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.window import Window
 
 from framelode.scratch import written
 
-SYMBOLS = 64
-CELLS = SYMBOLS**3
-BACKOFF = 0.25
-CHUNK, LEAST_CHUNKS = 1 << 23, 128  # bytes of text; chunks at any size, many a task so that tasks are even
-PIECES, END = re.compile(r"\w+|[^\w\s]+"), "\0\0"
-GRAM, WORD, ID, REPEAT = range(4)
-COUNTS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("chunk", pa.int32()), ("target", pa.int64()), ("background", pa.int64())])
+WORDS, PAIRS = 1e6, 1e4  # weights of the priors, in tokens
+CHUNK = 1 << 23  # bytes of text
+LEAST_RANGES = 32
+PIECES, BOUNDARY = re.compile(r"\w+|[^\w\s]+"), "\0\0"
+SIDES = ("background", "target")
 
 
-def symbol_table() -> np.ndarray:
-    """Symbol of each byte of a word's UTF-8 form; 0 is the boundary."""
-    s = np.full(256, 29, np.int32)
-    s[0] = 0
-    s[97:123] = s[65:91] = np.arange(1, 27)
-    s[48:58] = 27
-    s[32] = 28
-    for k, chars in ((30, "."), (31, ","), (32, "'\""), (33, "-_"), (34, "!?"), (35, ";:"), (36, "()[]{}<>"), (37, "@#$%&*+=/\\|^~`")):
-        s[[ord(c) for c in chars]] = k
-    for k, (lo, hi) in enumerate(((0xC0, 0xC4), (0xC4, 0xC6), (0xC6, 0xD0), (0xD0, 0xE0), (0xE0, 0xF0), (0xF0, 0x100))):
-        s[lo:hi] = 38 + k
-    s[0x80:0xC0] = 44 + np.arange(64) % 20
-    return s
+def tokens(text: str | None) -> list[str]:
+    """Words and runs of marks in lower case, then the boundary."""
+    return [*PIECES.findall((text or "").lower()), BOUNDARY]
 
 
-SYMBOL = symbol_table()
+def packed(x: np.ndarray) -> bytes:
+    """64-bit numbers, byte by byte of their places, compressed: small numbers take little."""
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words and runs of marks in lower case, then the end."""
-    return [*PIECES.findall((text or "").lower()), END]
+def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-def drawn(found: list) -> list:
-    """The tokens that differ from the one before."""
-    return [w for w, before in zip(found, [None, *found]) if w != before]  # noqa: B905 - the last has no successor
+def packed_keys(x: np.ndarray) -> bytes:
+    """Ascending keys, by their differences."""
+    return packed(np.diff(x, prepend=np.uint64(0)))
 
 
-def keys(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words)).view(np.int64)
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
-def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of each word's symbols and its boundary, given two before, and where each word's cells start."""
-    data = [w.encode("utf-8", "replace") for w in words]
-    k = SYMBOL[np.frombuffer(b"\0\0" + b"\0\0".join(data) + b"\0", np.uint8)]
-    cell = (k[:-2] * SYMBOLS + k[1:-1]) * SYMBOLS + k[2:]
-    length = np.fromiter(map(len, data), np.int64, len(data))
-    inside = np.ones(len(cell), bool)
-    inside[np.cumsum(length + 2)[:-1] - 1] = False  # the second boundary between two words
-    return cell[inside], np.r_[0, np.cumsum(length + 1)]
+def word_key(word: str) -> int:
+    """Even: keys of pairs are odd."""
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) & ~1
 
 
-def dealt(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``id, text, chunk`` of documents and ``id, chunk`` of targets. Null ids are dealt by their text."""
-    size = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
-    n = max(LEAST_CHUNKS, -(-size // CHUNK))
+BOUNDARY_KEY = np.uint64(word_key(BOUNDARY))
 
-    def chunk(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    ids = target.select(target[id_col].cast(rows.schema["id"].dataType).alias("id")).filter("id IS NOT NULL").distinct()
-    return rows.withColumn("chunk", F.when(F.col("id").isNull(), chunk(F.col("text"))).otherwise(chunk(F.col("id")))), ids.withColumn("chunk", chunk(F.col("id")))
-
-
-def count_chunk(docs: pa.Table, ids: pa.Table) -> pa.Table:
-    """Occurrences of each word and trigram in a chunk: in target documents and in all of them."""
-    if not docs.num_rows:
-        return COUNTS.empty_table()
-    wanted = set(ids.column("id").to_pylist())
-    mine = [i for i in dict.fromkeys(docs.column("id").to_pylist()) if i in wanted]
-    here, both = Counter(), Counter()
-    repeats = np.zeros(2, np.int64)
-    for i, text in zip(docs.column("id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-        found = tokens(text)
-        new = drawn(found)
-        both.update(new)
-        if i in wanted:
-            here.update(new)
-        repeats += (len(found) - len(new)) * np.array([i in wanted, True])
-    words = list(both)
-    sides = [np.fromiter((c[w] for w in words), np.int64, len(words)) for c in (here, both)]
-    cell, first = trigrams(words)
-    grams = [np.bincount(cell, np.repeat(s, np.diff(first)), CELLS).astype(np.int64) for s in sides]
-    seen = np.flatnonzero(grams[1])
-    parts = [(GRAM, seen, grams[0][seen], grams[1][seen]), (WORD, keys(words), *sides), (ID, keys(list(map(str, mine))), *np.zeros((2, len(mine)), np.int64)), (REPEAT, np.zeros(1, np.int64), *repeats[:, None])]
-    kind, key, target, background = (np.concatenate(c) for c in zip(*((np.full(len(k), x, np.int8), k, t, b) for x, k, t, b in parts), strict=True))
-    chunk = np.full(len(key), docs.column("chunk")[0].as_py(), np.int32)
-    return pa.Table.from_arrays([pa.array(c) for c in (kind, key, chunk, target, background)], schema=COUNTS)
-
-
-def gram_losses(counts: np.ndarray) -> np.ndarray:
-    """Negative log probabilities of the last symbol after two, with Witten-Bell interpolation down to a uniform model."""
-
-    def mixed(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        kinds, total = (n > 0).sum(-1, keepdims=True), n.sum(-1, keepdims=True)
-        return np.where(total > 0, (n + kinds * lower) / np.maximum(total + kinds, 1), lower)
-
-    three = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64)
-    one = mixed(three.sum((0, 1)), np.full(SYMBOLS, 1 / SYMBOLS))
-    two = mixed(three.sum(0), one[None, :])
-    return -np.log(mixed(three, two[None, :, :])).ravel()
-
-
-def word_losses(count: np.ndarray, total: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-    """Negative log probabilities of words from their counts, the totals and what their letters cost."""
-    with np.errstate(divide="ignore"):
-        return -np.logaddexp(np.log((1 - BACKOFF) * count / np.maximum(total, 1)), np.log(BACKOFF) - spelled)
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, ce_diff`` for each row of ``docs``: its tokens and the end, and the mean loss difference.
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = before * np.uint64(0x9E3779B97F4A7C15) ^ word
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
+
+
+class Chunk:
+    """The tokens of a chunk's documents as places in ``words``, the ascending keys of its words, and its pairs.
+
+    ``at``: the place of each token's word among all keys of the chunk, ``pair_at`` that of its pair, ``keys`` the keys."""
+
+    def __init__(self, words: np.ndarray, token: np.ndarray, length: np.ndarray):
+        self.words, self.token, self.length = words, token, length
+        self.doc = np.repeat(np.arange(len(length)), length)
+        first = np.cumsum(length) - length
+        before = np.r_[token[:1], token[:-1]]
+        before[first] = np.searchsorted(words, BOUNDARY_KEY)
+        code, pair = np.unique(before * len(words) + token, return_inverse=True)
+        pairs, self.pair = np.unique(pair_keys(words[code // len(words)], words[code % len(words)]), return_inverse=True)
+        self.pair = self.pair[pair]
+        self.keys = np.concatenate([words, pairs])
+        order = np.argsort(self.keys)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.keys = self.keys[order]
+        self.at, self.pair_at = place[token], place[len(words) + self.pair]
+        self.before_at = place[before]
+        self.first = first
+
+    def counts(self, chosen: np.ndarray | None = None) -> np.ndarray:
+        """How often each key occurs in all documents or in the chosen ones."""
+        keep = slice(None) if chosen is None else chosen[self.doc]
+        return np.bincount(self.at[keep], minlength=len(self.keys)) + np.bincount(self.pair_at[keep], minlength=len(self.keys))
+
+    def own(self, at: np.ndarray) -> np.ndarray:
+        """How often each token's key occurs in the token's document."""
+        _, where, n = np.unique(self.doc * len(self.keys) + at, return_inverse=True, return_counts=True)
+        return n[where]
+
+    def losses(self, totals: np.ndarray, n_tokens: int, n_words: int, left_out: np.ndarray, own: np.ndarray, own_pair: np.ndarray, priors: tuple[float, float]) -> np.ndarray:
+        """The sum of each document's losses under a side's totals; ``left_out``: the documents that the side has."""
+        out, (words, pairs) = left_out[self.doc], priors
+        own_before = np.r_[own[:1], own[:-1]]  # what comes before is a token of the same document ...
+        own_before[self.first] = 1  # ... or the boundary, which each has once
+        one = (totals[self.at] - out * own + words / max(n_words, 1)) / (n_tokens - out * self.length[self.doc] + words)
+        two = (totals[self.pair_at] - out * own_pair + pairs * one) / (totals[self.before_at] - out * own_before + pairs)
+        return np.bincount(self.doc, -np.log(two), len(self.length))
+
+
+def cut(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of ``ranges`` equal parts of the key space starts among ascending keys, and the end."""
+    return np.searchsorted(keys >> np.uint64(32), np.array([-(-(k << 32) // ranges) for k in range(ranges)] + [1 << 32], np.uint64))
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, priors: tuple[float, float] = (WORDS, PAIRS)) -> DataFrame:
+    """``id_col, n_tokens, ce_diff`` for each row of ``docs``: its tokens and the boundary, and the mean loss difference.
 
     ``target`` has the ids of target documents: nulls and repeats do no harm, each row with such an id counts. An empty
-    target is a uniform model. Null and empty texts have one token, the end. Ids may be null or repeated (rows of one id
-    share a chunk); other columns are not read. One text is held by one task, whatever its length."""
-    rows, ids = dealt(docs, target, id_col, text_col)
-    counts = written(rows.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(count_chunk, "kind byte, key long, chunk int, target long, background long"), "lm-counts")
-    sides = ("target", "background")
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sides]
-    totals = {r["kind"]: r for r in counts.groupBy("kind").agg(*sums).collect()}
-    spelled = counts.filter(F.col("kind") == GRAM).groupBy("key").agg(*sums).toArrow()
-    models = []
-    for c in sides:
-        whole = np.zeros(CELLS)
-        whole[spelled.column("key").to_numpy()] = spelled.column(c).to_numpy()
-        models.append((c, *(int(totals[k][c]) if k in totals else 0 for k in (WORD, REPEAT)), gram_losses(whole)))
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # two numbers for each cell
-    everywhere = Window.partitionBy("key")
-    known = counts.filter(F.col("kind") == WORD).select("chunk", "kind", "key", *(F.sum(c).over(everywhere).alias(c) for c in sides))
-    known = known.unionByName(counts.filter(F.col("kind") == ID))
-    result = pa.schema([("id", to_arrow_type(rows.schema["id"].dataType)), ("n_tokens", pa.int64()), ("ce_diff", pa.float64())])
-
-    def score_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
+    target is a uniform model. Null and empty texts have one token, the boundary. Ids may be null or repeated, rows that
+    agree are scored row by row, each left out of the counts of the others' models; other columns are not read. Target ids join the
+    documents as Spark plans it by their size. One text is held by one task, whatever its length."""
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    kind = rows.schema["id"].dataType
+    wanted = target.select(target[id_col].cast(kind).alias("id")).filter("id IS NOT NULL").distinct().withColumn("wanted", F.lit(True))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(LEAST_RANGES, -(-size // chunk_bytes))
+    schema = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), *((s, pa.binary()) for s in SIDES), ("ids", pa.list_(to_arrow_type(kind))), ("wanted", pa.list_(pa.bool_())), ("length", pa.binary()), ("token", pa.binary())])
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, 0
+        ids, flags, length, token, place = [], [], [], [], {}
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            words, rank = np.unique(np.fromiter(map(word_key, place), np.uint64, len(place)), return_inverse=True)
+            c = Chunk(words, rank[np.concatenate(token)], np.array(length))
+            sides = c.counts(), c.counts(np.array(flags))
+            at = cut(c.keys, ranges)
+            out = [(number, k, packed_keys(c.keys[s:e]), *(packed(x[s:e]) for x in sides), None, None, None, None) for k, (s, e) in enumerate(zip(at, at[1:], strict=False)) if e > s]
+            out.append((number, -1, packed_keys(words), None, None, ids, flags, packed(c.length), packed(c.token)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        for b in batches:
+            for i, text, flag in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                found = tokens(text)
+                token.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.int64, len(found)))
+                ids.append(i), flags.append(bool(flag)), length.append(len(found))
+                held += len(text or "")
+                if held >= chunk_bytes:
+                    yield from whole()
+                    number, held = number + 1, 0
+                    ids, flags, length, token, place = [], [], [], [], {}
+        if ids:
+            yield from whole()
+
+    fields = f"chunk long, part long, keys binary, background binary, target binary, ids array<{kind.simpleString()}>, wanted array<boolean>, length binary, token binary"
+    cut_up = written(rows.join(wanted, "id", "left").select("id", "text", "wanted").mapInArrow(chunks, fields), "lm-chunks")
+
+    def add(part: pa.Table) -> pa.Table:
+        """Each chunk's totals in the order of its keys, and a row with the range's words and tokens."""
+        keys = [unpacked_keys(x.as_py()) for x in part.column("keys")]
+        all_keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+        ends = np.cumsum([len(k) for k in keys])
+        is_word = all_keys % np.uint64(2) == 0
+        back, sums = [part.column("chunk").combine_chunks()], [int(is_word.sum())]
+        for s in SIDES:
+            total = np.bincount(place, np.concatenate([unpacked(x.as_py()) for x in part.column(s)]), len(all_keys)).astype(np.int64)
+            back.append(pa.array([packed(total[p]) for p in np.split(place, ends[:-1])], pa.binary()))
+            sums.append(int(total[is_word].sum()))
+        n = part.num_rows
+        out = pa.Table.from_arrays([back[0], part.column("part").combine_chunks(), *back[1:], *(pa.nulls(n, pa.int64()) for _ in sums)], schema=sent)
+        return pa.concat_tables([out, pa.Table.from_pylist([{"chunk": -1, "part": -1, "words": sums[0], "background_n": sums[1], "target_n": sums[2]}], schema=sent)])
+
+    sent = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), *((s, pa.binary()) for s in SIDES), ("words", pa.int64()), *((f"{s}_n", pa.int64()) for s in SIDES)])
+    counted = cut_up.filter("part >= 0").select("chunk", "part", "keys", *SIDES)
+    totals = written(counted.groupBy("part").applyInArrow(add, "chunk long, part long, background binary, target binary, words long, background_n long, target_n long"), "lm-totals")
+    n_words, *n_tokens = (x or 0 for x in totals.filter("chunk = -1").agg(F.sum("words"), *(F.sum(f"{s}_n") for s in SIDES)).first())
+    result = pa.schema([("id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("ce_diff", pa.float64())])
+
+    def score(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
             return result.empty_table()
-        is_id = right.column("kind").to_numpy() == ID
-        in_target = np.isin(keys([str(i) for i in left.column("id").to_pylist()]), right.column("key").to_numpy()[is_id])
-        place: dict[str, int] = {}
-        found = [[place.setdefault(w, len(place)) for w in tokens(t)] for t in left.column("text").to_pylist()]
-        words = list(place)
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        found = [drawn(t) for t in found]
-        new = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.repeat(np.arange(len(found)) * len(words), new) + np.fromiter((k for text in found for k in text), np.int64, int(new.sum()))
-        pair, own = np.unique(flat, return_counts=True)
-        doc, word = np.divmod(pair, len(words))
-        key = right.column("key").to_numpy()[~is_id]
-        order = np.argsort(key)
-        at = order[np.searchsorted(key, keys(words), sorter=order)]  # each word of the chunk was counted
-        cell, first = trigrams(words)
-        losses = []
-        for c, total, repeats, grams in shared.value:
-            count = right.column(c).to_numpy()[~is_id][at]
-            left_out = in_target if c == "target" else np.ones(len(found), bool)
-            others, again = total - new * left_out, repeats - (n - new) * left_out
-            each = word_losses(count[word] - own * left_out[doc], others[doc], np.add.reduceat(grams[cell], first[:-1])[word])
-            share = (again + 0.5) / (others + again + 1)
-            losses.append(np.bincount(doc, each * own, len(found)) - new * np.log1p(-share) - (n - new) * np.log(share))
-        mean = (losses[0] - losses[1]) / n
-        return pa.Table.from_arrays([left.column("id"), pa.array(n), pa.array(np.round(mean, 9))], schema=result)
-
-    scored = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score_chunk, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ce_diff double")
+        c = Chunk(unpacked_keys(chunk.column("keys")[0].as_py()), unpacked(chunk.column("token")[0].as_py()), unpacked(chunk.column("length")[0].as_py()))
+        flags = np.array(chunk.column("wanted")[0].as_py(), bool)
+        order = np.argsort(found.column("part").to_numpy())
+        own, own_pair = c.own(c.at), c.own(c.pair_at)
+        loss = []
+        for s, n, left_out in zip(SIDES, n_tokens, (np.ones(len(flags), bool), flags), strict=True):
+            total = np.concatenate([unpacked(found.column(s)[int(k)].as_py()) for k in order])
+            loss.append(c.losses(total, n, n_words, left_out, own, own_pair, priors))
+        mean = (loss[1] - loss[0]) / c.length
+        return pa.Table.from_arrays([chunk.column("ids").combine_chunks().flatten(), pa.array(c.length), pa.array(np.round(mean, 9))], schema=result)
+
+    texts = cut_up.filter("part = -1").select("chunk", "keys", "ids", "wanted", "length", "token")
+    scored = texts.groupBy("chunk").cogroup(totals.filter("chunk >= 0").select("chunk", "part", *SIDES).groupBy("chunk")).applyInArrow(score, f"id {kind.simpleString()}, n_tokens long, ce_diff double")
     return scored.withColumnRenamed("id", id_col)

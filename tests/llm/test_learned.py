@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -222,74 +223,67 @@ def pieces(t):
     return [*re.findall(r"\w+|[^\w\s]+", (t or "").lower()), "\0\0"]
 
 
-def plain_losses(texts):
-    """Loss of a token by the definition, without the tokens of ``own``: a repeat, or new from trigrams and counts."""
-    counts, grams, repeats = {}, {}, 0
-
-    def cells(w):
-        k = [0, 0, *(int(lm_scoring.SYMBOL[b]) for b in w.encode()), 0]
-        return [tuple(k[i : i + 3]) for i in range(len(k) - 2)]
-
-    def new(words):
-        return [w for i, w in enumerate(words) if not i or words[i - 1] != w]
-
+def plain_losses(texts, vocabulary, words_prior=30.0, pairs_prior=2.0):
+    """The mean loss of a document's tokens under counts of ``texts``, without the document's own where it is one of them."""
+    words, pairs = Counter(), Counter()
     for t in texts:
-        repeats += len(pieces(t)) - len(new(pieces(t)))
-        for w in new(pieces(t)):
-            counts[w] = counts.get(w, 0) + 1
-        for w in dict.fromkeys(new(pieces(t))):
-            for g in cells(w):
-                grams[g] = grams.get(g, 0) + new(pieces(t)).count(w)
-    total = sum(counts.values())
-
-    def p(h, w):
-        lower = p(h[1:], w) if h else 1 / lm_scoring.SYMBOLS
-        seen = {}
-        for g, n in grams.items():
-            if g[2 - len(h) : 2] == h:
-                seen[g[2]] = seen.get(g[2], 0) + n
-        whole = sum(seen.values())
-        return (seen.get(w, 0) + len(seen) * lower) / (whole + len(seen)) if whole else lower
-
-    def loss(w, before, own):
-        n, again = total - len(new(own)), repeats - len(own) + len(new(own))
-        share = (again + 0.5) / (n + again + 1)
-        if w == before:
-            return -np.log(share)
-        spelled = sum(np.log(p(g[:2], g[2])) for g in cells(w)) + np.log(lm_scoring.BACKOFF)
-        known = (1 - lm_scoring.BACKOFF) * (counts.get(w, 0) - new(own).count(w)) / max(n, 1)
-        return -np.log(1 - share) - (np.logaddexp(np.log(known), spelled) if known else spelled)
+        words.update(pieces(t))
+        pairs.update(zip(["\0\0", *pieces(t)], pieces(t), strict=False))
+
+    def loss(text, out):
+        found = pieces(text)
+        own, own_pairs = (Counter(found), Counter(zip(["\0\0", *found], found, strict=False))) if out else (Counter(), Counter())
+        n, total = sum(words.values()) - sum(own.values()), 0.0
+        for v, w in zip(["\0\0", *found], found, strict=False):
+            one = (words[w] - own[w] + words_prior / vocabulary) / (n + words_prior)
+            total -= np.log((pairs[v, w] - own_pairs[v, w] + pairs_prior * one) / (words[v] - own[v] + pairs_prior))
+        return total / len(found)
 
     return loss
 
 
-def test_model_scoring(spark, make):
-    texts = ["abab ab", "ab! ab ab", "zz9 Zz zz, !?", "", None, "é€ zz\tab", "q" * 3000, (None, "ab zz"), (None, "ab zz"), (2, "zz9")]
-    df = make(texts)
+@pytest.mark.parametrize("chunk", [1, 60, lm_scoring.CHUNK])
+def test_model_scoring(spark, make, chunk):
+    texts = ["abab ab", "ab! ab ab", "zz9 Zz zz, !?", "", None, "é€ zz\tab", "q" * 3000, (None, "ab zz"), (None, "ab zz"), (2, "zz9"), "ab zz zz zz ab zz", "the ab zz ab"]
+    df = make(texts).repartition(3)
     target = spark.createDataFrame([(0,), (1,), (1,), (None,), (99,)], "doc_id long")
-    got = lm_scoring.cross_entropy_difference(df, target).collect()
+    got = lm_scoring.cross_entropy_difference(df, target, chunk_bytes=chunk, priors=(30.0, 2.0)).collect()
     plain = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
-    near, far = plain_losses([t for i, t in plain if i in (0, 1)]), plain_losses([t for _, t in plain])
-    want = []
-    for i, t in plain:
-        words = pieces(t)
-        want.append((i, len(words), np.mean([near(w, b, words if i in (0, 1) else []) - far(w, b, words) for b, w in zip([None, *words], words, strict=False)])))
+    vocabulary = len({w for _, t in plain for w in pieces(t)})
+    near, far = plain_losses([t for i, t in plain if i in (0, 1)], vocabulary), plain_losses([t for _, t in plain], vocabulary)
+    want = [(i, len(pieces(t)), near(t, i in (0, 1)) - far(t, True)) for i, t in plain]
     for side in (got, want):
         side.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     for r, w in zip(got, want, strict=True):
         assert tuple(r)[:2] == w[:2] and r["ce_diff"] == pytest.approx(w[2], abs=1e-6)
-    by = {r["doc_id"]: r["ce_diff"] for r in got}
-    assert by[0] < by[2]
     assert lm_scoring.cross_entropy_difference(df.limit(0), target).count() == 0
     assert lm_scoring.cross_entropy_difference(df, target.limit(0)).count() == len(texts)
 
 
-def test_chunks_do_not_change_scores(make, spark, monkeypatch):
+def test_chunks_do_not_change_scores(make, spark):
     rng = random.Random(2)
     df = make([" ".join(rng.choice(["one", "two", "three", "four", f"w{i}"]) for _ in range(20)) for i in range(80)])
     target = spark.range(0, 80, 4).withColumnRenamed("id", "doc_id")
-    scores = []
-    for n in (1, 7):
-        monkeypatch.setattr(lm_scoring, "LEAST_CHUNKS", n)
-        scores.append(sorted(map(tuple, lm_scoring.cross_entropy_difference(df, target).collect())))
-    assert scores[0] == scores[1]
+    scores = [sorted(map(tuple, lm_scoring.cross_entropy_difference(df.repartition(n), target, chunk_bytes=size).collect())) for n, size in ((1, 1 << 20), (3, 100), (5, 1))]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_copies_and_order_are_known(make, spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(60)]
+    shuffled = " ".join(sorted(texts[0].split()))
+    df = make([*texts, texts[1], shuffled])
+    by = {r["doc_id"]: r["ce_diff"] for r in lm_scoring.cross_entropy_difference(df, spark.range(2, 20).withColumnRenamed("id", "doc_id")).collect()}
+    assert min(by[1], by[60]) > max(v for k, v in by.items() if k not in (1, 60))  # the background knows a copy
+    assert by[0] != by[61]  # the same words in another order
+
+
+def test_packed():
+    x = np.array([0, 5, 5, 1 << 40, 3], np.int64)
+    assert np.array_equal(lm_scoring.unpacked(lm_scoring.packed(x)), x)
+    k = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64))
+    assert np.array_equal(lm_scoring.unpacked_keys(lm_scoring.packed_keys(k)), k)
+    assert not len(lm_scoring.unpacked(lm_scoring.packed(x[:0])))
+    at = lm_scoring.cut(k, 7)
+    assert at[0] == 0 and at[-1] == len(k) and all(int(v) * 7 >> 64 == j for j in range(7) for v in k[at[j] : at[j + 1]])
