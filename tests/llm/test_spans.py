@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -50,11 +51,58 @@ def test_pii_base_spans():
 
 def test_pii_added_spans():
     anchors = pii.automaton()
-    t = "see https://a.example/x?q=1. IBAN: DE89 3704 0044 0532 0130 00, account no 1234-567890"
+    t = "see https://a.example/x?q=1. IBAN: DE89 3704 0044 0532 0130 00 THEN, account no 1234-567890"
     found = {k: t[s:e] for s, e, k in pii.find(t, anchors)}
     assert found["url"] == "https://a.example/x?q=1" and found["iban"] == "DE89 3704 0044 0532 0130 00" and found["account"] == "1234-567890"
 
 
+@pytest.mark.parametrize(
+    ("text", "account"),
+    [
+        ("Customer ID 12345678", "12345678"), ("Tax ID: 12-3456789", "12-3456789"), ("cUSTOMER iD: 9912345", "9912345"), ("SSN 123-45-6789.", "123-45-6789"),
+        ("ssn 000-12-3456", None), ("ssn 666-12-3456", None), ("SSN: 900-12-3456", None), ("ssn 123-00-4567", None), ("ssn 123-45-0000", None), ("ssn 123-45-67890", None),
+        ("routing number 021000021", "021000021"), ("routing number 021000022", None), ("routing 000000000", None), ("account 2024-10-12 13", None), ("account 12-10-2024", None),
+        ("account 20241012", None), ("account 20241399", "20241399"), ("discount account123", None), ("subaccount 12345678", None), ("account 12345", None), ("account number is 5551234", "5551234"), ("Passport No. 123456789", "123456789"),
+        ("account 111111111", None), ("account " + "12" * 9, None), ("accounts 1234567", None),
+    ],
+)
+def test_account_boundaries(text, account):
+    assert [text[s:e] for s, e, k in pii.find(text, pii.automaton()) if k == "account"] == ([account] if account else [])
+
+
+def plain_added(t):
+    """Added spans by trying every place and every length."""
+    low, out = t.lower(), []
+    cues = [(m.end(), w) for w in pii.ACCOUNT_CUES for m in re.finditer(re.escape(w), low) if not m.start() or not t[m.start() - 1].isalnum()]
+    for at, cue in cues:
+        gap = re.match(r"(?i)(?: numbers?| no\.?| nr\.?| num\.?| is)?(?: is)?[ :=#]{1,3}", t[at:])
+        s = at + gap.end() if gap else at
+        ends = [e for e in range(s + 1, len(t) + 1) if gap and re.fullmatch(r"[0-9](?:[ -]?[0-9])*", t[s:e])]
+        number = re.sub("[ -]", "", t[s : max(ends, default=s)])
+        date = re.match(r"((19|20)\d\d([ -]?)(0[1-9]|1[0-2])\3(0[1-9]|[12]\d|3[01])|(0[1-9]|[12]\d|3[01])([ -])(0[1-9]|1[0-2])\7(19|20)\d\d)(?!\d)", t[s : max(ends, default=s)])
+        if cue in ("ssn", "social security"):
+            fine = re.fullmatch(r"\d{3}([ -]?)\d{2}\1\d{4}", t[s : max(ends, default=s)]) and number[:3] not in ("000", "666") and number[0] != "9" and number[3:5] != "00" and number[5:] != "0000"
+        elif cue == "routing":
+            fine = re.fullmatch(r"\d{9}", t[s : max(ends, default=s)]) and int(number) and sum(map(int, number[::3])) * 3 % 10 == (-sum(map(int, number[1::3])) * 7 - sum(map(int, number[2::3]))) % 10
+        else:
+            fine = 6 <= len(number) <= 17 and len(set(number)) > 1 and not date and (cue != "tax id" or 8 <= len(number) <= 12)
+        if fine:
+            out.append((s, max(ends), "account"))
+    return sorted(set(out))
+
+
+def test_added_spans_against_search():
+    anchors, rng = pii.automaton(), random.Random(7)
+    parts = ["account", "Acct", "SSN", "routing", "tax ID", "Social Security", "customer id", " number", " no.", " is", ":", " ", "=", "#", "-", "x", "2024", "10", "12", "123", "45", "6789", "0", "021000021", "00", "é"]
+    seen = 0
+    for _ in range(80_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(2, 12)))
+        found = [x for x in pii.find(t, anchors) if x[2] == "account"]
+        assert found == plain_added(t), t
+        seen += len(found)
+    assert seen > 300
+
+
 def test_pii_query(make):
     long = "a" * 300_000 + " z@y.xx"
     df = make(["", None, "mail z@y.xx", "mail z@y.xx", long, (None, "z@y.xx")])
@@ -72,7 +120,7 @@ def test_secret_base_spans():
     parts = ["password", "passwd", "secret", "ToKen", "api_key", "APIkey", "=", ":", " ", '"', "'", "abcd", "AKIA", "AKIA0123", "0123456789abcdef", "a0", "Z", "K", "İ", "é", "-", "_"]
     for _ in range(20_000):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert [s for s in secrets.find(t, cues) if s[2] in secrets.BASE] == base_secrets(t), t
+        assert [s for s in secrets.find(t, cues)[0] if s[2] in secrets.BASE] == base_secrets(t), t
 
 
 def test_guess_cost_against_search():
@@ -88,7 +136,7 @@ def test_guess_cost_against_search():
             for j in {m.end(), i + 4} if m.group()[:2] in ("19", "20") else {m.end()}:
                 yield j, 2.1 if j - i <= 4 else 4.3
         j = i + 1
-        while j < len(v) and low[j - 1] + low[j] in secrets.STEPS:
+        while j < len(v) and secrets.STEPS[ord(low[j - 1]), ord(low[j])]:
             j += 1
         if j - i >= 3:
             yield j, secrets.log10(40) + secrets.log10(j - i)
@@ -114,13 +162,15 @@ def test_guess_cost_against_search():
         cost, segments = secrets.guess_cost(v)
         assert abs(cost - search(v)) < 1e-9, v
         assert "".join(s for _, s in segments) == v
+        assert secrets.guess_cost(v, 6.0)[0] == min(cost, 6.0)
     assert secrets.guess_cost("") == (0.0, [])
+    assert secrets.guess_cost("x9$passwordQQ#")[1][1] == ("word", "password")
     assert secrets.guess_cost("password1")[0] < 4 < 12 < secrets.guess_cost("xK9$vq2!LmZp")[0]
 
 
 @pytest.mark.parametrize(("text", "guess"), [("password=password123", False), ("password=b7db7aa4a5fcc78305", True), ("Bearer xK9$vq2!LmZp0", True), ("the secret is sunshine", False), ("pwd: Tr0ub4dor&3xQz", True)])
 def test_guess_spans(text, guess):
-    assert any(k == "guess" for _, _, k in secrets.find(text, secrets.automaton())) == guess
+    assert any(k == "guess" for _, _, k in secrets.find(text, secrets.automaton())[0]) == guess
 
 
 def test_secret_query(make):
@@ -133,5 +183,18 @@ def test_secret_query(make):
 @pytest.mark.parametrize("cue", ["pwd=", "passphrase: ", "authorization: Bearer ", "auth = '", "credentials:"])
 def test_letters_alone_after_a_cue(cue):
     cues, text = secrets.automaton(), cue + "QxZvWkPmNrTy and more"
-    assert [text[s:e] for s, e, k in secrets.find(text, cues) if k == "guess"] == ["QxZvWkPmNrTy"]
-    assert not secrets.find(cue + "sunshine", cues) and not secrets.find("the bearer certificates", cues)
+    assert [text[s:e] for s, e, k in secrets.find(text, cues)[0] if k == "guess"] == ["QxZvWkPmNrTy"]
+    assert not secrets.find(cue + "sunshine", cues)[0] and not secrets.find("the bearer certificates", cues)[0]
+
+
+@pytest.mark.parametrize("text", ["token=" * 170_000, "token=" + "xK9$vq2!" * 125_000, "pwd: " + "a" * 1_000_000, "secret " * 140_000, "auth = " + "lovethe" * 140_000, "token" + " " * 1_000_000, "&token=x&" * 110_000])
+def test_long_texts_take_linear_time(text):
+    cues, began = secrets.automaton(), time.perf_counter()
+    secrets.find(text, cues)
+    assert time.perf_counter() - began < 5
+
+
+def test_values_end_at_the_next_cue():
+    text = "https://x.example/?token=xK9$vq2!LmZp0&pwd=Tr0ub4dor3xQzWy&auth=sunshine"
+    spans, cost = secrets.find(text, secrets.automaton())
+    assert [text[s:e] for s, e, k in spans if k == "guess"] == ["xK9$vq2!LmZp0&", "Tr0ub4dor3xQzWy&"] and cost > 12
