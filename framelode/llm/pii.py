@@ -1,8 +1,9 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors (at-signs, plus signs, digits, schemes and
-identifier cues) in one pass over the text. A deterministic parser for each anchor
-expands it to its boundaries and validates it.
+identifier cues, in either case) in one pass over the text. A deterministic parser for each
+anchor expands it to its boundaries and validates it: a cue starts a word, and what
+follows it has the form and the checks of its kind (``ACCOUNTS``).
 
 Kinds, in order: ``email ip card phone`` (the base) and ``url iban account`` (added).
 A null or empty text has no spans. Offsets are code points, ends exclusive.
@@ -18,6 +19,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from framelode.llm.secrets import lowered
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "iban", "account")
 RANK = {k: i for i, k in enumerate(BASE + ADDED)}
@@ -25,7 +28,7 @@ RANK = {k: i for i, k in enumerate(BASE + ADDED)}
 # Schemes and identifier cues that anchor the added kinds.
 SCHEMES = ("http://", "https://", "ftp://", "sftp://")
 IBAN_CUES = ("iban",)
-ACCOUNT_CUES = ("account", "acct", "customer id", "passport", "ssn", "tax id", "routing")
+ACCOUNT_CUES = ("account", "acct", "customer id", "passport", "ssn", "social security", "tax id", "routing")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,11 +37,40 @@ DIGIT_CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 PHONE_RUN = re.compile(r"[0-9][ ().0-9-]*")
 URL_REST = re.compile(r"[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?")
 IBAN_BODY = re.compile(r"[ :=#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)")
-ACCOUNT_BODY = re.compile(r"(?: number| no\.?| nr\.?)?[ :=#]{1,3}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])")
+IBAN_SHORTER = re.compile(r"(?: ?[A-Z0-9]{4}| ?[A-Z0-9]{1,3})\Z")
+TO_NUMBER = re.compile(r"(?i:(?: number| numbers| no\.?| nr\.?| num\.?| is)?(?: is)?)[ :=#]{1,3}")
+CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
+SSN = re.compile(r"([0-9]{3})([ -]?)([0-9]{2})\2([0-9]{4})(?![ -]?[0-9])")
+CALENDAR = re.compile(r"(?:(?:19|20)[0-9]{2}([ -]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([ -])(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2})(?![0-9])")
+
+
+def ssn(body: str) -> bool:
+    """Area, group and serial are numbers that are given out."""
+    m = SSN.fullmatch(body)
+    return bool(m) and m.group(1) not in ("000", "666") and m.group(1) < "900" and m.group(3) != "00" and m.group(4) != "0000"
+
+
+def routing(body: str) -> bool:
+    """Nine digits in one piece, with the weighted sum (3, 7, 1) of a bank's routing number."""
+    return len(body) == 9 and body.isdigit() and body != "0" * 9 and sum(w * int(c) for w, c in zip((3, 7, 1) * 3, body, strict=True)) % 10 == 0
+
+
+def account(body: str) -> bool:
+    """6 to 17 digits, not all the same, that do not start as a date."""
+    number = body.replace(" ", "").replace("-", "")
+    return 6 <= len(number) <= 17 and len(set(number)) > 1 and not CALENDAR.match(body)
+
+
+def tax_id(body: str) -> bool:
+    return account(body) and 8 <= len(body.replace(" ", "").replace("-", "")) <= 12
+
+
+#: The check of the number after each cue.
+ACCOUNTS = {"ssn": ssn, "social security": ssn, "routing": routing, "tax id": tax_id}
 
 
 def automaton() -> ahocorasick.Automaton:
-    """Anchors to (parser, length)."""
+    """Anchors, in lower case, to (parser, length)."""
     a = ahocorasick.Automaton()
     for w in "@":
         a.add_word(w, ("email", 1))
@@ -47,8 +79,7 @@ def automaton() -> ahocorasick.Automaton:
         a.add_word(d, ("digit", 1))
     for kind, words in (("url", SCHEMES), ("iban", IBAN_CUES), ("account", ACCOUNT_CUES)):
         for w in words:
-            for form in (w, w.upper(), w.capitalize()):
-                a.add_word(form, (kind, len(w)))
+            a.add_word(w, (kind, len(w)))
     a.make_automaton()
     return a
 
@@ -68,13 +99,31 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_at(text: str, at: int) -> tuple[int, int] | None:
+    """The longest run of groups after the cue that has the check digits."""
+    if m := IBAN_BODY.match(text, at):
+        body = m.group(1)
+        while body and len(body.replace(" ", "")) >= 12:
+            if mod97(body):
+                return m.start(1), m.start(1) + len(body)
+            body = IBAN_SHORTER.sub("", body)
+    return None
+
+
+def account_at(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    """The number after the cue, to its last digit, if it passes the cue's check."""
+    if (m := TO_NUMBER.match(text, at)) and (body := CHAIN.match(text, m.end())) and ACCOUNTS.get(cue, account)(body.group()):
+        return body.span()
+    return None
+
+
 def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """All spans ``(start, end, kind)`` of a text, by start, then kind."""
     if not text:
         return []
     out: list[tuple[int, int, str]] = []
     email_end = ip_end = card_end = phone_end = url_end = 0
-    for last, (kind, n) in anchors.iter(text):
+    for last, (kind, n) in anchors.iter(lowered(text)):
         if kind == "digit":
             if last >= ip_end:
                 m = NUMBER_CHAIN.match(text, last)
@@ -115,11 +164,10 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[int, in
             if start >= url_end and (m := URL_REST.match(text, last + 1)):
                 url_end = last + 1 + len(m.group().rstrip(".,;:!?)"))
                 out.append((start, url_end, "url"))
-        elif kind == "iban":
-            if (m := IBAN_BODY.match(text, last + 1)) and mod97(m.group(1)):
-                out.append((m.start(1), m.end(1), "iban"))
-        elif m := ACCOUNT_BODY.match(text, last + 1):
-            out.append((m.start(1), m.end(1), "account"))
+        elif last < n or not text[last - n].isalnum():
+            span = iban_at(text, last + 1) if kind == "iban" else account_at(text, last + 1, text[last - n + 1 : last + 1].lower())
+            if span:
+                out.append((*span, kind))
     return sorted(set(out), key=lambda s: (s[0], RANK[s[2]], s[1]))
 
 
@@ -131,7 +179,8 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for each row of ``df``.
 
     One narrow pass: no shuffle, memory bounded by an Arrow batch. Ids may be null or
-    repeated, each row gets a row; other columns are not read.
+    repeated, each row gets a row; other columns are not read. An id column that is named like one of the
+    results stands beside it: rename it before.
     """
     narrow = df.select(df[id_col], df[text_col])
     kind = narrow.schema[0].dataType.simpleString()
