@@ -24,11 +24,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared scratch folder and read it back."""
+def written(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared scratch folder and read it back. ``packed``: its values are compressed already."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="none" if packed else None)
     return spark.read.schema(df.schema).parquet(path)
 
 
