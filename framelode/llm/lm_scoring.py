@@ -40,6 +40,9 @@ from framelode.scratch import written
 
 WORDS, PAIRS = 1e6, 1e4  # weights of the priors, in tokens
 CHUNK = 1 << 23  # bytes of text
+BATCH = 16  # rows of a chunk sent at once
+PIECE = 1 << 17  # tokens in a row, and scored at once
+FEW_TARGETS = 1 << 20  # ids that may be broadcast
 LEAST_RANGES = 32
 PIECES, BOUNDARY = re.compile(r"\w+|[^\w\s]+"), "\0\0"
 SIDES = ("background", "target")
@@ -71,8 +74,8 @@ def unpacked_keys(data: bytes) -> np.ndarray:
 
 
 def word_key(word: str) -> int:
-    """Even: keys of pairs are odd."""
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) & ~1
+    """56 bits, even: keys of pairs are odd."""
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) >> 8 & ~1
 
 
 BOUNDARY_KEY = np.uint64(word_key(BOUNDARY))
@@ -82,7 +85,7 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     x = before * np.uint64(0x9E3779B97F4A7C15) ^ word
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(8) | np.uint64(1)
 
 
 class Chunk:
@@ -92,57 +95,76 @@ class Chunk:
 
     def __init__(self, words: np.ndarray, token: np.ndarray, length: np.ndarray):
         self.words, self.token, self.length = words, token, length
-        self.doc = np.repeat(np.arange(len(length)), length)
-        first = np.cumsum(length) - length
+        self.doc = np.repeat(np.arange(len(length), dtype=np.int32), length)
+        self.first = np.cumsum(length) - length
         before = np.r_[token[:1], token[:-1]]
-        before[first] = np.searchsorted(words, BOUNDARY_KEY)
-        code, pair = np.unique(before * len(words) + token, return_inverse=True)
-        pairs, self.pair = np.unique(pair_keys(words[code // len(words)], words[code % len(words)]), return_inverse=True)
-        self.pair = self.pair[pair]
+        before[self.first] = np.searchsorted(words, BOUNDARY_KEY)
+        code, pair = np.unique(before * np.int64(len(words)) + token, return_inverse=True)
+        pairs, found = np.unique(pair_keys(words[code // len(words)], words[code % len(words)]), return_inverse=True)
+        pair = found[pair]
         self.keys = np.concatenate([words, pairs])
         order = np.argsort(self.keys)
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.keys = self.keys[order]
-        self.at, self.pair_at = place[token], place[len(words) + self.pair]
-        self.before_at = place[before]
-        self.first = first
+        self.at, self.pair_at, self.before_at = place[token], place[len(words) + pair], place[before]
 
     def counts(self, chosen: np.ndarray | None = None) -> np.ndarray:
         """How often each key occurs in all documents or in the chosen ones."""
         keep = slice(None) if chosen is None else chosen[self.doc]
         return np.bincount(self.at[keep], minlength=len(self.keys)) + np.bincount(self.pair_at[keep], minlength=len(self.keys))
 
-    def own(self, at: np.ndarray) -> np.ndarray:
-        """How often each token's key occurs in the token's document."""
-        _, where, n = np.unique(self.doc * len(self.keys) + at, return_inverse=True, return_counts=True)
-        return n[where]
-
-    def losses(self, totals: np.ndarray, n_tokens: int, n_words: int, left_out: np.ndarray, own: np.ndarray, own_pair: np.ndarray, priors: tuple[float, float]) -> np.ndarray:
-        """The sum of each document's losses under a side's totals; ``left_out``: the documents that the side has."""
-        out, (words, pairs) = left_out[self.doc], priors
-        own_before = np.r_[own[:1], own[:-1]]  # what comes before is a token of the same document ...
-        own_before[self.first] = 1  # ... or the boundary, which each has once
-        one = (totals[self.at] - out * own + words / max(n_words, 1)) / (n_tokens - out * self.length[self.doc] + words)
-        two = (totals[self.pair_at] - out * own_pair + pairs * one) / (totals[self.before_at] - out * own_before + pairs)
-        return np.bincount(self.doc, -np.log(two), len(self.length))
+    def pieces(self) -> Iterator[slice]:
+        """Runs of documents of about ``PIECE`` tokens."""
+        ends = np.cumsum(self.length)
+        s = 0
+        while s < len(ends):
+            e = max(s + 1, int(np.searchsorted(ends, self.first[s] + PIECE, "right")))
+            yield slice(s, e)
+            s = e
+
+    def tokens_of(self, docs: slice) -> slice:
+        return slice(int(self.first[docs.start]), int(self.first[docs.stop - 1] + self.length[docs.stop - 1]))
+
+    def losses(self, sides: list[tuple[np.ndarray, int, np.ndarray]], n_words: int, priors: tuple[float, float]) -> list[np.ndarray]:
+        """For each side the sum of each document's losses. A side: totals of the keys, its tokens, and the documents that it has."""
+        out = [np.zeros(len(self.length)) for _ in sides]
+        for docs in self.pieces():
+            part = self.tokens_of(docs)
+            doc, at, pair_at, before_at = self.doc[part] - docs.start, self.at[part], self.pair_at[part], self.before_at[part]
+            own, own_pair = (in_document(doc, x, len(self.keys)) for x in (at, pair_at))
+            own_before = np.r_[own[:1], own[:-1]]  # what comes before is a token of the same document ...
+            own_before[self.first[docs] - part.start] = 1  # ... or the boundary, which each has once
+            for total, (counts, n_tokens, has) in zip(out, sides, strict=True):
+                left_out = has[docs][doc]
+                one = (counts[at] - left_out * own + priors[0] / max(n_words, 1)) / (n_tokens - left_out * self.length[docs][doc] + priors[0])
+                two = (counts[pair_at] - left_out * own_pair + priors[1] * one) / (counts[before_at] - left_out * own_before + priors[1])
+                total[docs] = np.bincount(doc, -np.log(two), docs.stop - docs.start)
+        return out
+
+
+def in_document(doc: np.ndarray, at: np.ndarray, keys: int) -> np.ndarray:
+    """How often each token's key occurs in the token's document."""
+    _, where, n = np.unique(doc * np.int64(keys) + at, return_inverse=True, return_counts=True)
+    return n[where]
 
 
 def cut(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where each of ``ranges`` equal parts of the key space starts among ascending keys, and the end."""
-    return np.searchsorted(keys >> np.uint64(32), np.array([-(-(k << 32) // ranges) for k in range(ranges)] + [1 << 32], np.uint64))
+    return np.searchsorted(keys >> np.uint64(24), np.array([-(-(k << 32) // ranges) for k in range(ranges)] + [1 << 32], np.uint64))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, priors: tuple[float, float] = (WORDS, PAIRS)) -> DataFrame:
     """``id_col, n_tokens, ce_diff`` for each row of ``docs``: its tokens and the boundary, and the mean loss difference.
 
     ``target`` has the ids of target documents: nulls and repeats do no harm, each row with such an id counts. An empty
-    target is a uniform model. Null and empty texts have one token, the boundary. Ids may be null or repeated, rows that
-    agree are scored row by row, each left out of the counts of the others' models; other columns are not read. Target ids join the
-    documents as Spark plans it by their size. One text is held by one task, whatever its length."""
+    target is a uniform model. Null and empty texts have one token, the boundary. Ids may be null or repeated; rows that
+    agree are copies, which know each other; other columns are not read. Up to
+    ``FEW_TARGETS`` target ids are broadcast, more are joined with the documents by a shuffle. One text is held by one task, whatever its length."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = rows.schema["id"].dataType
     wanted = target.select(target[id_col].cast(kind).alias("id")).filter("id IS NOT NULL").distinct().withColumn("wanted", F.lit(True))
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_TARGETS else wanted
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(LEAST_RANGES, -(-size // chunk_bytes))
     schema = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), *((s, pa.binary()) for s in SIDES), ("ids", pa.list_(to_arrow_type(kind))), ("wanted", pa.list_(pa.bool_())), ("length", pa.binary()), ("token", pa.binary())])
@@ -153,28 +175,31 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
 
         def whole() -> Iterator[pa.RecordBatch]:
             words, rank = np.unique(np.fromiter(map(word_key, place), np.uint64, len(place)), return_inverse=True)
-            c = Chunk(words, rank[np.concatenate(token)], np.array(length))
+            c = Chunk(words, rank[np.concatenate(token)].astype(np.int32), np.array(length))
             sides = c.counts(), c.counts(np.array(flags))
             at = cut(c.keys, ranges)
             out = [(number, k, packed_keys(c.keys[s:e]), *(packed(x[s:e]) for x in sides), None, None, None, None) for k, (s, e) in enumerate(zip(at, at[1:], strict=False)) if e > s]
-            out.append((number, -1, packed_keys(words), None, None, ids, flags, packed(c.length), packed(c.token)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-        for b in batches:
-            for i, text, flag in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                found = tokens(text)
-                token.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.int64, len(found)))
-                ids.append(i), flags.append(bool(flag)), length.append(len(found))
-                held += len(text or "")
-                if held >= chunk_bytes:
-                    yield from whole()
-                    number, held = number + 1, 0
-                    ids, flags, length, token, place = [], [], [], [], {}
+            pieces = list(c.pieces())
+            for k, (docs, own) in enumerate(zip(pieces, np.array_split(words, len(pieces)), strict=True)):
+                token_piece = c.token[c.tokens_of(docs)].astype(np.int64)
+                out.append((number, -1 - k, packed_keys(own), None, None, ids[docs], flags[docs], packed(c.length[docs]), packed(token_piece)))
+            for k in range(0, len(out), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out[k : k + BATCH], strict=True), schema, strict=True)], schema=schema)
+
+        for i, text, flag in (row for b in batches for s in range(0, b.num_rows, 256) for row in zip(*(b.column(k).slice(s, 256).to_pylist() for k in range(3)), strict=True)):
+            found = tokens(text)
+            token.append(np.fromiter((place.setdefault(w, len(place)) for w in found), np.int32, len(found)))
+            ids.append(i), flags.append(bool(flag)), length.append(len(found))
+            held += len(text or "")
+            if held >= chunk_bytes:
+                yield from whole()
+                number, held = number + 1, 0
+                ids, flags, length, token, place = [], [], [], [], {}
         if ids:
             yield from whole()
 
     fields = f"chunk long, part long, keys binary, background binary, target binary, ids array<{kind.simpleString()}>, wanted array<boolean>, length binary, token binary"
-    cut_up = written(rows.join(wanted, "id", "left").select("id", "text", "wanted").mapInArrow(chunks, fields), "lm-chunks")
+    cut_up = written(rows.join(wanted, "id", "left").select("id", "text", "wanted").mapInArrow(chunks, fields), "lm-chunks", packed=True)
 
     def add(part: pa.Table) -> pa.Table:
         """Each chunk's totals in the order of its keys, and a row with the range's words and tokens."""
@@ -193,24 +218,23 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
 
     sent = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), *((s, pa.binary()) for s in SIDES), ("words", pa.int64()), *((f"{s}_n", pa.int64()) for s in SIDES)])
     counted = cut_up.filter("part >= 0").select("chunk", "part", "keys", *SIDES)
-    totals = written(counted.groupBy("part").applyInArrow(add, "chunk long, part long, background binary, target binary, words long, background_n long, target_n long"), "lm-totals")
+    totals = written(counted.groupBy("part").applyInArrow(add, "chunk long, part long, background binary, target binary, words long, background_n long, target_n long"), "lm-totals", packed=True)
     n_words, *n_tokens = (x or 0 for x in totals.filter("chunk = -1").agg(F.sum("words"), *(F.sum(f"{s}_n") for s in SIDES)).first())
     result = pa.schema([("id", to_arrow_type(kind)), ("n_tokens", pa.int64()), ("ce_diff", pa.float64())])
 
     def score(chunk: pa.Table, found: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return result.empty_table()
-        c = Chunk(unpacked_keys(chunk.column("keys")[0].as_py()), unpacked(chunk.column("token")[0].as_py()), unpacked(chunk.column("length")[0].as_py()))
-        flags = np.array(chunk.column("wanted")[0].as_py(), bool)
+        chunk = chunk.sort_by([("part", "descending")])
+        words, token, length = (np.concatenate([f(x.as_py()) for x in chunk.column(n)]) for f, n in ((unpacked_keys, "keys"), (unpacked, "token"), (unpacked, "length")))
+        c = Chunk(words, token.astype(np.int32), length)
+        flags = np.array([x for piece in chunk.column("wanted") for x in piece.as_py()], bool)
         order = np.argsort(found.column("part").to_numpy())
-        own, own_pair = c.own(c.at), c.own(c.pair_at)
-        loss = []
-        for s, n, left_out in zip(SIDES, n_tokens, (np.ones(len(flags), bool), flags), strict=True):
-            total = np.concatenate([unpacked(found.column(s)[int(k)].as_py()) for k in order])
-            loss.append(c.losses(total, n, n_words, left_out, own, own_pair, priors))
+        sides = [(np.concatenate([unpacked(found.column(s)[int(k)].as_py()) for k in order]), n, has) for s, n, has in zip(SIDES, n_tokens, (np.ones(len(flags), bool), flags), strict=True)]
+        loss = c.losses(sides, n_words, priors)
         mean = (loss[1] - loss[0]) / c.length
         return pa.Table.from_arrays([chunk.column("ids").combine_chunks().flatten(), pa.array(c.length), pa.array(np.round(mean, 9))], schema=result)
 
-    texts = cut_up.filter("part = -1").select("chunk", "keys", "ids", "wanted", "length", "token")
+    texts = cut_up.filter("part < 0").select("chunk", "part", "keys", "ids", "wanted", "length", "token")
     scored = texts.groupBy("chunk").cogroup(totals.filter("chunk >= 0").select("chunk", "part", *SIDES).groupBy("chunk")).applyInArrow(score, f"id {kind.simpleString()}, n_tokens long, ce_diff double")
     return scored.withColumnRenamed("id", id_col)

@@ -282,8 +282,8 @@ def test_copies_and_order_are_known(make, spark):
 def test_packed():
     x = np.array([0, 5, 5, 1 << 40, 3], np.int64)
     assert np.array_equal(lm_scoring.unpacked(lm_scoring.packed(x)), x)
-    k = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64))
+    k = np.sort(np.random.default_rng(1).integers(0, 1 << 56, 1000, np.uint64))
     assert np.array_equal(lm_scoring.unpacked_keys(lm_scoring.packed_keys(k)), k)
     assert not len(lm_scoring.unpacked(lm_scoring.packed(x[:0])))
     at = lm_scoring.cut(k, 7)
-    assert at[0] == 0 and at[-1] == len(k) and all(int(v) * 7 >> 64 == j for j in range(7) for v in k[at[j] : at[j + 1]])
+    assert at[0] == 0 and at[-1] == len(k) and all(int(v) * 7 >> 56 == j for j in range(7) for v in k[at[j] : at[j + 1]])
