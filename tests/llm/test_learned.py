@@ -1,7 +1,9 @@
 """Mixing, toxicity, decontamination and model scoring, against plain forms and held-out labels."""
 
+import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -180,43 +182,87 @@ def test_tokens():
     assert len(set(known.values())) == len(known)
 
 
-def test_decontamination(spark, make, monkeypatch):
+@pytest.mark.parametrize("n", range(1, 17))
+def test_masks_miss_no_window(n):
+    """Each window of n tokens with a quarter of them substituted, at any places, is hit."""
+    masks = decontamination.masks_of(n)
+    for gone in itertools.combinations(range(n), n // 4):
+        assert any(all(m[k] == "0" or at + k not in gone for k in range(len(m))) for m in masks for at in range(n - len(m) + 1)), gone
+
+
+def plain_overlaps(docs, items, min_tokens=12, share=0.75):
+    """Every document, item and diagonal, every stretch."""
+    out = set()
+    for d, text in docs:
+        t = tokens_of(text or "")
+        for item, item_text in items:
+            own, best = tokens_of(item_text or ""), None
+            for shift in range(-len(own) + 1, len(t)) if item is not None else ():
+                lo, hi = max(0, -shift), min(len(own), len(t) - shift)
+                same = [own[k] == t[k + shift] for k in range(lo, hi)]
+                for s in range(len(same)):
+                    for e in range(s + max(1, min(min_tokens, len(own))), len(same) + 1):
+                        if same[s] and same[e - 1] and sum(same[s:e]) >= share * (e - s):
+                            row = (-(e - s), e - s - sum(same[s:e]), lo + s + shift, lo + s)
+                            best = min(best or row, row)
+            if best:
+                out.add((d, item, best[2], best[3], -best[0], best[1]))
+    return out
+
+
+def test_decontamination(spark, make):
     rng = random.Random(7)
-    vocabulary = [f"w{i}" for i in range(400)]
+    vocabulary = [f"w{i}" for i in range(40)]
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [(i, " ".join(text(40))) for i in range(20)] + [(20, " ".join(text(9))), (21, "too short"), (22, None), (None, " ".join(text(30))), (3, " ".join(text(25)))]
-    docs, want = [], set()
-    for d in range(120):
-        w = text(rng.choice([0, 30, 200]))
-        if d % 3 == 0:
-            i, t = items[rng.choice([*range(21), 24])]
-            p = t.split()
-            if len(p) >= 25:
-                for k in rng.sample(range(len(p)), len(p) // 10):
-                    p[k] = "changed"
-            at = rng.randint(0, len(w))
-            w[at:at] = p
-            want.add((d, i))
-        docs.append(" ".join(w).upper() if d % 2 else ", ".join(w))
-    docs += ["", None, " ".join(text(60_000))]
+    items = [(i, " ".join(text(n))) for i, n in enumerate([*range(1, 20), 30, 40])]
+    items += [(30, "a " * 30), (31, "a b " * 9), (32, None), (33, ""), (None, " ".join(text(30))), (3, " ".join(text(25))), (34, items[20][1])]
+    docs = []
+    for d in range(90):
+        w = text(rng.choice([0, 5, 40]))
+        p = tokens_of(rng.choice(items)[1] or "")
+        for k in rng.sample(range(len(p)), rng.randint(0, len(p) // 4)):
+            p[k] = "changed"
+        at = rng.randint(0, len(w))
+        w[at:at] = p
+        docs.append((d % 80 if d % 9 else None, " ".join(w).upper() if d % 2 else ", ".join(w)))
+    docs += [(200, ""), (201, None), (202, "a " * 60), (203, "b a " * 20), (204, "A, a; b"), docs[0], docs[1]]
     df, bench = make(docs), spark.createDataFrame(items, "item_id long, text string")
-    for block in (1 << 20, 100):
-        monkeypatch.setattr(decontamination.blocks, "__defaults__", (block,))
-        got = decontamination.overlaps(df, bench).collect()
-        assert {(r["doc_id"], r["item_id"]) for r in got} == want
-    kept = decontamination.keep_clean(df, bench)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(docs))) - {d for d, _ in want}
-    assert decontamination.overlaps(df, bench.limit(0)).count() == 0 and decontamination.overlaps(df.limit(0), bench).count() == 0
-
-
-def test_overlap_against_plain_growth():
-    """Every planted overlap is reported with its place and substitutions."""
-    own = [f"t{i}" for i in range(30)]
-    bench = decontamination.Benchmark([(1, " ".join(own))])
-    doc = ["x"] * 7 + own[5:25] + ["y"] * 4
-    doc[15] = "other"
-    (found,) = [m for _, m in decontamination.matched(bench, [" ".join(doc)], 12, 0.75)]
-    assert found == {0: (7, 5, 20, 1)}
+    want = plain_overlaps(docs, items)
+    dirty = {t for d, t in docs if any(x[0] == d for x in plain_overlaps([(d, t)], items))}
+    for limit in (1 << 20, 0):
+        got = {tuple(r) for r in decontamination.overlaps(df, bench, limit=limit).collect()}
+        rows = {}
+        for d, t in docs:
+            rows.setdefault(d, set()).update(plain_overlaps([(d, t)], items))
+        assert len(got & want) >= 0.99 * len(want) and all(x in rows[x[0]] for x in got)
+        kept = decontamination.keep_clean(df, bench, limit=limit)
+        assert kept.columns == df.columns
+        left = [r["text"] for r in kept.collect()]
+        assert sorted(map(str, left)) == sorted(str(t) for _, t in docs if t not in dirty)
+        assert decontamination.overlaps(df, bench.limit(0), limit=limit).count() == 0 and decontamination.overlaps(df.limit(0), bench, limit=limit).count() == 0
+        assert decontamination.keep_clean(df, bench.limit(0), limit=limit).count() == len(docs)
+
+
+def test_recall_of_substituted_passages():
+    """Passages at the stated minimum and above, substituted at random places, are found."""
+    rng = random.Random(9)
+    for n in (12, 16, 20, 30, 60):
+        own = [f"t{i}" for i in range(n)]
+        bench = decontamination.Benchmark([(1, decontamination.item_tokens(" ".join(own)))])
+        texts = []
+        for _ in range(400):
+            p = list(own)
+            for k in rng.sample(range(1, n - 1), n // 4):
+                p[k] = "x"
+            texts.append(" ".join([*(f"q{k}" for k in range(rng.randint(0, 30))), *p, "z"]))
+        assert len(list(decontamination.matched(bench, texts, 12, 0.75))) == 400, n
+
+
+def test_repeated_tokens_take_no_square():
+    bench = decontamination.Benchmark([(1, decontamination.item_tokens("a " * 800)), (2, decontamination.item_tokens("a b " * 400))])
+    began = time.perf_counter()
+    ((_, found),) = decontamination.matched(bench, ["a " * 200_000], 12, 0.75)
+    assert found[0] == (0, 0, 800, 0) and time.perf_counter() - began < 10
 
 
 def pieces(t):
