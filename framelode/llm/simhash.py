@@ -32,6 +32,7 @@ from framelode.scratch import written
 
 RADIUS, WIDTH, FANOUT = 4, 4, 8
 HOT = 1 << 15
+HOT_KEYS = 256
 FRONTIER = 1 << 14  # pairs of nodes that go down at once, each to FANOUT ** 2 pairs at most
 
 
@@ -172,6 +173,18 @@ def block_keys(radius: int) -> list[int]:
     return [block[i] | block[j] for i, j in combinations(range(n), 2)]
 
 
+def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join of ``left`` with ``right``, a stored table of one row a key with ``n``, the rows of ``left`` that the key has
+    (or more). Keys with over a part in ``HOT_KEYS`` of these rows, of which there are fewer than ``HOT_KEYS``, are broadcast, so that no task
+    meets all rows of a common key."""
+    total, most = right.agg(F.sum("n"), F.max("n")).first()
+    limit = max(1, (total or 0) // HOT_KEYS)
+    if (most or 0) <= limit:
+        return left.join(right, on)
+    hot = F.broadcast(right.filter(F.col("n") > limit))
+    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(right.filter(F.col("n") <= limit), on))
+
+
 def forest(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Edges ``a, b``, in no special order, that connect what links of at most ``radius`` bits connect.
 
@@ -179,14 +192,16 @@ def forest(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame
     masks = block_keys(radius)
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keyed = prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed))).alias("t", "k"))
-    sizes = keyed.groupBy("t", "k").count().filter(F.col("count") > hot).select("t", "k", F.ceil(F.col("count") / hot).cast("int").alias("chunks"))
+    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("t", "k", "n", F.ceil(F.col("n") / hot).cast("int").alias("chunks"))
     sizes = written(sizes, "hot-buckets")
     if sizes.isEmpty():
         keyed = keyed.withColumn("c", F.lit(0).cast("long"))
     else:
         chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("long")
         others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(j, chunk) * F.col("chunks") + F.greatest(j, chunk))
-        keyed = keyed.join(sizes, ["t", "k"], "left").select("fp", "t", "k", F.explode(F.when(F.col("chunks") > 1, others).otherwise(F.array(F.lit(0).cast("long")))).alias("c"))
+        few = sizes.count() <= HOT_KEYS
+        rest = keyed.join(F.broadcast(sizes) if few else sizes, ["t", "k"], "left_anti").withColumn("c", F.lit(0).cast("long"))
+        keyed = meet(keyed, sizes, ["t", "k"]).select("fp", "t", "k", F.explode(others).alias("c")).unionByName(rest.select("fp", "t", "k", "c"))
     dealt = keyed.repartition("t", "k", "c").sortWithinPartitions("t", "k", "c")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,16 +240,16 @@ def forest(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """``fp, root``: for each node of ``edges (a, b)`` the least node it reaches (signed order).
 
-    Large-star and small-star steps until nothing changes; each step is a written table, and its minima
-    are partial aggregates, so a node with many neighbours meets no single task."""
+    Large-star and small-star steps until nothing changes, on written tables. Minima are partial aggregates, and the centre
+    of a large star is joined as ``meet`` does it, so that its neighbours meet in no single task."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     seen = None
     while True:
         both = now.union(now.select("b", "a").toDF("a", "b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        least = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")), "least")
+        large = written(meet(both.filter("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        small = meet(large, low, ["a"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = written(small.filter("a <> b").distinct(), "edges")
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if mark == seen:
@@ -248,14 +263,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprint: 16 lower-case hex digits. component_id: the least id of the rows whose fingerprints
     are connected. Null and empty texts and texts without words have fingerprint zero and link like any
     other. Null ids count for no minimum (a component of null ids has a null component_id); repeated ids
-    keep a row each. Other columns are not read."""
-    prints = written(fingerprints(df, id_col, text_col, width), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    keep a row each. Other columns are not read; an id column named like a result stands beside it. The documents of one fingerprint, and the fingerprints of one
+    component, are joined as ``meet`` does it."""
+    prints = written(fingerprints(df, id_col, text_col, width).toDF("id", "fp"), "fingerprints")
+    classes = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "classes")
     roots = components(forest(classes.select("fp"), radius, hot))
-    rooted = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = written(classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", F.col("n").alias("rows")), "rooted")
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "named")
+    by_print = written(meet(rooted, named, ["root"]).select("fp", "component_id", F.col("rows").alias("n")), "by-print")
+    return meet(prints, by_print, ["fp"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
@@ -271,7 +287,8 @@ def least_rows(df: DataFrame, id_col: str, text_col: str, find: Callable[[DataFr
     found = find(keyed)
     kept = found.groupBy("component").agg(F.min("key").alias("key")).select(F.col("key.row").alias("__row"), F.coalesce(F.col("key.id").cast("string"), F.lit("")).alias("__id")).distinct()
     marked = df.withColumns({"__row": ident, "__id": F.coalesce(df[id_col].cast("string"), F.lit(""))})
-    return marked.join(kept, ["__row", "__id"]).dropDuplicates(["__row", "__id"]).select(*df.columns)
+    # rows that agree in every column are one before they are shuffled, by the same key as the join's
+    return marked.dropDuplicates(["__row", "__id"]).join(kept, ["__row", "__id"], "left_semi").select(*df.columns)
 
 
 def near_duplicates_keyed(keyed: DataFrame, width: int = WIDTH, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
