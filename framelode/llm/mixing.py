@@ -6,7 +6,8 @@ mass, counted in words, moves from one document to the other in a random directi
 that keep each one's expectation, until one of them is whole. The words that a source takes are
 thus kept through every pair, and end within one document of the target.
 
-Reduction tree: a source's documents are dealt to leaves by a hash of the row. A leaf rounds all of
+Reduction tree: a source's documents are dealt to leaves by a hash of the row; copies of a row are numbered first, so that they
+go to different leaves. A leaf rounds all of
 its documents but one at most; the leaves' rests meet in nodes of ``FAN`` rests, level by level, until
 each source has one, which is rounded by its own odds. All chances are hashes, so reruns agree.
 """
@@ -22,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelode.llm.sharding import each_copy
+from framelode.llm.simhash import meet
 from framelode.scratch import written
 
 WEIGHTS = (5, 2, 1)
@@ -69,34 +72,56 @@ def pivot(size: np.ndarray, p: np.ndarray, salt: tuple[int, ...]) -> tuple[np.nd
     return done, held
 
 
+def ranked(per: DataFrame) -> DataFrame:
+    """``per`` with ``rank``, the place of each source by code point from 0, null last. Sources are dealt by ranges: no task has all."""
+    by_name = F.col("source").asc_nulls_last()
+    ranged = written(per.repartitionByRange(by_name).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    offsets, total = [], 0
+    for r in sorted(ranged.groupBy("part").count().collect()):  # one row a partition
+        offsets.append((r["part"], total))
+        total += r["count"]
+    table = per.sparkSession.createDataFrame(offsets, "part int, before long")
+    within = F.row_number().over(Window.partitionBy("part").orderBy(by_name)) - 1
+    return ranged.withColumn("within", within).join(F.broadcast(table), "part").withColumn("rank", F.col("before") + F.col("within")).drop("part", "before", "within")
+
+
 def targets(sized: DataFrame, share: float = SHARE, limit: float = LIMIT, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``source, source_size, n, target`` from ``source, size``: one row a source.
+    """``source, source_size, n, target`` from ``source, size``: one row a source, as a stored table.
 
     Sources by code point, null last, get the weights in turn and share ``share`` times all sizes by weight;
-    none gets over ``limit`` times its size, and what is over is shared by weight among the others again.
-    The fixed point is min(limit * size, level * weight): sources are full in the order of limit * size / weight,
-    so running sums give the level. Windows over one row a source."""
+    none gets over ``limit`` times its size, and what is over is shared by weight among the others again, until none is
+    above: a pass of sums over the sources each time, in which the level (words for a weight of one) rises. A source is full
+    where ``limit * size / weight`` is under the level."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    cycle = F.array(*map(F.lit, weights))
-    per = per.withColumn("weight", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("double"))
-    everything = Window.partitionBy()
+    cycle = F.array(*(F.lit(float(w)) for w in weights))
+    per = written(ranked(per).withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))).drop("rank"), "mix-sources")
     full = F.col("source_size") * F.lit(limit)
-    order = Window.orderBy(full / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("full_before", F.coalesce(F.sum(full).over(before), F.lit(0.0))).withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    per = per.withColumn("level", (F.sum("source_size").over(everything) * F.lit(share) - F.col("full_before")) / F.col("weight_left"))
-    # the level of the first source that isn't full
-    first = F.min(F.when(F.col("level") * F.col("weight") <= full, F.struct(full / F.col("weight"), F.col("level").alias("level")))).over(everything)["level"]
-    return per.select("source", "source_size", "n", F.least(full, F.coalesce(first, F.lit(float("inf"))) * F.col("weight")).alias("target"))
+    ratio, level, seen = full / F.col("weight"), -1.0, None
+    while True:
+        is_full = ratio < F.lit(level)
+        r = per.agg(F.sum("source_size"), F.sum(F.when(is_full, F.col("source_size"))), F.sum(F.when(~is_full, F.col("weight"))), F.count_if(is_full)).first()
+        if r[3] == seen or not r[2]:
+            break
+        seen, level = r[3], ((r[0] or 0) * share - (r[1] or 0) * limit) / r[2]
+    return written(per.select("source", "source_size", "n", F.when(ratio < F.lit(level), full).otherwise(F.lit(max(level, 0.0)) * F.col("weight")).alias("target")), "mix-targets")
 
 
 def dealt(df: DataFrame, per: DataFrame, leaf: int) -> DataFrame:
     """``df`` (with source, size, key) and its source's numbers and the leaf of each row."""
-    rows = df.join(F.broadcast(per) if per.count() <= 100_000 else per, df["source"].eqNullSafe(per["source"]), "inner").drop(per["source"])
+    name = {"__s": F.coalesce("source", F.lit("")), "__none": F.col("source").isNull()}
+    left, right = df.withColumns(name), per.withColumns(name).drop("source")
+    rows = left.join(F.broadcast(right), ["__s", "__none"]) if per.count() <= 100_000 else meet(left, right, ["__s", "__none"])
     leaves = F.ceil(F.col("n") / leaf)
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return rows.withColumn("leaf", F.pmod(F.xxhash64("key"), leaves)).withColumn("copies", copies).withColumn("group", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
+    return rows.withColumn("leaf", F.pmod(F.xxhash64("key"), leaves)).withColumn("copies", copies).withColumn("group", F.xxhash64("__s", "__none"))
+
+
+def apart(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that agree in all columns, one of them ``key``, as rows with keys of their own, which go to different leaves: counted
+    before the shuffle, and numbered."""
+    counted = written(rows.groupBy(*columns).agg(F.count("*").alias("same")), "mix-sizes")
+    most = counted.agg(F.max("same")).first()[0] or 0
+    return each_copy(counted, "same", ["key"], "copy", most).withColumn("key", F.xxhash64("key", "copy")).drop("same", "copy")
 
 
 def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -184,7 +209,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     equal rows are alike. Other columns are not read. Texts are read once and never shuffled."""
     text = df[text_col]
     sized = df.select(df[id_col].alias("id"), df[source_col].alias("source"), words(text).alias("size"), F.xxhash64(df[id_col], text).alias("key"))
-    sized = written(sized, "mix-sizes")
+    sized = apart(sized, ["id", "source", "size", "key"])
     rows = dealt(sized, targets(sized, share, limit, weights), leaf)
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -200,16 +225,16 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     names = df.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names))
     ident = F.xxhash64(*(F.col(f"`{c}`") for c in names))
-    wide = df.select(row.alias("row"), df[id_col].alias("id"), df[source_col].alias("source"), words(df[text_col]).alias("size"), F.xxhash64(df[id_col], df[text_col]).alias("key"), ident.alias("ident"))
-    sized = written(wide.select("source", "size", "key", "ident"), "mix-sizes")
+    wide = df.select(row.alias("row"), df[source_col].alias("source"), words(df[text_col]).alias("size"), F.xxhash64(df[id_col], df[text_col]).alias("key"), ident.alias("ident"))
+    sized = apart(wide.select("source", "size", "key", "ident"), ["source", "size", "key", "ident"])
     rows = dealt(sized, targets(sized, share, limit, weights), leaf).select("size", "key", "leaf", "copies", "group", "ident")
 
     def emit(pdf: pd.DataFrame, copies: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"ident": pdf["ident"], "copies": copies})
 
-    taken = rounded(rows, emit, "ident long, copies long").groupBy("ident").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    # equal rows share what they take: the whole part each, and the rest to as many of them (told apart by a running number)
-    number = F.row_number().over(Window.partitionBy("ident").orderBy("ident"))
-    found = wide.select("row", "ident").join(taken, "ident").withColumn("number", number)
-    shared = found.select("row", (F.floor(F.col("copies") / F.col("rows")) + (F.col("number") <= F.col("copies") % F.col("rows")).cast("long")).alias("of_row"))
-    return shared.filter("of_row > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "of_row")).alias("copy")).select("row.*")
+    taken = rounded(rows, emit, "ident long, copies long").groupBy("ident").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    taken = written(taken, "mix-taken")
+    # rows that agree in every column are one before the shuffle, and are repeated after it
+    found = wide.select("row", "ident").dropDuplicates(["ident"]).join(taken, "ident")
+    most = taken.agg(F.max("copies")).first()[0] or 0
+    return each_copy(found, "copies", ["ident"], "copy", most).select("row.*")

@@ -6,8 +6,9 @@ numbers that leave ``0..n-1`` walk their cycle until they are back. Shard and sl
 ``permuted % shards`` and ``permuted div shards``, so shard counts are at most one apart.
 
 DataFrame functions only. Scale: only narrow columns are shuffled, once, by a hash of the row's
-digest; equal rows are counted before the shuffle, so that no group of copies meets in a task.
-The offsets are one row for each of ``buckets`` hash buckets, whatever the input.
+digest; equal rows are counted before the shuffle, so that no group of copies meets in a task, and dealt
+in pieces after it. Texts are read once: the counted groups are a written table. The offsets are one row a hash bucket, of about
+``IN_BUCKET`` groups each and ``MOST_BUCKETS`` at most.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelode.scratch import written
+
 ROUNDS = 6
 WALK = 64  # walks of 2 * sqrt(n) + 1 cells at most; the odds of a longer one are (2 / sqrt(n)) ** 64, and it raises
-SPREAD = 1 << 12
+SPREAD, IN_BUCKET, MOST_BUCKETS = 1 << 12, 1 << 16, 1 << 20
 
 
 def feistel(x: Column, side: int, seed: int) -> Column:
@@ -44,10 +47,27 @@ def permuted(x: Column, n: int, seed: int = 0) -> Column:
     return F.when(walked < total, walked).otherwise(F.raise_error(F.lit("a Feistel walk did not return")).cast("long"))
 
 
-def numbered(rows: DataFrame, keys: list[str], count: str, buckets: int) -> tuple[DataFrame, int]:
-    """``rows`` with the first global row number of each group in ``first``, and the number of rows.
+def each_copy(rows: DataFrame, count: str, keys: list[str], number: str, most: int, spread: int = SPREAD) -> DataFrame:
+    """A row for each of the ``count`` copies (``most`` at most) that a row stands for, with its ``number`` from 0. Rows of
+    more than ``spread`` copies are dealt in pieces first, by ``keys``, so that no task makes all copies of one row."""
+
+    def exploded(df: DataFrame, start: Column) -> DataFrame:
+        return df.withColumn(number, F.explode(F.sequence(start, F.least(start + spread, F.col(count)) - 1)))
+
+    zero = F.lit(0).cast("long")
+    if most <= spread:
+        return exploded(rows.filter(F.col(count) > 0), zero)
+    pieces = rows.filter(F.col(count) > spread).withColumn("__start", F.explode(F.sequence(zero, F.col(count) - 1, F.lit(spread).cast("long"))))
+    return exploded(rows.filter(F.col(count).between(1, spread)), zero).unionByName(exploded(pieces.repartition(*keys, "__start"), F.col("__start")).drop("__start"))
+
+
+def numbered(rows: DataFrame, keys: list[str], count: str, groups: int, buckets: int | None = None) -> tuple[DataFrame, int]:
+    """``rows``, ``groups`` of them, with the first global row number of each group in ``first``, and the number of rows.
 
-    ``rows`` has a group's size in ``count``; groups are in the order of a hash bucket, then ``keys``."""
+    ``rows`` has a group's size in ``count``; groups are in the order of a hash bucket, then ``keys``. There are ``buckets``
+    of them: by default ``SPREAD``, and more where a bucket would have over ``IN_BUCKET`` groups, up to ``MOST_BUCKETS``
+    (their offsets pass through the driver)."""
+    buckets = buckets or min(MOST_BUCKETS, max(SPREAD, -(-groups // IN_BUCKET)))
     bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     sizes = bucketed.groupBy("bucket").agg(F.sum(count).alias("in_bucket"))
     offsets, total = [], 0
@@ -61,7 +81,7 @@ def numbered(rows: DataFrame, keys: list[str], count: str, buckets: int) -> tupl
     return out.withColumn("first", F.col("bucket_first") + F.col("within")).drop("within", "bucket_first", "bucket"), total
 
 
-def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 40, seed: int = 0, buckets: int = SPREAD) -> DataFrame:
+def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 40, seed: int = 0, buckets: int | None = None) -> DataFrame:
     """``id_col, size, text_crc32, law, shard, slot, grown_shard`` for each row of ``df``.
 
     size: UTF-8 bytes of the text plus 16 (null text: 16, checksum of no bytes: 0). Ids may be null
@@ -71,9 +91,10 @@ def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shar
     """
     text = F.coalesce(df[text_col], F.lit(""))
     narrow = df.select(df[id_col].alias("id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    groups = narrow.groupBy("id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    placed, total = numbered(groups, ["id", "size", "text_crc32"], "n", buckets)
-    rows = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    groups = written(narrow.groupBy("id", "size", "text_crc32").agg(F.count("*").alias("n")), "shard-groups")
+    n_groups, most = groups.agg(F.count("*"), F.max("n")).first()
+    placed, total = numbered(groups, ["id", "size", "text_crc32"], "n", n_groups, buckets)
+    rows = each_copy(placed, "n", ["id", "text_crc32"], "copy", most or 0)
     at = rows.withColumn("at", permuted(F.col("first") + F.col("copy"), total, seed))
     return at.select(
         F.col("id").alias(id_col),

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelode.llm import decontamination, lm_scoring, mixing, toxicity
+from framelode.llm import decontamination, lm_scoring, mixing, sharding, toxicity
 
 
 def words_of(t):
@@ -69,6 +69,29 @@ def test_mixed_rows(sources):
         assert repeats.get((r["doc_id"], r["size"]), 0) * r["size"] == r["t"]
 
 
+def test_many_copies_of_a_row(spark):
+    """Copies of one row are spread over leaves, come back whole, and share the source's words."""
+    df = spark.createDataFrame([(7, "a b c", "en", "x", 5)] * 900 + [(k, "d " * (k % 5), "en", "y", 5) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    sized = mixing.apart(df.select("source", F.lit(3).cast("long").alias("size"), F.lit(1).cast("long").alias("key")), ["source", "size", "key"])
+    assert sized.count() == 960 and sized.select("source", "key").distinct().count() == 960
+    got = [r for r in mixing.mix(df, leaf=32).collect() if r["doc_id"] == 7 and r["size"] == 3]
+    assert len(got) == 900 and all(r["taken"] in (0, 3, 6) for r in got)
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 3
+    rows = [r for r in mixing.mixed_rows(df, leaf=32).collect() if r["doc_id"] == 7 and r["text"] == "a b c"]
+    assert 3 * len(rows) == sum(r["taken"] for r in got)
+    pieces = sharding.each_copy(spark.createDataFrame([(1, 10), (2, 3), (3, 0)], "k int, n long"), "n", ["k"], "i", 10, 4)
+    assert sorted(map(tuple, pieces.select("k", "i").collect())) == [(1, i) for i in range(10)] + [(2, i) for i in range(3)]
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(8)
+    sizes = {f"s{k:04}": rng.choice([0, 1, 5, 100, 10_000]) for k in range(500)} | {None: 77}
+    sized = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, size long").repartition(7)
+    want = plain_targets(sizes)
+    got = {r["source"]: r["target"] for r in mixing.targets(sized).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * max(1, want[k]) for k in want)
+
+
 def test_pivot_keeps_words_and_expectations():
     rng = np.random.default_rng(6)
     size = rng.integers(1, 50, 40)
