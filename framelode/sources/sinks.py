@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 
 from framelode.functions import names
 from framelode.operators.summary import summary_frames, unfinished
+from framelode.scratch import delete
 
 METRICS = "arch string, video_id string, length int, resolution string, stage string, seconds double"
 
@@ -44,8 +45,20 @@ def write_descriptors(described: DataFrame, path: str, text: bool = False) -> No
 
 def remove(spark: SparkSession, path: str) -> bool:
     """Delete a file or folder of any store that Spark reaches."""
+    return delete(spark, path)
+
+
+def copy(spark: SparkSession, source: str, target: str) -> bool:
+    """Copy a file or folder between any stores that Spark reaches; folders of ``target`` are made, a file there is replaced."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    return jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+
+
+def make_folder(spark: SparkSession, path: str) -> bool:
+    """Make a folder with those above it; one that exists stays as it is."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
 
 
 class RunMetrics:

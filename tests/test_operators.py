@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from framelode.functions import color, names, vec
 from framelode.operators import bovw, cluster, histogram, signal, summary
 from framelode.operators.sequence import by_frame, chunked, positions
-from framelode.scratch import purge, written
+from framelode import scratch
+from framelode.scratch import purge, release, written
 
 
 def sequence(spark, values, column="x", kind="double"):
@@ -219,8 +220,16 @@ def test_names(spark):
 
 
 def test_scratch(spark):
+    mine = f"{scratch.checkpoint_root(spark)}/others.parquet"
+    spark.range(3).write.parquet(mine)
     df = written(spark.range(5), "numbers")
-    assert df.count() == 5
+    since = len(scratch.CREATED)
+    first, last = written(spark.range(6), "first"), written(spark.range(7), "last")
+    release(spark, since, keep=1)
+    assert df.count() == 5 and last.count() == 7
+    with pytest.raises(Exception):
+        first.count()
     purge(spark)
     with pytest.raises(Exception):
         df.count()
+    assert spark.read.parquet(mine).count() == 3  # what others keep in the folder stays

@@ -60,6 +60,8 @@ def test_sinks(spark, tmp_path):
     metrics.write(spark, str(tmp_path / "m"))
     lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "m")).collect())
     assert lines[0].startswith('spark;"";') and lines[1] == "spark;v;2;320;never;-1.0000"
+    assert sinks.copy(spark, out, f"{tmp_path}/copies/of") and spark.read.parquet(f"{tmp_path}/copies/of").count() == 3
+    assert sinks.make_folder(spark, f"{tmp_path}/new/folder") and (tmp_path / "new" / "folder").is_dir()
     assert sinks.remove(spark, out)
     d = spark.createDataFrame([("v", 1, 0, [0.5, 1.0])], "video_id string, frame_id int, desc_id int, vec array<double>")
     sinks.write_descriptors(d, str(tmp_path / "d"))
