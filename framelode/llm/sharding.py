@@ -81,6 +81,18 @@ def numbered(rows: DataFrame, keys: list[str], count: str, groups: int, buckets:
     return out.withColumn("first", F.col("bucket_first") + F.col("within")).drop("within", "bucket_first", "bucket"), total
 
 
+def places(rows: DataFrame, keys: list[str], n_shards: int, seed: int, buckets: int | None) -> tuple[DataFrame, int]:
+    """``rows`` (``keys``, and ``n`` equal rows of each) with ``copy, shard, slot`` for each of the equal rows, and the most of them."""
+    groups, most = rows.agg(F.count("*"), F.max("n")).first()
+    placed, total = numbered(rows, keys, "n", groups, buckets)
+    at = each_copy(placed, "n", keys, "copy", most or 0).withColumn("at", permuted(F.col("first") + F.col("copy"), total, seed))
+    return at.withColumns({"shard": (F.col("at") % n_shards).cast("int"), "slot": F.expr(f"at div {n_shards}")}).drop("at", "first"), most or 0
+
+
+def size_of(text: Column) -> Column:
+    return F.octet_length(text).cast("long") + 16
+
+
 def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 40, seed: int = 0, buckets: int | None = None) -> DataFrame:
     """``id_col, size, text_crc32, law, shard, slot, grown_shard`` for each row of ``df``.
 
@@ -90,18 +102,26 @@ def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shar
     ``grown_shard`` is null.
     """
     text = F.coalesce(df[text_col], F.lit(""))
-    narrow = df.select(df[id_col].alias("id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    narrow = df.select(df[id_col].alias("id"), size_of(text).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     groups = written(narrow.groupBy("id", "size", "text_crc32").agg(F.count("*").alias("n")), "shard-groups")
-    n_groups, most = groups.agg(F.count("*"), F.max("n")).first()
-    placed, total = numbered(groups, ["id", "size", "text_crc32"], "n", n_groups, buckets)
-    rows = each_copy(placed, "n", ["id", "text_crc32"], "copy", most or 0)
-    at = rows.withColumn("at", permuted(F.col("first") + F.col("copy"), total, seed))
-    return at.select(
-        F.col("id").alias(id_col),
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        (F.col("at") % n_shards).cast("int").alias("shard"),
-        F.expr(f"at div {n_shards}").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    at, _ = places(groups, ["id", "size", "text_crc32"], n_shards, seed, buckets)
+    return at.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded_rows(df: DataFrame, text_col: str = "text", n_shards: int = 40, seed: int = 0, buckets: int | None = None) -> DataFrame:
+    """``df`` with ``size, shard, slot`` of each row. Columns of ``df`` with these names come back as ``doc_size`` and so on.
+
+    Rows that agree in every column are alike and get places of their own. They are counted before whole rows are shuffled,
+    once, by the hash of the row; a row of over ``SPREAD`` copies is dealt in pieces."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    wide = df.select(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).alias("ident"), row.alias("row"), size_of(F.coalesce(df[text_col], F.lit(""))).alias("size"))
+    groups = written(wide.groupBy("ident").agg(F.count("*").alias("n")), "shard-groups")
+    at, most = places(groups, ["ident"], n_shards, seed, buckets)
+    unique = wide.dropDuplicates(["ident"])
+    if most <= SPREAD:
+        found = unique.join(at.select("ident", "shard", "slot"), "ident")
+    else:
+        piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SPREAD).cast("long")))
+        found = unique.join(groups.withColumn("piece", piece).drop("n"), "ident").join(at.select("ident", (F.col("copy") - F.col("copy") % SPREAD).alias("piece"), "shard", "slot"), ["ident", "piece"])
+    taken = {"size", "shard", "slot"}
+    return found.select(*(F.col("row")[c].alias(f"doc_{c}" if c in taken else c) for c in df.columns), "size", "shard", "slot")

@@ -53,7 +53,39 @@ def test_stages(spark, tables):
     shards = out["sharding"].collect()
     assert sorted(r["doc_id"] for r in shards) == ids["mixing"]
     assert sorted(r["slot"] * 40 + r["shard"] for r in shards) == list(range(len(shards)))
+    assert sorted((r["doc_id"], str(r["text"]), r["source"]) for r in shards) == sorted((r["doc_id"], str(r["text"]), r["source"]) for r in out["mixing"].collect())
+    assert all(r["size"] == len((r["text"] or "").encode()) + 16 for r in shards)
 
 
 def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() > 100
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_empty_tables(spark, tables, tmp_path, empty):
+    for name in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{tables}/{name}.parquet")
+        (df.limit(0) if name == empty else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r["doc_id"] for r in rows}
+    if empty == "documents":
+        assert not rows
+    elif empty == "labels":
+        assert any(i < 150 and i % 5 == 0 for i in ids)  # nothing is toxic
+    else:
+        assert any(i < 150 and i % 10 == 1 for i in ids)  # nothing is contaminated
+
+
+def test_clashing_columns_and_repeated_rows(spark, tables, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").withColumns({c: F.lit("x") for c in ("size", "shard", "slot", "row", "ident", "n", "key", "copy", "piece")})
+    docs = docs.unionByName(docs.filter("doc_id IN (2, 3, 203)"))
+    docs = docs.unionByName(docs.filter("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        stage(spark, docs, tables).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "sharding" or docs.columns == columns
+    assert {"doc_size", "doc_shard", "doc_slot", "size", "shard", "slot"} <= set(docs.columns)
+    assert sorted(r["slot"] * 40 + r["shard"] for r in docs.collect()) == list(range(docs.count()))

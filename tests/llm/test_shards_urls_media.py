@@ -68,6 +68,14 @@ def plain_rule(h, p):
     return max(fits, key=lambda r: len(r[1]), default=(None, None))
 
 
+def test_pieces_of_a_row_with_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SPREAD", 8)
+    df = spark.createDataFrame([(1, "same")] * 50 + [(k, f"t{k}") for k in range(2, 20)], "doc_id long, text string")
+    rows = sharding.sharded_rows(df, n_shards=7).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in df.collect())
+    assert sorted(r["slot"] * 7 + r["shard"] for r in rows) == list(range(68))
+
+
 def plain_slots(h, p):
     grams = {s[i : i + k] for s in (f"^{h}$", f"~{p}$") for k in urls.LENGTHS for i in range(len(s) - k + 1)}
     return sorted({xxhash.xxh64_intdigest(g.encode(), 42) % urls.SLOTS for g in grams})
