@@ -18,7 +18,7 @@ import struct
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +32,7 @@ SHARE, LIMIT = 1.5, 2.0
 LEAF, FAN = 4096, 64
 WORD = r"[^ \x09-\x0D]+"
 TINY = 1e-9
+ORDER = [("key", "ascending"), ("size", "ascending")]
 
 
 def chance(*parts: int) -> float:
@@ -124,10 +125,6 @@ def apart(rows: DataFrame, columns: list[str]) -> DataFrame:
     return each_copy(counted, "same", ["key"], "copy", most).withColumn("key", F.xxhash64("key", "copy")).drop("same", "copy")
 
 
-def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["key", "size"], kind="stable", ignore_index=True)
-
-
 def settle(size: np.ndarray, copies: float, group: int, leaf: int) -> tuple[np.ndarray, int, float]:
     """Whole copies of a leaf's rows, the row that is left (-1: none) and its fraction."""
     whole = int(copies + TINY)
@@ -136,18 +133,22 @@ def settle(size: np.ndarray, copies: float, group: int, leaf: int) -> tuple[np.n
     return done + whole, held, float(p[held]) if held >= 0 else 0.0
 
 
-def combiner(depth: int, last: bool):
-    def combine(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("leaf", ignore_index=True)
-        p = pdf["p"].to_numpy(copy=True)
-        salt = int(key[0]), int(key[1]), depth
-        up, held = pivot(pdf["size"].to_numpy(), p, salt)
-        pdf["up"], pdf["p"] = up, p
-        pdf["open"] = np.arange(len(pdf)) == held
+NODE = pa.schema([("group", pa.int64()), ("leaf", pa.int64()), ("size", pa.int64()), ("p", pa.float64()), ("node", pa.int64()), ("up", pa.int64()), ("open", pa.bool_())])
+
+
+def combiner(depth: int, last: bool) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Rounds the rests that meet in a node: each one's ``up``, and which one is left (``open``); the last node leaves none."""
+
+    def combine(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("leaf")
+        p = rows.column("p").to_numpy().copy()
+        salt = key[0].as_py(), key[1].as_py(), depth
+        up, held = pivot(rows.column("size").to_numpy(), p, salt)
+        left = np.arange(len(p)) == held
         if last and held >= 0:
-            pdf.loc[held, "up"] = int(chance(*salt, -1) < p[held])
-            pdf["open"] = False
-        return pdf[["group", "leaf", "size", "p", "node", "up", "open"]]
+            up[held] = chance(*salt, -1) < p[held]
+            left[held] = False
+        return pa.Table.from_arrays([*(rows.column(c) for c in ("group", "leaf", "size")), pa.array(p), rows.column("node"), pa.array(up), pa.array(left)], schema=NODE)
 
     return combine
 
@@ -163,7 +164,7 @@ def rests(leaves: DataFrame) -> DataFrame:
         if top is None:
             break
 
-        out = written(level.groupBy("group", "node").applyInPandas(combiner(depth, top == 0), "group long, leaf long, size long, p double, node long, up long, open boolean"), "mix-rests")
+        out = written(level.groupBy("group", "node").applyInArrow(combiner(depth, top == 0), "group long, leaf long, size long, p double, node long, up long, open boolean"), "mix-rests")
         settled = out.filter(~F.col("open")).select("group", "leaf", "up")
         done = settled if done is None else done.union(settled)
         if top == 0:
@@ -173,28 +174,32 @@ def rests(leaves: DataFrame) -> DataFrame:
 
 
 def leaf_rests(rows: DataFrame) -> DataFrame:
-    def of_leaf(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        _, held, p = settle(pdf["size"].to_numpy(), float(pdf["copies"].iloc[0]), int(key[0]), int(key[1]))
-        return pd.DataFrame({"group": [key[0]], "leaf": [key[1]], "size": [pdf["size"].iloc[held]], "p": [p]}) if held >= 0 else pd.DataFrame({"group": [], "leaf": [], "size": [], "p": []})
+    """``group, leaf, size, p``: the row that each leaf has left and its fraction."""
+
+    def of_leaf(key: tuple, leaf: pa.Table) -> pa.Table:
+        leaf = leaf.sort_by(ORDER)
+        size = leaf.column("size").to_numpy()
+        _, held, p = settle(size, leaf.column("copies")[0].as_py(), *(k.as_py() for k in key))
+        out = [(key[0].as_py(), key[1].as_py(), int(size[held]), p)] if held >= 0 else []
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], NODE.field(k).type) for k in range(4)], schema=pa.schema([NODE.field(k) for k in range(4)]))
 
     narrow = rows.select("group", "leaf", "key", "size", "copies")
-    return narrow.groupBy("group", "leaf").applyInPandas(of_leaf, "group long, leaf long, size long, p double")
+    return narrow.groupBy("group", "leaf").applyInArrow(of_leaf, "group long, leaf long, size long, p double")
 
 
-def rounded(rows: DataFrame, emit: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema) -> DataFrame:
+def rounded(rows: DataFrame, emit: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """``emit(rows of a leaf, copies of each)`` over all leaves, once the tree has settled the leaves' rests."""
     ups = written(rests(written(leaf_rests(rows), "mix-leaves")), "mix-ups").withColumnsRenamed({"group": "g", "leaf": "l"})
     with_up = rows.join(F.broadcast(ups) if ups.count() <= 100_000 else ups, (rows["group"] == ups["g"]) & (rows["leaf"] == ups["l"]), "left").drop("g", "l")
 
-    def of_leaf(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        copies, held, _ = settle(pdf["size"].to_numpy(), float(pdf["copies"].iloc[0]), int(key[0]), int(key[1]))
+    def of_leaf(key: tuple, leaf: pa.Table) -> pa.Table:
+        leaf = leaf.sort_by(ORDER)
+        copies, held, _ = settle(leaf.column("size").to_numpy(), leaf.column("copies")[0].as_py(), *(k.as_py() for k in key))
         if held >= 0:
-            copies[held] += int(pdf["up"].iloc[0])
-        return emit(pdf, copies)
+            copies[held] += leaf.column("up")[0].as_py()
+        return emit(leaf, copies)
 
-    return with_up.groupBy("group", "leaf").applyInPandas(of_leaf, schema)
+    return with_up.groupBy("group", "leaf").applyInArrow(of_leaf, schema)
 
 
 def words(text: Column) -> Column:
@@ -213,8 +218,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = dealt(sized, targets(sized, share, limit, weights), leaf)
     kind = df.schema[id_col].dataType.simpleString()
 
-    def emit(pdf: pd.DataFrame, copies: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"id": pdf["id"], "size": pdf["size"], "source_size": pdf["source_size"], "target": pdf["target"], "taken": pdf["size"] * copies})
+    def emit(leaf: pa.Table, copies: np.ndarray) -> pa.Table:
+        return leaf.select(["id", "size", "source_size", "target"]).append_column("taken", pa.array(leaf.column("size").to_numpy() * copies))
 
     keep = rows.select("id", "size", "source_size", "target", "key", "leaf", "copies", "group")
     return rounded(keep, emit, f"id {kind}, size long, source_size long, target double, taken long").withColumnRenamed("id", id_col)
@@ -229,8 +234,8 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sized = apart(wide.select("source", "size", "key", "ident"), ["source", "size", "key", "ident"])
     rows = dealt(sized, targets(sized, share, limit, weights), leaf).select("size", "key", "leaf", "copies", "group", "ident")
 
-    def emit(pdf: pd.DataFrame, copies: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"ident": pdf["ident"], "copies": copies})
+    def emit(leaf: pa.Table, copies: np.ndarray) -> pa.Table:
+        return leaf.select(["ident"]).append_column("copies", pa.array(copies))
 
     taken = rounded(rows, emit, "ident long, copies long").groupBy("ident").agg(F.sum("copies").alias("copies")).filter("copies > 0")
     taken = written(taken, "mix-taken")
