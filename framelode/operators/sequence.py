@@ -31,12 +31,26 @@ def positions(df: DataFrame, video: str = VIDEO, frame: str = FRAME, span: int =
     return placed.withColumn("pos", F.col("__start") + F.col("__at")).drop("__v", "__r", "__range", "__start", "__at")
 
 
+def chunks(df: DataFrame, before: int, after: int, video: str = VIDEO, frame: str = FRAME, rows: int = SPAN, span: int = SPAN) -> DataFrame:
+    """``df`` with ``pos``, dealt to ``__chunk``: a chunk's own ``rows`` (``__own``), and those up to ``before`` rows back and ``after``
+    rows ahead of one. A ``pos`` that ``df`` has is taken as it is."""
+    placed = (df if "pos" in df.columns else positions(df, video, frame, span)).withColumn("__own", F.floor(F.col("pos") / rows).cast("long"))
+    first, last = F.floor((F.col("pos") - after) / rows).cast("long"), F.floor((F.col("pos") + before) / rows).cast("long")
+    return placed.withColumn("__chunk", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last)))
+
+
 def chunked(df: DataFrame, compute: Callable[[WindowSpec], dict[str, Column]], before: int, after: int, video: str = VIDEO, frame: str = FRAME, rows: int = SPAN, span: int = SPAN) -> DataFrame:
     """``df`` with the window columns that ``compute`` makes of a window ordered by frame.
 
     They may look at ``before`` rows back and ``after`` rows ahead at most; ``rows`` is a chunk's length."""
-    placed = positions(df, video, frame, span).withColumn("__own", F.floor(F.col("pos") / rows).cast("long"))
-    first, last = F.floor((F.col("pos") - after) / rows).cast("long"), F.floor((F.col("pos") + before) / rows).cast("long")
-    dealt = placed.withColumn("__chunk", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last)))
+    dealt = chunks(df, before, after, video, frame, rows, span)
     w = Window.partitionBy(video, "__chunk").orderBy("pos")
-    return dealt.select("*", *(c.alias(n) for n, c in compute(w).items())).filter("__own = __chunk").drop("__own", "__chunk", "pos")
+    out = dealt.select("*", *(c.alias(n) for n, c in compute(w).items())).filter("__own = __chunk").drop("__own", "__chunk")
+    return out if "pos" in df.columns else out.drop("pos")
+
+
+def with_video(df: DataFrame, per_video: DataFrame, video: str = VIDEO, few: int = 1 << 17) -> DataFrame:
+    """``df`` with the columns of a table of one row a video: broadcast up to ``few`` videos, so that a large video meets no single task."""
+    named = per_video.withColumnRenamed(video, "__v")
+    named = F.broadcast(named) if named.count() <= few else named
+    return df.join(named, F.col(video).eqNullSafe(F.col("__v"))).drop("__v")

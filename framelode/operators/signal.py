@@ -1,24 +1,25 @@
 """Signals along a frame sequence: distances, filters, transitions, shots.
 
-Row-bounded windows come from functions of a ``WindowSpec``, so that they run by video or, for hot videos,
-by chunk (``sequence.chunked``). Only the smoothing spline, the dissolve scan and the merge of intervals
-carry state along a whole video; they run as grouped pandas functions on one narrow row a frame or interval.
+Row-bounded windows come from functions of a ``WindowSpec`` and run by chunk (``sequence.chunked``), and so does the smoothing
+spline, whose far neighbours do not count. Runs of rising and falling frames, and of frames without effects, are gaps and
+islands over frame places. Only the merge of intervals carries state along a whole video: it has one narrow row an interval.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from framelode.functions import vec
-from framelode.operators.sequence import FRAME, VIDEO, by_frame, positions
+from framelode.operators.sequence import FRAME, SPAN, VIDEO, chunked, chunks, positions, with_video
+from framelode.scratch import written
 
 FADE, CUT, CUT_REACH, SCENE_REACH, MIN_SHOT = 0.1, 0.4, 20, 24, 10
 SMOOTH, GAP, CAP = 0.05, 10, 90
+REACH = 512  # frames beyond which a frame does not move the spline: its weight falls by half in under four frames
+MIN_DISSOLVE, DISSOLVE_LEVEL, DISSOLVE_SHAPE = 10, 0.1, 0.7
 
 
 def consecutive(w: WindowSpec, hist: str, metric: str = "l2") -> Column:
@@ -63,8 +64,8 @@ def median5(w: WindowSpec, x: str) -> Column:
 
 def by_maximum(signals: DataFrame, x: str, out: str, video: str = VIDEO) -> DataFrame:
     """``signals`` with ``out``: x over its video's maximum (0 where that is 0)."""
-    top = signals.groupBy(F.col(video).alias("__v")).agg(F.max(x).alias("__top"))
-    return signals.join(top, F.col(video).eqNullSafe(F.col("__v"))).withColumn(out, F.when(F.col("__top") != 0, F.col(x) / F.col("__top")).otherwise(0.0)).drop("__v", "__top")
+    top = signals.groupBy(video).agg(F.max(x).alias("__top"))
+    return with_video(signals, top, video).withColumn(out, F.when(F.col("__top") != 0, F.col(x) / F.col("__top")).otherwise(0.0)).drop("__top")
 
 
 def fade(ratio: Column, limit: float = FADE) -> Column:
@@ -111,42 +112,78 @@ def spline(y: np.ndarray, p: float = SMOOTH) -> np.ndarray:
     return y - a * back
 
 
-def smooth(signals: DataFrame, x: str, out: str = "smooth", p: float = SMOOTH, video: str = VIDEO, frame: str = FRAME) -> DataFrame:
-    """``video, frame, x, out``: the smoothing spline of x along each video."""
-    narrow = signals.select(video, frame, F.col(x).cast("double").alias(x))
+def smooth(signals: DataFrame, x: str, out: str = "smooth", p: float = SMOOTH, video: str = VIDEO, frame: str = FRAME, rows: int = SPAN, reach: int = REACH) -> DataFrame:
+    """``video, frame, x, out`` (and ``pos``, if given): the smoothing spline of x along each video, nulls as 0.
+
+    Chunk by chunk, each solved with ``reach`` frames more at both ends: a frame's weight falls geometrically with the distance,
+    so that none is left from there."""
+    kept = [video, frame, *(["pos"] if "pos" in signals.columns else []), x]
+    narrow = signals.select(*kept[:-1], F.col(x).cast("double").alias(x))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(frame, ignore_index=True)
+        pdf = pdf.sort_values("pos", ignore_index=True)
         pdf[out] = spline(pdf[x].fillna(0.0).to_numpy(), p)
-        return pdf
+        return pdf[pdf["__own"] == pdf["__chunk"]][[*kept, out]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema)
-    return narrow.groupBy(video).applyInPandas(run, f"{schema}, `{out}` double")
-
-
-def dissolve_spans(v: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Spans of dissolves in a smoothed signal: V shapes, from one turn of the curvature to the other."""
-    n = len(v)
-    after, before = np.r_[v[1:], 0.0], np.r_[0.0, v[:-1]]
-    v1, v2 = after - v, after - 2 * v + before
-    for i in range(2, n - 2):
-        if not (v1[i - 2] < 0 and v1[i - 1] < 0 <= v1[i] and v1[i + 1] > 0 and v1[i + 2] > 0):
-            continue
-        left, low, j = i, 0.0, i - 1
-        while j >= 0 and v1[j] < 0:
-            if v2[j] < low:
-                left, low = j, v2[j]
-            j -= 1
-        right, low, k = i, 0.0, i + 1
-        while k < n and v1[k] > 0:
-            if v2[k] < low:
-                right, low = k, v2[k]
-            k += 1
-        if j < 0 or k >= n or right - left <= 10 or v[i] <= 0.1:
-            continue
-        middle = (left + right) // 2
-        if v[left] >= 0 and v[right] >= 0 and abs(v[middle] - (v[left] + v[right]) / 4) < 0.7 * np.sqrt(v[left]) * np.sqrt(v[right]) / 2:
-            yield left, right
+    return chunks(narrow, reach, reach, video, frame, rows).groupBy(video, "__chunk").applyInPandas(run, f"{schema}, `{out}` double")
+
+
+def slopes(smoothed: DataFrame, v: str, video: str = VIDEO, frame: str = FRAME) -> DataFrame:
+    """``video, frame, pos, v, rise, bend, turn, fresh`` from ``video, frame, pos, v``.
+
+    rise: the next value less this one; bend: the second difference; none counting as 0. turn: two frames of fall before this one
+    and two of rise after it. fresh: the frame before does not rise."""
+
+    def compute(w: WindowSpec) -> dict[str, Column]:
+        def at(k: int) -> Column:
+            return F.lead(v, k, 0.0).over(w) if k > 0 else F.lag(v, -k, 0.0).over(w) if k < 0 else F.col(v)
+
+        def rise(k: int) -> Column:
+            return at(k + 1) - at(k)
+
+        turn = (rise(-2) < 0) & (rise(-1) < 0) & (rise(0) >= 0) & (rise(1) > 0) & (rise(2) > 0)
+        inside = F.lag(F.lit(1), 2).over(w).isNotNull() & F.lead(F.lit(1), 2).over(w).isNotNull()
+        return {"rise": rise(0), "bend": at(1) - 2 * at(0) + at(-1), "turn": turn & inside, "fresh": F.lag(F.lit(1), 1).over(w).isNull() | (rise(-1) <= 0)}
+
+    return chunked(smoothed.select(video, frame, "pos", F.col(v).alias(v)), compute, 3, 3, video, frame)
+
+
+def dissolve_spans(smoothed: DataFrame, v: str, video: str = VIDEO, frame: str = FRAME) -> DataFrame:
+    """``video, start_frame, end_frame`` of dissolves in a smoothed signal ``video, frame, pos, v``: V shapes.
+
+    A turn lies between a run of falling frames and a run of rising ones, both of which end inside the video. Its sides are
+    the sharpest downward bends of the runs, the nearest to the turn on ties, or else the turn itself. They are
+    over ``MIN_DISSOLVE`` frames apart, the turn's value is over ``DISSOLVE_LEVEL``, and the value in the middle is near a
+    quarter of the sides' sum."""
+    s = written(slopes(smoothed, v, video, frame), "slopes")
+    side = F.struct("bend", "near", F.col("pos").alias("at"), F.col(v).alias("value"), F.col(frame).alias("id"))
+
+    def runs(sign: int) -> DataFrame:
+        """Runs of frames that fall (-1) or rise (1), with their sides."""
+        own = positions(s.filter(F.col("rise") * sign > 0).withColumnRenamed("pos", "place"), video, frame).withColumn("run", F.col("place") - F.col("pos"))
+        own = own.withColumn("pos", F.col("place")).withColumn("near", F.col("place") * sign)
+        bent = F.col("bend") < 0
+        return own.groupBy(F.col(video).alias("__v"), "run").agg(
+            F.min("place").alias("first"), F.max("place").alias("last"), F.min(F.when(bent, side)).alias("whole"), F.min(F.when(bent & ~F.col("fresh"), side)).alias("rest")
+        )
+
+    turns = s.filter("turn").select(video, frame, "pos", v, (F.col("rise") == 0).cast("long").alias("flat"))
+    last = s.groupBy(video).agg(F.max("pos").alias("__last"))
+    fall = runs(-1).select("__v", F.col("last").alias("__end"), F.col("first").alias("fall_first"), F.col("whole").alias("left"))
+    rise = runs(1).select("__v", F.col("first").alias("__start"), F.col("last").alias("rise_last"), "whole", "rest")
+    same = F.col(video).eqNullSafe(F.col("__v"))
+    found = turns.join(fall, same & (F.col("pos") == F.col("__end") + 1)).drop("__v", "__end")
+    found = found.join(rise, same & (F.col("pos") + F.col("flat") == F.col("__start"))).drop("__v", "__start")
+    turn = F.struct(F.lit(0.0).alias("bend"), F.col("pos").alias("near"), F.col("pos").alias("at"), F.col(v).alias("value"), F.col(frame).alias("id"))
+    # the turn itself is no side of the run that starts with it
+    found = found.withColumn("left", F.coalesce("left", turn)).withColumn("right", F.coalesce(F.when(F.col("flat") == 1, F.col("whole")).otherwise(F.col("rest")), turn))
+    inside = (F.col("fall_first") > 0) & (F.col("rise_last") < F.col("__last"))
+    wide = with_video(found, last, video).filter(inside & (F.col("right.at") - F.col("left.at") > MIN_DISSOLVE) & (F.col(v) > DISSOLVE_LEVEL) & (F.col("left.value") >= 0) & (F.col("right.value") >= 0))
+    middle = s.select(F.col(video).alias("__v"), F.col("pos").alias("__at"), F.col(v).alias("__middle"))
+    near = wide.join(middle, same & (F.floor((F.col("left.at") + F.col("right.at")) / 2) == F.col("__at")))
+    shape = F.abs(F.col("__middle") - (F.col("left.value") + F.col("right.value")) / 4) < DISSOLVE_SHAPE * F.sqrt("left.value") * F.sqrt("right.value") / 2
+    return near.filter(shape).select(video, F.col("left.id").alias("start_frame"), F.col("right.id").alias("end_frame"))
 
 
 def merged(spans: list[tuple[int, int]], gap: int = GAP, cap: int = CAP) -> list[tuple[int, int]]:
@@ -174,18 +211,18 @@ def merge_intervals(spans: DataFrame, gap: int = GAP, cap: int = CAP, video: str
     return narrow.groupBy(video).applyInPandas(run, f"`{video}` {narrow.schema[video].dataType.simpleString()}, `{start}` long, `{end}` long")
 
 
-def dissolves(signals: DataFrame, variance: str = "gray_var", p: float = SMOOTH, video: str = VIDEO, frame: str = FRAME) -> DataFrame:
-    """``video, start_frame, end_frame``: merged dissolves of each video, frame ids at both ends."""
-    ratio = by_maximum(signals.select(video, frame, F.coalesce(F.col(variance), F.lit(0.0)).alias(variance)), variance, "__x", video)
-    ratio = ratio.withColumn("__m", median5(by_frame(video, frame), "__x")).select(video, frame, "__m")
+def numbered(signals: DataFrame, video: str = VIDEO, frame: str = FRAME) -> DataFrame:
+    """``signals`` with ``pos``, stored, so that what is computed along them counts the frames once."""
+    return signals if "pos" in signals.columns else written(positions(signals, video, frame), "positions")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(frame, ignore_index=True)
-        ids = pdf[frame].tolist()
-        found = merged(sorted(dissolve_spans(spline(pdf["__m"].to_numpy(), p))))
-        return pd.DataFrame({video: pd.Series([key[0]] * len(found), dtype=object), "start_frame": [ids[s] for s, _ in found], "end_frame": [ids[e] for _, e in found]})
 
-    return ratio.groupBy(video).applyInPandas(run, f"`{video}` {signals.schema[video].dataType.simpleString()}, start_frame long, end_frame long")
+def dissolves(signals: DataFrame, variance: str = "gray_var", p: float = SMOOTH, video: str = VIDEO, frame: str = FRAME) -> DataFrame:
+    """``video, start_frame, end_frame``: merged dissolves of each video, frame ids at both ends."""
+    placed = numbered(signals.select(video, frame, *(["pos"] if "pos" in signals.columns else []), F.coalesce(F.col(variance), F.lit(0.0)).alias(variance)), video, frame)
+    ratio = by_maximum(placed, variance, "__x", video).select(video, frame, "pos", "__x")
+    level = chunked(ratio, lambda w: {"__m": median5(w, "__x")}, 0, 4, video, frame)
+    smoothed = smooth(level, "__m", "__s", p, video, frame)
+    return merge_intervals(dissolve_spans(smoothed, "__s", video, frame), video=video)
 
 
 def mask_intervals(frames: DataFrame, intervals: DataFrame, out: str, video: str = VIDEO, frame: str = FRAME) -> DataFrame:
@@ -196,12 +233,14 @@ def mask_intervals(frames: DataFrame, intervals: DataFrame, out: str, video: str
 
 def effects(signals: DataFrame, variance: str = "gray_var", dissim: str = "dissim", cut_limit: float = CUT, dissolve: bool = True, video: str = VIDEO, frame: str = FRAME) -> DataFrame:
     """``signals`` with ``effect``: 0 in a fade, at a cut or in a dissolve, else 1."""
-    w = by_frame(video, frame)
-    first = F.lag(F.lit(1)).over(w).isNull()
-    base = signals.withColumn("__var", F.when(first, 0.0).otherwise(F.coalesce(F.col(variance), F.lit(0.0)))).withColumn("__f20", neighbourhood_max(w, dissim, CUT_REACH))
+    placed = numbered(signals, video, frame)
+    first = F.col("pos") == 0
+    base = chunked(placed, lambda w: {"__f20": neighbourhood_max(w, dissim, CUT_REACH)}, CUT_REACH, CUT_REACH - 1, video, frame)
+    base = base.withColumn("__var", F.when(first, 0.0).otherwise(F.coalesce(F.col(variance), F.lit(0.0))))
     base = by_maximum(base, "__var", "__ratio", video)
     base = mask_intervals(base, dissolves(base, "__var", video=video, frame=frame), "__dissolve", video, frame) if dissolve else base.withColumn("__dissolve", F.lit(1))
-    return base.withColumn("effect", fade(F.col("__ratio")) * cut(F.col("__f20"), cut_limit) * F.col("__dissolve")).drop("__var", "__f20", "__ratio", "__dissolve")
+    out = base.withColumn("effect", fade(F.col("__ratio")) * cut(F.col("__f20"), cut_limit) * F.col("__dissolve")).drop("__var", "__f20", "__ratio", "__dissolve")
+    return out if "pos" in signals.columns else out.drop("pos")
 
 
 def shots(effect: DataFrame, min_length: int = MIN_SHOT, video: str = VIDEO, frame: str = FRAME) -> DataFrame:
@@ -224,5 +263,5 @@ def shot_frames(frames: DataFrame, shot: DataFrame, video: str = VIDEO, frame: s
 
 def scene_count(signals: DataFrame, dissim: str = "dissim", reach: int = SCENE_REACH, video: str = VIDEO, frame: str = FRAME) -> DataFrame:
     """``video, nscenes``: frames whose filtered dissimilarity is positive."""
-    filtered = signals.withColumn("__f", neighbourhood_max(by_frame(video, frame), dissim, reach))
+    filtered = chunked(signals, lambda w: {"__f": neighbourhood_max(w, dissim, reach)}, reach, reach - 1, video, frame)
     return filtered.groupBy(video).agg(F.count_if(F.col("__f") > 0).alias("nscenes"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framelode.functions import color, names, vec
 from framelode.operators import bovw, cluster, histogram, signal, summary
-from framelode.operators.sequence import by_frame, chunked
+from framelode.operators.sequence import chunked
 from framelode.plans import pipelines
 from framelode.sources import frames as source
 from framelode.sources import proxies
@@ -48,7 +48,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_dissimilarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals(spark, sf_dir).withColumn("dissim", signal.dissimilarity(by_frame(), "hist"))
+    return pipelines.segmentation_signals(signals(spark, sf_dir))
 
 
 # Oracle parts -----------------------------------------------------------------------------------
@@ -71,8 +71,56 @@ def filtered(x: str, reach: int) -> str:
     return f"CASE WHEN {x} > {m} THEN ({x} - {m}) / {x} ELSE 0.0 END"
 
 
+def over(order: str) -> str:
+    return f"OVER (PARTITION BY video_id ORDER BY frame_id{order})"
+
+
+def spline_of(source: str) -> str:
+    """CTEs (recursive): ``sm``, the smoothing spline ``v`` of ``source (video_id, frame_id, y)`` by elimination of the five bands, a row at a time, and back."""
+    p = 0.05
+    d, e, f = 36 * (1 - p) + 4 * p, p - 24 * (1 - p), 6 * (1 - p)
+    return f"""ys AS (SELECT video_id, frame_id, CAST(y AS DOUBLE) AS y, row_number() {over("")} - 1 AS k, count(*) OVER (PARTITION BY video_id) AS n, lead(y, 2) {over("")} - 2 * lead(y) {over("")} + y AS b FROM {source}),
+el AS (SELECT video_id, 0::BIGINT AS k, {d}::DOUBLE AS d, 0::DOUBLE AS dp, 0::DOUBLE AS low1, 0::DOUBLE AS low2, b AS u, 0::DOUBLE AS up FROM ys WHERE k = 0 AND n > 2
+  UNION ALL SELECT video_id, k, {d} - low2 * {f} - low1 * cr, dp, low1, low2, b - low1 * u - low2 * up, u FROM (SELECT *, cr / dp AS low1 FROM (SELECT y.video_id, y.k, y.b, el.d AS dp, el.u, el.up, CASE WHEN y.k > 1 THEN {f} / el.dp ELSE 0 END AS low2, {e} - (CASE WHEN y.k > 1 THEN {f} * el.low1 ELSE 0 END) AS cr FROM el JOIN ys y ON y.video_id = el.video_id AND y.k = el.k + 1 WHERE y.k < y.n - 2))),
+bk AS (SELECT e.video_id, e.k, e.u / e.d AS x, 0::DOUBLE AS xn, e.low1, 0::DOUBLE AS low2n, e.low2 FROM el e JOIN ys y ON y.video_id = e.video_id AND y.k = e.k WHERE e.k = y.n - 3
+  UNION ALL SELECT e.video_id, e.k, e.u / e.d - b.low1 * b.x - b.low2n * b.xn, b.x, e.low1, b.low2, e.low2 FROM bk b JOIN el e ON e.video_id = b.video_id AND e.k = b.k - 1),
+sm AS (SELECT y.video_id, y.frame_id, y.k, y.n, y.y - {f} * (coalesce(a.x, 0) - 2 * coalesce(b.x, 0) + coalesce(c.x, 0)) AS v FROM ys y LEFT JOIN bk a ON a.video_id = y.video_id AND a.k = y.k LEFT JOIN bk b ON b.video_id = y.video_id AND b.k = y.k - 1 LEFT JOIN bk c ON c.video_id = y.video_id AND c.k = y.k - 2)"""
+
+
+def merged_of(source: str, out: str) -> str:
+    """CTEs (recursive): ``out``, the merged intervals of ``source (video_id, start_frame, end_frame)``."""
+    fits = "g.end_frame + 10 >= t.start_frame AND g.acc + t.end_frame - t.start_frame < 90"
+    return f"""{out}_o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_frame, end_frame) AS i FROM {source}),
+{out}_g AS (SELECT video_id, i, start_frame, end_frame, end_frame - start_frame AS acc, start_frame AS s FROM {out}_o WHERE i = 1
+UNION ALL SELECT t.video_id, t.i, t.start_frame, t.end_frame, CASE WHEN {fits} THEN g.acc + t.end_frame - t.start_frame ELSE t.end_frame - t.start_frame END, CASE WHEN {fits} THEN g.s ELSE t.start_frame END FROM {out}_g g JOIN {out}_o t ON t.video_id = g.video_id AND t.i = g.i + 1),
+{out} AS (SELECT video_id, s AS start_frame, max(end_frame) AS end_frame FROM {out}_g GROUP BY video_id, s)"""
+
+
+def slopes_of(source: str) -> str:
+    """CTEs (recursive): ``sg``, slopes and turns of the smoothed median variance of ``source (video_id, frame_id, var)``."""
+    five = "ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING"
+    return f"""rt AS (SELECT video_id, frame_id, coalesce(var / nullif(max(var) OVER (PARTITION BY video_id), 0), 0) AS x FROM {source}),
+md AS (SELECT video_id, frame_id, CASE WHEN count(*) {over(" " + five)} = 5 THEN median(x) {over(" " + five)} ELSE 0.0 END AS y FROM rt),
+{spline_of("md")},
+sl AS (SELECT *, lead(v, 1, 0) {over("")} - v AS rise, lead(v, 1, 0) {over("")} - 2 * v + lag(v, 1, 0) {over("")} AS bend FROM sm),
+sg AS (SELECT *, CASE WHEN rise > 0 THEN 1 WHEN rise < 0 THEN -1 ELSE 0 END AS sgn, coalesce(lag(rise) {over("")} <= 0, true) AS fresh, lag(rise, 2) {over("")} < 0 AND lag(rise) {over("")} < 0 AND rise >= 0 AND lead(rise) {over("")} > 0 AND lead(rise, 2) {over("")} > 0 AND k >= 2 AND k < n - 2 AS turn FROM sl)"""
+
+
+def dissolved_of(source: str) -> str:
+    """CTEs (recursive): ``dissolved``, the merged dissolves of ``source (video_id, frame_id, var)``."""
+    side = "{'bend': bend, 'near': k * sgn, 'at': k, 'value': v, 'id': frame_id}"
+    turn = "{'bend': 0::DOUBLE, 'near': t.k, 'at': t.k, 'value': t.v, 'id': t.frame_id}"
+    return f"""{slopes_of(source)},
+rr AS (SELECT *, k - row_number() OVER (PARTITION BY video_id, sgn ORDER BY frame_id) AS run FROM sg),
+rn AS (SELECT video_id, sgn, run, min(k) AS first, max(k) AS last, min({side}) FILTER (WHERE bend < 0) AS whole, min({side}) FILTER (WHERE bend < 0 AND NOT fresh) AS rest FROM rr GROUP BY ALL),
+vs AS (SELECT t.video_id, t.v, t.n, l.first AS fall_first, r.last AS rise_last, coalesce(l.whole, {turn}) AS a, coalesce(CASE WHEN t.rise = 0 THEN r.whole ELSE r.rest END, {turn}) AS b FROM sg t JOIN rn l ON l.video_id = t.video_id AND l.sgn = -1 AND l.last = t.k - 1 JOIN rn r ON r.video_id = t.video_id AND r.sgn = 1 AND r.first = t.k + CASE WHEN t.rise = 0 THEN 1 ELSE 0 END WHERE t.turn),
+sp AS (SELECT vs.video_id, a.id AS start_frame, b.id AS end_frame FROM vs JOIN sm ON sm.video_id = vs.video_id AND sm.k = (a.at + b.at) // 2 WHERE fall_first > 0 AND rise_last < vs.n - 1 AND b.at - a.at > 10 AND vs.v > 0.1 AND a.value >= 0 AND b.value >= 0 AND abs(sm.v - (a.value + b.value) / 4) < 0.7 * sqrt(a.value) * sqrt(b.value) / 2),
+{merged_of("sp", "dissolved")}"""
+
+
 EFFECTS = f"""f AS (SELECT video_id, frame_id, CASE WHEN row_number() OVER {W} = 1 THEN 0.0 ELSE gray_var END AS var, {filtered("dissim", 20)} AS f20 FROM dis),
-eff AS (SELECT video_id, frame_id, CASE WHEN coalesce(var / nullif(max(var) OVER (PARTITION BY video_id), 0), 0) < 0.1 OR f20 > {CUT_HERE} THEN 0 ELSE 1 END AS effect FROM f)"""
+{dissolved_of("f")},
+eff AS (SELECT video_id, frame_id, CASE WHEN coalesce(var / nullif(max(var) OVER (PARTITION BY video_id), 0), 0) < 0.1 OR f20 > {CUT_HERE} OR EXISTS (SELECT 1 FROM dissolved x WHERE x.video_id = f.video_id AND f.frame_id BETWEEN x.start_frame AND x.end_frame) THEN 0 ELSE 1 END AS effect FROM f)"""
 SHOTS = f"""run AS (SELECT video_id, frame_id, row_number() OVER {W} - row_number() OVER (PARTITION BY video_id, effect ORDER BY frame_id) AS run, effect FROM eff),
 isl AS (SELECT video_id, min(frame_id) - 1 AS start_frame, max(frame_id) AS end_frame FROM run WHERE effect = 1 GROUP BY video_id, run),
 shots AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start_frame) AS shot_id, start_frame, end_frame FROM isl WHERE end_frame - start_frame > 10)"""
@@ -306,23 +354,23 @@ def cuts(spark, sf_dir):
 
 
 def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.effects(with_dissimilarity(spark, sf_dir), cut_limit=CUT_HERE, dissolve=False)
+    return signal.effects(with_dissimilarity(spark, sf_dir), cut_limit=CUT_HERE)
 
 
-@query(f"WITH {EVT}, {EFFECTS} SELECT video_id, frame_id, effect FROM eff")
+@query(f"WITH RECURSIVE {EVT}, {EFFECTS} SELECT video_id, frame_id, effect FROM eff")
 def effects(spark, sf_dir):
     return masked(spark, sf_dir).select("video_id", "frame_id", "effect")
 
 
-@query(f"WITH {EVT}, {EFFECTS}, {SHOTS} SELECT video_id, CAST(shot_id AS INT) AS shot_id, start_frame, end_frame FROM shots")
+@query(f"WITH RECURSIVE {EVT}, {EFFECTS}, {SHOTS} SELECT video_id, CAST(shot_id AS INT) AS shot_id, start_frame, end_frame FROM shots")
 def shots(spark, sf_dir):
     return signal.shots(masked(spark, sf_dir))
 
 
-@query(f"WITH {EVT}, {EFFECTS}, {SHOTS} SELECT s.video_id, CAST(shot_id AS INT) AS shot_id, frame_id, round(gray_var + 1e-9::DOUBLE, 6) AS gray_var FROM sig s JOIN shots t ON s.video_id = t.video_id AND s.frame_id BETWEEN t.start_frame AND t.end_frame")
+@query(f"WITH RECURSIVE {EVT}, {EFFECTS}, {SHOTS} SELECT s.video_id, CAST(shot_id AS INT) AS shot_id, frame_id, round(gray_var + 1e-9::DOUBLE, 6) AS gray_var FROM sig s JOIN shots t ON s.video_id = t.video_id AND s.frame_id BETWEEN t.start_frame AND t.end_frame")
 def shot_frames(spark, sf_dir):
     s = with_dissimilarity(spark, sf_dir)
-    found = signal.shots(signal.effects(s, cut_limit=CUT_HERE, dissolve=False))
+    found = signal.shots(signal.effects(s, cut_limit=CUT_HERE))
     return signal.shot_frames(s, found).select("video_id", "shot_id", "frame_id", v6("gray_var").alias("gray_var"))
 
 
@@ -331,20 +379,18 @@ def scene_count(spark, sf_dir):
     return signal.scene_count(with_dissimilarity(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {EVT}, {EFFECTS}, {SHOTS}, g AS (SELECT video_id, shot_id AS n, start_frame, end_frame, end_frame - start_frame AS acc, start_frame AS s FROM shots WHERE shot_id = 1
-UNION ALL SELECT t.video_id, t.shot_id, t.start_frame, t.end_frame, CASE WHEN g.end_frame + 10 >= t.start_frame AND g.acc + t.end_frame - t.start_frame < 90 THEN g.acc + t.end_frame - t.start_frame ELSE t.end_frame - t.start_frame END, CASE WHEN g.end_frame + 10 >= t.start_frame AND g.acc + t.end_frame - t.start_frame < 90 THEN g.s ELSE t.start_frame END FROM g JOIN shots t ON t.video_id = g.video_id AND t.shot_id = g.n + 1)
-SELECT video_id, s AS start_frame, max(end_frame) AS end_frame FROM g GROUP BY video_id, s""")
+@query(f"WITH RECURSIVE {EVT}, {EFFECTS}, {SHOTS}, {merged_of('shots', 'joined')} SELECT video_id, start_frame, end_frame FROM joined")
 def interval_merge(spark, sf_dir):
     return signal.merge_intervals(signal.shots(masked(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH RECURSIVE {EVT}, ra AS (SELECT video_id, frame_id, gray_var / max(gray_var) OVER (PARTITION BY video_id) AS y FROM sig), {spline_of('ra')} SELECT video_id, frame_id, round(v, 6) AS smooth FROM sm")
 def smooth_spline(spark, sf_dir):
     s = signal.by_maximum(signals(spark, sf_dir), "gray_var", "ratio")
     return signal.smooth(s, "ratio").select("video_id", "frame_id", r6("smooth").alias("smooth"))
 
 
-@query()
+@query(f"WITH RECURSIVE {EVT}, sv AS (SELECT video_id, frame_id, gray_var AS var FROM sig), {dissolved_of('sv')} SELECT video_id, start_frame, end_frame FROM dissolved")
 def dissolves(spark, sf_dir):
     return signal.dissolves(signals(spark, sf_dir))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelode.operators import bovw, cluster, histogram, signal
-from framelode.operators.sequence import by_frame
+from framelode.operators.sequence import chunked
 from framelode.scratch import written
 
 
@@ -54,10 +54,15 @@ class ShotParameters:
     scene_passes: int = 1000
 
 
+def segmentation_signals(features: DataFrame) -> DataFrame:
+    """``video_id, frame_id, gray_var, hist, dissim`` and the frames' places, stored: what cuts, scenes and dissolves are found in."""
+    return written(chunked(signal.numbered(features), lambda w: {"dissim": signal.dissimilarity(w, "hist")}, 1, 1), "signals")
+
+
 def segmentation(features: DataFrame, params: ShotParameters | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(shots, scene counts, effects)`` from ``video_id, frame_id, hist, gray_var``."""
     params = params or ShotParameters()
-    signals = features.withColumn("dissim", signal.dissimilarity(by_frame(), "hist")).select("video_id", "frame_id", "gray_var", "dissim")
+    signals = segmentation_signals(features)
     masked = signal.effects(signals, cut_limit=params.cut_limit)
     return signal.shots(masked, params.min_shot), signal.scene_count(signals), masked
 

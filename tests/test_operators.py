@@ -76,14 +76,42 @@ def test_shots_and_merge(spark):
     assert sorted((r["start_frame"], r["end_frame"]) for r in signal.merge_intervals(spans).collect()) == [(0, 50), (55, 130)]
 
 
-def test_dissolve_is_masked(spark):
+def v_shape(n=25):
     t = np.linspace(-1, 1, 41)
-    v = np.r_[np.full(25, 1.0), 0.35 + 0.65 * np.sin(np.abs(t) * np.pi / 2) ** 2, np.full(25, 1.0)]
-    found = list(signal.dissolve_spans(v))
-    assert len(found) == 1 and found[0][0] < 45 < found[0][1]
-    frames = sequence(spark, [float(x) for x in v], "gray_var").withColumn("dissim", F.lit(0.0))
-    out = signal.effects(frames)
-    assert set(column(out, "effect")) <= {0, 1} and column(out, "effect")[0] == 0
+    return np.r_[np.full(n, 1.0), 0.35 + 0.65 * np.sin(np.abs(t) * np.pi / 2) ** 2, np.full(n, 1.0)]
+
+
+def spans_of(spark, values):
+    df = sequence(spark, [float(x) for x in values], "v").withColumn("pos", F.col("frame_id").cast("long"))
+    return sorted((r["start_frame"], r["end_frame"]) for r in signal.dissolve_spans(df, "v").collect())
+
+
+def test_dissolve_spans(spark):
+    v = v_shape()
+    (found,) = spans_of(spark, v)
+    assert found[0] < 45 < found[1] and v[found[0]] > 0.9 and v[found[1]] > 0.9
+    assert len(spans_of(spark, np.r_[v, v])) == 2
+    assert spans_of(spark, 1 - v) == spans_of(spark, v * 0.2) == spans_of(spark, v[26:]) == []
+    assert len(spans_of(spark, v[:64])) == 1  # nothing follows, which counts as a fall to 0
+    assert spans_of(spark, np.ones(30)) == spans_of(spark, [1.0]) == []
+    flat = np.r_[v[:45], v[45], v[45:]]  # two frames at the bottom
+    assert len(spans_of(spark, flat)) == 1
+
+
+def test_dissolve_is_masked(spark):
+    frames = sequence(spark, [float(x) for x in np.r_[v_shape(), np.zeros(5)]], "gray_var").withColumn("dissim", F.lit(0.0))
+    ((start, end),) = [(r["start_frame"], r["end_frame"]) for r in signal.dissolves(frames).collect()]
+    effect = column(signal.effects(frames), "effect")
+    assert effect[0] == 0 and effect[start : end + 1] == [0] * (end + 1 - start) and effect[1:start] == [1] * (start - 1)
+    assert column(signal.effects(frames, dissolve=False), "effect")[start : end + 1] == [1] * (end + 1 - start)
+
+
+def test_spline_in_chunks(spark):
+    y = np.random.default_rng(3).normal(size=3000) + np.r_[np.zeros(1500), np.full(1500, 50.0)]
+    df = sequence(spark, [float(x) for x in y], "x")
+    got = {r["frame_id"]: r["smooth"] for r in signal.smooth(df, "x", rows=700).collect()}
+    first = min(got)
+    assert np.abs(np.array([got[first + k] for k in range(3000)]) - signal.spline(y)).max() < 1e-9
 
 
 def test_effects_constant_variance_and_one_frame(spark):
