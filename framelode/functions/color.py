@@ -32,7 +32,9 @@ def pixels(data: bytes, height: int, width: int, channels: int = 3) -> np.ndarra
 
 
 def gray_image(bgr: np.ndarray) -> np.ndarray:
-    return np.floor(bgr @ np.array([0.114, 0.587, 0.299]) + 0.5)
+    """The gray levels of ``gray``, with its order of terms, so that halves round alike."""
+    b, g, r = (bgr[..., k].astype(np.float64) for k in range(3))
+    return np.floor(r * 0.299 + g * 0.587 + b * 0.114 + 0.5)
 
 
 def hsv_image(bgr: np.ndarray) -> np.ndarray:

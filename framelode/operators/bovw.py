@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from framelode.functions import color
 from framelode.operators.cluster import nearest_centroid
 
-CELL, STRIDE, WINDOW, ORIENTATIONS = 8, 8, 16, 9
+CELL, WINDOW, ORIENTATIONS = 8, 16, 9
 
 
 def hog(gray: np.ndarray) -> np.ndarray:
-    """Histograms of oriented gradients: windows of 16 x 16 at a stride of 8, one block of 2 x 2 cells each, nine
+    """Histograms of oriented gradients: windows of 16 x 16 at a stride of one cell, one block of 2 x 2 cells each, nine
     unsigned orientations with linear votes, normalised with clipping at 0.2. One row of nine for each cell of a window."""
     g = np.sqrt(gray.astype(float))
     h, w = g.shape
@@ -28,19 +28,17 @@ def hog(gray: np.ndarray) -> np.ndarray:
     turn = (np.arctan2(dy, dx) % np.pi) / (np.pi / ORIENTATIONS) - 0.5
     low = np.floor(turn).astype(int)
     part = turn - low
-    out = []
-    for y in range(0, h - WINDOW + 1, STRIDE):
-        for x in range(0, w - WINDOW + 1, STRIDE):
-            cells = []
-            for cx in (0, CELL):
-                for cy in (0, CELL):
-                    at = np.s_[y + cy : y + cy + CELL, x + cx : x + cx + CELL]
-                    m, l, p = size[at].ravel(), low[at].ravel(), part[at].ravel()
-                    cells.append(np.bincount(l % ORIENTATIONS, m * (1 - p), ORIENTATIONS) + np.bincount((l + 1) % ORIENTATIONS, m * p, ORIENTATIONS))
-            block = np.concatenate(cells)
-            block = np.minimum(block / (np.linalg.norm(block) + 0.1 * len(block)), 0.2)
-            out.append((block / (np.linalg.norm(block) + 1e-3)).reshape(-1, ORIENTATIONS))
-    return np.concatenate(out)
+    rows, columns = h // CELL, w // CELL
+    ys, xs = np.mgrid[: rows * CELL, : columns * CELL]
+    cell = (ys // CELL * columns + xs // CELL) * ORIENTATIONS
+    size, low, part = (a[: rows * CELL, : columns * CELL] for a in (size, low, part))
+    votes = np.bincount((cell + low % ORIENTATIONS).ravel(), (size * (1 - part)).ravel(), rows * columns * ORIENTATIONS)
+    votes += np.bincount((cell + (low + 1) % ORIENTATIONS).ravel(), (size * part).ravel(), rows * columns * ORIENTATIONS)
+    cells = votes.reshape(rows, columns, ORIENTATIONS)
+    # a window's cells: down, then right
+    block = np.stack([cells[:-1, :-1], cells[1:, :-1], cells[:-1, 1:], cells[1:, 1:]], 2).reshape(-1, 4 * ORIENTATIONS)
+    block = np.minimum(block / (np.linalg.norm(block, axis=1, keepdims=True) + 0.1 * block.shape[1]), 0.2)
+    return (block / (np.linalg.norm(block, axis=1, keepdims=True) + 1e-3)).reshape(-1, ORIENTATIONS)
 
 
 def needs_opencv(name: str) -> Callable[[np.ndarray], np.ndarray]:

@@ -84,9 +84,10 @@ def vectors(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def nearest_rows(x: np.ndarray, c: np.ndarray, metric: str = "l2", chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest row of c for each row of x (first one on ties) and its distance."""
+def nearest_rows(x: np.ndarray, c: np.ndarray, metric: str = "l2", cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest row of c for each row of x (first one on ties) and its distance; ``cells`` differences at once, or one row's."""
     label, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+    chunk = max(1, min(1024, cells // max(1, c.size)))
     for s in range(0, len(x), chunk):
         d = np.abs(x[s : s + chunk, None, :] - c[None, :, :])
         d = d.sum(-1) if metric == "l1" else np.sqrt((d * d).sum(-1))
@@ -100,10 +101,11 @@ def means(assigned: DataFrame, vector: str, size: int, video: str = VIDEO) -> Da
     return assigned.groupBy(video, "cluster_id").agg(vec.mean_vector(vector, size).alias("vec"), F.count("*").alias("n"), F.bit_xor(F.xxhash64(video, FRAME, "cluster_id")).alias("mark"))
 
 
-def kmeans(frames: DataFrame, k: int | DataFrame, vector: str = "hist", metric: str = "l2", max_passes: int = MAX_PASSES, video: str = VIDEO, stable: bool = False) -> tuple[DataFrame, DataFrame]:
+def kmeans(frames: DataFrame, k: int | DataFrame, vector: str = "hist", metric: str = "l2", max_passes: int = MAX_PASSES, video: str = VIDEO, stable: bool = False, empty: str = "keep", single: bool = True) -> tuple[DataFrame, DataFrame]:
     """k-means of each video's frames: ``(frames with cluster_id and dist, centroids video, cluster_id, vec)``.
 
-    Seeds are the first k frames; a cluster without frames keeps its centroid; passes end when no label changes.
+    Seeds are the first k frames; a cluster without frames keeps its centroid (``empty="drop"``: is dropped, ids stay);
+    a cluster of one frame moves to it (``single=False``: keeps its centroid); passes end when no label changes.
     Videos of at most ``GROUP_ROWS`` frames run each in one task, larger ones in one job a pass, in which no task holds a
     video. Frames are stored first, unless they are ``stable``: a stored table already."""
     points = frames.filter(F.col(vector).isNotNull())
@@ -111,71 +113,69 @@ def kmeans(frames: DataFrame, k: int | DataFrame, vector: str = "hist", metric:
     sizes = points.groupBy(F.col(video).alias("__v")).agg(F.count("*").alias("__rows"))
     large = written(sizes.filter(F.col("__rows") > GROUP_ROWS), "large-videos")
     if large.isEmpty():
-        return grouped_kmeans(points, k, vector, metric, max_passes, video)
+        return grouped_kmeans(points, k, vector, metric, max_passes, video, empty, single)
     same = F.col(video).eqNullSafe(F.col("__v"))
-    small = grouped_kmeans(points.join(large, same, "left_anti"), k, vector, metric, max_passes, video)
-    rest = distributed_kmeans(points.join(large, same, "left_semi"), k, vector, metric, max_passes, video)
+    small = grouped_kmeans(points.join(large, same, "left_anti"), k, vector, metric, max_passes, video, empty, single)
+    rest = distributed_kmeans(points.join(large, same, "left_semi"), k, vector, metric, max_passes, video, empty, single)
     return small[0].unionByName(rest[0]), small[1].unionByName(rest[1])
 
 
-def grouped_kmeans(points: DataFrame, k: int | DataFrame, vector: str, metric: str, max_passes: int, video: str) -> tuple[DataFrame, DataFrame]:
-    """k-means of videos of at most ``GROUP_ROWS`` frames: all passes of a video in one task."""
+def grouped_kmeans(points: DataFrame, k: int | DataFrame, vector: str, metric: str, max_passes: int, video: str, empty: str = "keep", single: bool = True) -> tuple[DataFrame, DataFrame]:
+    """k-means of videos of at most ``GROUP_ROWS`` frames: all passes of a video in one task, once; labels and centroids are stored."""
     names = points.columns
     if isinstance(k, int):
         counted = points.withColumn("__k", F.lit(k))
     else:
         counted = points.join(k.select(F.col(video).alias("__v"), F.col("k").cast("int").alias("__k")), F.col(video).eqNullSafe(F.col("__v"))).drop("__v")
 
-    def fitted(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(FRAME, ignore_index=True)
         x = np.array(pdf[vector].tolist(), float)
         c, seen = x[: int(pdf["__k"].iloc[0])].copy(), None
+        ids = np.arange(len(c))
         for _ in range(max_passes):
             label, _ = nearest_rows(x, c, metric)
             sums, n = np.zeros_like(c), np.bincount(label, minlength=len(c))
             np.add.at(sums, label, x)
-            c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+            c = np.where((n > (0 if single else 1))[:, None], sums / np.maximum(n, 1)[:, None], c)
+            if empty == "drop" and (n == 0).any():
+                c, ids, seen = c[n > 0], ids[n > 0], None
+                continue
             if seen is not None and np.array_equal(label, seen):
                 break
             seen = label
-        return pdf, x, c
-
-    def assigned(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, x, c = fitted(pdf)
         label, dist = nearest_rows(x, c, metric)
-        return pdf[names].assign(cluster_id=label.astype(np.int32), dist=dist)
-
-    def centred(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, _, c = fitted(pdf)
-        return pd.DataFrame({video: pdf[video].iloc[[0] * len(c)].to_numpy(), "cluster_id": np.arange(len(c), dtype=np.int32), "vec": list(c)})
+        frames = pdf[names].assign(cluster_id=ids[label].astype(np.int32), dist=dist, __c=None)
+        centroids = pd.DataFrame({q: [pdf[q].iloc[0] if q == video else None] * len(c) for q in names}).assign(cluster_id=ids.astype(np.int32), dist=np.nan, __c=list(c))
+        return pd.concat([frames.astype(object), centroids.astype(object)], ignore_index=True)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
-    kind = points.schema[video].dataType.simpleString()
-    groups = counted.groupBy(video)
-    return groups.applyInPandas(assigned, f"{schema}, cluster_id int, dist double"), groups.applyInPandas(centred, f"`{video}` {kind}, cluster_id int, vec array<double>")
+    both = written(counted.groupBy(video).applyInPandas(fitted, f"{schema}, cluster_id int, dist double, __c array<double>"), "kmeans")
+    return both.filter("__c IS NULL").drop("__c"), both.filter("__c IS NOT NULL").select(video, "cluster_id", F.col("__c").alias("vec"))
 
 
-def distributed_kmeans(points: DataFrame, k: int | DataFrame, vector: str, metric: str, max_passes: int, video: str) -> tuple[DataFrame, DataFrame]:
+def distributed_kmeans(points: DataFrame, k: int | DataFrame, vector: str, metric: str, max_passes: int, video: str, empty: str = "keep", single: bool = True) -> tuple[DataFrame, DataFrame]:
     """k-means of videos of any size, all of them in one job a pass."""
     points = written(points, "points")
     size = points.agg(F.max(F.size(vector))).first()[0] or 1
     centroids = written(first_rows(points, k, vector, video), "centroids")
     if centroids.count() <= DRIVER_ROWS:
-        return few_centroids(points, centroids, vector, size, metric, max_passes, video)
+        return few_centroids(points, centroids, vector, size, metric, max_passes, video, empty, single)
     seen = None
     for _ in range(max_passes):
         new = written(means(assign(points, centroids, vector, metric, video), vector, size, video), "means")
         mark = new.agg(F.bit_xor("mark"), F.sum("n")).first()
         old = centroids.select(F.col(video).alias("__v"), F.col("cluster_id").alias("__c"), F.col("vec").alias("__old"))
-        joined = old.join(new, F.col("__v").eqNullSafe(F.col(video)) & (F.col("__c") == F.col("cluster_id")), "left")
-        centroids = written(joined.select(F.col("__v").alias(video), F.col("__c").alias("cluster_id"), F.coalesce("vec", "__old").alias("vec")), "centroids")
+        joined = old.join(new, F.col("__v").eqNullSafe(F.col(video)) & (F.col("__c") == F.col("cluster_id")), "inner" if empty == "drop" else "left")
+        moved = F.when(F.col("n") > (0 if single else 1), F.col("vec")).otherwise(F.col("__old"))
+        centroids = written(joined.select(F.col("__v").alias(video), F.col("__c").alias("cluster_id"), moved.alias("vec")), "centroids")
         if mark == seen:
             break
         seen = mark
     return assign(points, centroids, vector, metric, video), centroids
 
 
-def few_centroids(points: DataFrame, centroids: DataFrame, vector: str, size: int, metric: str, max_passes: int, video: str) -> tuple[DataFrame, DataFrame]:
+def few_centroids(points: DataFrame, centroids: DataFrame, vector: str, size: int, metric: str, max_passes: int, video: str, empty: str = "keep", single: bool = True) -> tuple[DataFrame, DataFrame]:
     """The passes of k-means with the centroids on the driver: one job each, in which each batch gives partial sums."""
     kind, names = points.schema[video].dataType.simpleString(), points.columns
     now = {(r[video], r["cluster_id"]): r["vec"] for r in centroids.collect()}
@@ -228,10 +228,15 @@ def few_centroids(points: DataFrame, centroids: DataFrame, vector: str, size: in
     seen = None
     for _ in range(max_passes):
         parts = points.mapInArrow(summing(by_video()), f"v {kind}, c int, n long, sums array<double>, mark long")
-        mark = 0
+        mark, used = 0, set()
         for r in parts.groupBy("v", "c").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("sums")[j]) for j in range(size))).alias("sums"), F.bit_xor("mark").alias("mark")).collect():
-            now[r["v"], r["c"]] = [x / r["n"] for x in r["sums"]]
+            used.add((r["v"], r["c"]))
+            if r["n"] > 1 or single:
+                now[r["v"], r["c"]] = [x / r["n"] for x in r["sums"]]
             mark ^= r["mark"]
+        if empty == "drop" and len(used) < len(now):
+            now, seen = {at: x for at, x in now.items() if at in used}, None
+            continue
         if mark == seen:
             break
         seen = mark
@@ -354,40 +359,45 @@ def local_kmeans(x: np.ndarray, c: np.ndarray, passes: int) -> tuple[np.ndarray,
     return label, c
 
 
-def xmeans(x: np.ndarray, k: int = 1, most: int = 10, passes: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def xmeans(x: np.ndarray, k: int = 1, most: int = 10, passes: int = 300, splits: int | None = None, cutoff: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """X-means: k-means, then each cluster splits in two along its widest direction where that raises the
-    criterion, until none does or there are ``most``. Deterministic. Returns labels and centroids."""
+    criterion, until none does or there are ``most``. Deterministic. Returns labels and centroids.
+
+    ``splits``: rounds of splitting at most. ``cutoff``: where no split raises the criterion, this share of the clusters
+    is split all the same, those that lose least first. The leaf and box sizes of other programs bound a search tree; here
+    each pass is exact without one, so there are no such parameters."""
     k = max(1, min(k, len(x)))
     label, c = local_kmeans(x, x[np.linspace(0, len(x) - 1, k).astype(int)].astype(float).copy(), passes)
-    while len(c) < most:
-        parts, splits = [], 0
+    rounds = 0
+    while len(c) < most and (splits is None or rounds < splits):
+        rounds += 1
+        halves: dict[int, tuple[float, list]] = {}  # by cluster: what the criterion gains, and the two
         for j in range(len(c)):
             own = x[label == j]
-            if len(own) > 3 and len(c) + splits < most and np.ptp(own, axis=0).max() > 0:
+            if len(own) > 3 and np.ptp(own, axis=0).max() > 0:
                 centered = own - own.mean(0)
                 axis = np.linalg.svd(centered, full_matrices=False)[2][0]
                 axis = axis * (1 if axis[np.abs(axis).argmax()] > 0 else -1)
                 reach = np.sqrt((centered @ axis).var()) * axis
                 two, children = local_kmeans(own, np.array([own.mean(0) - reach, own.mean(0) + reach]), passes)
-                if bic(own, two, children) > bic(own, np.zeros(len(own), int), own.mean(0)[None, :]):
-                    parts += list(children)
-                    splits += 1
-                    continue
-            parts.append(c[j])
-        if not splits:
+                halves[j] = bic(own, two, children) - bic(own, np.zeros(len(own), int), own.mean(0)[None, :]), list(children)
+        chosen = [j for j, (gain, _) in halves.items() if gain > 0] or sorted(halves, key=lambda j: (-halves[j][0], j))[: int(cutoff * len(halves))]
+        chosen = sorted(chosen)[: most - len(c)]
+        if not chosen:
             break
+        parts = [child for j in range(len(c)) for child in (halves[j][1] if j in chosen else [c[j]])]
         label, c = local_kmeans(x, np.array(parts), passes)
     return label, c
 
 
-def xmeans_groups(frames: DataFrame, keys: tuple[str, ...], vector: str, k: int = 1, most: int = 10, passes: int = 300, frame: str = FRAME) -> DataFrame:
+def xmeans_groups(frames: DataFrame, keys: tuple[str, ...], vector: str, k: int = 1, most: int = 10, passes: int = 300, splits: int | None = None, cutoff: float = 0.0, frame: str = FRAME) -> DataFrame:
     """``keys, cluster_id, frame_id, n``: X-means in each group (a shot), and the frame nearest to each centroid."""
     narrow = frames.select(*keys, frame, vector).filter(F.col(vector).isNotNull())
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(frame, ignore_index=True)
         x = np.array(pdf[vector].tolist(), float)
-        label, c = xmeans(x, k, most, passes)
+        label, c = xmeans(x, k, most, passes, splits, cutoff)
         used = [j for j in range(len(c)) if (label == j).any()]
         near = [int(np.sqrt(((x - c[j]) ** 2).sum(1)).argmin()) for j in used]
         out = pd.DataFrame({q: [v] * len(used) for q, v in zip(keys, key, strict=True)})

@@ -105,9 +105,19 @@ def with_norm(features: DataFrame) -> DataFrame:
     return features.withColumn("hist_norm", vec.normalise("hist", "n_pixels"))
 
 
-def meaningful(features: DataFrame, max_std: float = MAX_STD) -> DataFrame:
-    """Frames whose normalised histogram is spread: standard deviation under ``max_std``. Nulls are dropped."""
-    return features.withColumn("std", vec.std("hist_norm")).filter(F.col("std") < max_std)
+def spread_of(hist: str, kind: str) -> Column:
+    """How uneven a normalised histogram is: ``std`` (population), ``fixed_mean`` (from 1/16, over 16 whatever the bins) or
+    ``root_squares``."""
+    if kind == "std":
+        return vec.std(hist)
+    return fixed_mean_std(F.col(hist)) if kind == "fixed_mean" else F.sqrt(vec.total(vec.squared_deviation(hist, 0.0)))
+
+
+def meaningful(features: DataFrame, max_std: float = MAX_STD, kind: str = "std", hist: str = "hist_norm") -> DataFrame:
+    """Frames whose normalised histogram is spread: standard deviation under ``max_std``, or another ``kind`` of ``spread_of`` that is
+    not over it. Nulls are dropped."""
+    std = F.col("std")
+    return features.withColumn("std", spread_of(hist, kind)).filter(std < max_std if kind == "std" else std <= max_std)
 
 
 def fixed_mean_std(hist_norm: Column, center: float = 1 / 16, n: int = 16) -> Column:

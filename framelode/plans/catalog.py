@@ -432,12 +432,34 @@ def summary_anti(spark, sf_dir):
 # Whole methods ------------------------------------------------------------------------------------
 
 
+def summary_oracle(preset: str) -> str:
+    """The whole method in lists: a row a video and pass of k-means, then the keyframes in order, each kept unless one before it is near."""
+    p = pipelines.PRESETS[preset]
+    dist = {"l2": "list_distance({}, {})", "l1": "list_sum(list_transform(list_zip({}, {}), lambda z: abs(z[1] - z[2])))"}[p.metric].format
+    even = {"std": "list_stddev_pop(h) <", "fixed_mean": "sqrt(list_sum([(x - 0.0625) * (x - 0.0625) for x in h]) / 16) <=", "root_squares": "sqrt(list_sum([x * x for x in h])) <="}[p.spread]
+    jumps = ", ".join(f"nullif(count(*) FILTER (WHERE d > {t}), 0)" for t in p.k_thresholds)
+    members = "len(list_filter(label, lambda l: l = j))"
+    moved = f"[CASE WHEN {members} > {0 if p.single else 1} THEN [list_sum([CASE WHEN label[i] = j THEN pts[i][m] ELSE 0 END for i in range(1, len(pts) + 1)]) / {members} for m in range(1, 17)] ELSE c[j] END for j in range(1, len(c) + 1){f' if {members} > 0' if p.empty == 'drop' else ''}]"
+    near = "list_transform(pts, lambda p: list_position([{0} for q in c], list_min([{0} for q in c])))".format(dist("p", "q"))
+    alone = f"len([x for x in g.vs if {dist('x', 'o.h')} < {p.dedup}]) = 0"
+    return f"""WITH RECURSIVE {DOC}, kept AS (SELECT video_id, frame_id, h, raw FROM norm WHERE {even} {p.max_std}),
+kk AS (SELECT video_id, coalesce({jumps}, 1) AS k FROM (SELECT video_id, {dist("h", f"lag(h) OVER {W}")} AS d FROM kept) GROUP BY ALL),
+vid AS (SELECT video_id, any_value(k) AS k, list(raw ORDER BY frame_id) AS pts, list(h ORDER BY frame_id) AS hs, list(frame_id ORDER BY frame_id) AS ids FROM kept JOIN kk USING (video_id) GROUP BY video_id),
+km AS (SELECT video_id, 0 AS pass, pts[1:k] AS c, []::BIGINT[] AS seen, false AS done FROM vid
+  UNION ALL SELECT video_id, pass + 1, moved, CASE WHEN len(moved) < len(c) THEN [] ELSE label END, label = seen AND len(moved) = len(c) FROM (SELECT *, {moved} AS moved FROM (SELECT km.*, pts, {near} AS label FROM km JOIN vid USING (video_id) WHERE NOT done AND pass < 501))),
+fit AS (SELECT video_id, pts, hs, ids, c, {near} AS label FROM (SELECT video_id, arg_max(c, pass) AS c FROM km GROUP BY video_id) JOIN vid USING (video_id)),
+fr AS (SELECT video_id, ids[i] AS frame_id, hs[i] AS h, label[i] AS cluster, {dist("pts[i]", "c[label[i]]")} AS d FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM fit)),
+o AS (SELECT video_id, frame_id, h, row_number() OVER {W} AS rn FROM (SELECT *, row_number() OVER (PARTITION BY video_id, cluster ORDER BY d, frame_id) AS best FROM fr) WHERE best = 1),
+g AS (SELECT video_id, 1::BIGINT AS rn, [frame_id] AS ids, [h] AS vs FROM o WHERE rn = 1 UNION ALL SELECT g.video_id, o.rn, CASE WHEN {alone} THEN list_append(g.ids, o.frame_id) ELSE g.ids END, CASE WHEN {alone} THEN list_append(g.vs, o.h) ELSE g.vs END FROM g JOIN o ON o.video_id = g.video_id AND o.rn = g.rn + 1)
+SELECT video_id, unnest(ids) AS frame_id FROM g WHERE (video_id, rn) IN (SELECT (video_id, max(rn)) FROM o GROUP BY video_id)"""
+
+
 def summary_of(preset: str):
     def run(spark, sf_dir):
         return pipelines.histogram_summary(proxies.documents(spark, sf_dir).filter("n_pixels > 0"), preset)
 
     run.__name__ = f"histogram_summary_{preset}"
-    query()(run)
+    query(summary_oracle(preset))(run)
 
 
 for _preset in pipelines.PRESETS:
@@ -453,23 +475,44 @@ def event_descriptors(s: DataFrame) -> DataFrame:
 @query()
 def shot_summary(spark, sf_dir):
     s = signals(spark, sf_dir)
-    return pipelines.shot_summary(s, event_descriptors(s), pipelines.ShotParameters(cut_limit=CUT_HERE, words=16))
+    return pipelines.shot_summary(s, event_descriptors(s), pipelines.ShotParameters(cut_limit=CUT_HERE))
 
 
 def text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as square images: the bytes of their HTML, as many as fill whole rows of three channels."""
+    """Pages as square images: all bytes of their HTML as three channels, the rest of the last rows black."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("pages").alias("video_id"), F.col("page_id").alias("frame_id"), F.encode("html", "UTF-8").alias("raw"))
-    side = F.floor(F.sqrt(F.octet_length("raw") / 3)).cast("int")
-    return p.withColumn("height", side).withColumn("width", side).withColumn("data", F.substring(F.col("raw"), F.lit(1), side * side * 3)).drop("raw")
+    side = F.ceil(F.sqrt(F.ceil(F.octet_length("raw") / 3))).cast("int")
+    return p.withColumn("height", side).withColumn("width", side).withColumn("data", F.expr("rpad(raw, height * width * 3, X'00')")).drop("raw")
 
 
-@query()
+def hex_byte(at: int) -> str:
+    return f"((instr('0123456789ABCDEF', px[{at}]) - 1) * 16 + instr('0123456789ABCDEF', px[{at + 1}]) - 1)"
+
+
+IMAGES = f"""im AS (SELECT page_id AS frame_id, hex(encode(html)) AS raw, CAST(ceil(sqrt(ceil(strlen(html) / 3))) AS BIGINT) AS side FROM pages),
+pl AS (SELECT frame_id, side, unnest(regexp_extract_all(rpad(raw, CAST(side * side * 6 AS INT), '0'), '......')) AS px, unnest(range(side * side)) AS i FROM im WHERE side > 0),
+bgr AS (SELECT frame_id, side, i // side AS y, i % side AS x, {hex_byte(1)} AS b, {hex_byte(3)} AS g, {hex_byte(5)} AS r FROM pl),
+gy AS (SELECT *, round(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE) AS gray, greatest(r, g, b) // 16 AS bin FROM bgr)"""
+
+
+@query(f"""WITH {IMAGES}, st AS (SELECT frame_id, count(*) AS n_pixels, round(var_pop(gray) + 1e-9::DOUBLE, 6) AS gray_var FROM gy GROUP BY ALL), c AS (SELECT frame_id, bin, count(*) AS cnt FROM gy GROUP BY ALL)
+SELECT st.*, CAST(b.bin AS INT) AS bin, coalesce(c.cnt, 0) AS cnt FROM st CROSS JOIN (SELECT unnest(range(16)) AS bin) b LEFT JOIN c ON c.frame_id = st.frame_id AND c.bin = b.bin""")
 def image_features(spark, sf_dir):
     f = histogram.image_features(text_images(spark, sf_dir), "hsv")
-    return f.select("frame_id", "n_pixels", histogram.value_channel(F.col("hist")).alias("v"), r6("gray_var").alias("gray_var"))
+    long = f.select("frame_id", "n_pixels", v6("gray_var").alias("gray_var"), F.posexplode(histogram.value_channel(F.col("hist"))).alias("bin", "cnt"))
+    return long.withColumn("cnt", F.col("cnt").cast("long"))
 
 
-@query()
+HOG = f"""gr AS (SELECT frame_id, side // 8 AS n, y, x, coalesce(sqrt(lead(gray) OVER h) - sqrt(lag(gray) OVER h), 0) AS dx, coalesce(sqrt(lead(gray) OVER v) - sqrt(lag(gray) OVER v), 0) AS dy FROM gy WINDOW h AS (PARTITION BY frame_id, y ORDER BY x), v AS (PARTITION BY frame_id, x ORDER BY y)),
+tu AS (SELECT frame_id, n, y // 8 AS cy, x // 8 AS cx, sqrt(dx * dx + dy * dy) AS size, atan2(dy, dx) - pi() * floor(atan2(dy, dx) / pi()) AS a FROM gr WHERE n > 1 AND y < n * 8 AND x < n * 8),
+vo AS (SELECT *, CAST(floor(a / (pi() / 9) - 0.5) AS INT) AS low, a / (pi() / 9) - 0.5 - floor(a / (pi() / 9) - 0.5) AS part FROM tu),
+ce AS (SELECT frame_id, n, cy, cx, o, sum(s) AS v FROM (SELECT frame_id, n, cy, cx, (low + 9) % 9 AS o, size * (1 - part) AS s FROM vo UNION ALL SELECT frame_id, n, cy, cx, (low + 1) % 9, size * part FROM vo) GROUP BY ALL),
+ad AS (SELECT frame_id, n, cy, cx, o, coalesce(v, 0) AS v FROM (SELECT DISTINCT frame_id, n, cy, cx FROM ce) CROSS JOIN (SELECT unnest(range(9)) AS o) LEFT JOIN ce USING (frame_id, n, cy, cx, o)),
+wi AS (SELECT frame_id, (cy - q % 2) * (n - 1) + cx - q // 2 AS win, q, o, v FROM ad CROSS JOIN (SELECT unnest(range(4)) AS q) WHERE cy - q % 2 BETWEEN 0 AND n - 2 AND cx - q // 2 BETWEEN 0 AND n - 2),
+cl AS (SELECT frame_id, win, q, o, least(v / (sqrt(sum(v * v) OVER (PARTITION BY frame_id, win)) + 3.6), 0.2) AS v FROM wi)"""
+
+
+@query(f"WITH {IMAGES}, {HOG} SELECT frame_id, CAST(win * 4 + q AS INT) AS desc_id, CAST(o AS INT) AS pos, round(v / (sqrt(sum(v * v) OVER (PARTITION BY frame_id, win)) + 0.001), 6) AS x FROM cl")
 def hog(spark, sf_dir):
     d = bovw.descriptors(text_images(spark, sf_dir), "hog")
-    return d.select("frame_id", "desc_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return d.select("frame_id", "desc_id", F.posexplode("vec").alias("pos", "x")).withColumn("x", r6("x"))

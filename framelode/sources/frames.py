@@ -36,19 +36,32 @@ def sampled(frames: DataFrame, frame_no: Column, fps: Column | float) -> DataFra
     return frames.filter(frame_no % step == 0).withColumn("frame_id", F.floor(frame_no / step).cast("int") + 1)
 
 
-def decode(videos: DataFrame, decoder: Callable[[str], Iterator[tuple[int, int, int, bytes]]], every: int = 1, ranges: int = 1) -> DataFrame:
+def decode(videos: DataFrame, decoder: Callable[..., Iterator[tuple[int, int, int, bytes]]], every: int = 1, ranges: int = 1, seeks: bool = False, batch: int = 1 << 23) -> DataFrame:
     """Frames of ``videos (video_id, path)`` by a decoder: path to ``(position, height, width, BGR bytes)``.
 
-    A video is dealt to ``ranges`` tasks, each of which keeps the positions of its residue; every ``every``-th frame
-    is kept, numbered from 1."""
+    A video is dealt to ``ranges`` tasks; every ``every``-th frame is kept, numbered from 1. A decoder that ``seeks`` is called with
+    ``(path, part, ranges)`` and gives the frames of its own range of positions, so that a video is decoded once in all. One that
+    can't reads the whole video in each task, which keeps the positions of its residue. Frames are sent ``batch`` bytes at once."""
     dealt = videos.select("video_id", "path", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("part")).repartition("video_id", "part")
+    schema = pa.schema([("video_id", pa.string()), ("frame_id", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
         for b in batches:
             for video, path, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for no, h, w, data in decoder(path):
-                    if no % every == 0 and no // every % ranges == part:
-                        yield pa.RecordBatch.from_arrays([pa.array([video], pa.string()), pa.array([no // every + 1], pa.int32()), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([data], pa.binary())], ["video_id", "frame_id", "height", "width", "data"])
+                for no, h, w, data in decoder(path, part, ranges) if seeks else decoder(path):
+                    if no % every == 0 and (seeks or no // every % ranges == part):
+                        held.append((video, no // every + 1, h, w, data))
+                        size += len(data)
+                        if size >= batch:
+                            yield sent()
+                            held, size = [], 0
+        if held:
+            yield sent()
 
     return dealt.mapInArrow(scan, FRAME_SCHEMA)
 

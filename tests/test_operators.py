@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framelode import scratch
 from framelode.functions import color, names, vec
 from framelode.operators import bovw, cluster, histogram, signal, summary
 from framelode.operators.sequence import by_frame, chunked, positions
-from framelode import scratch
+from framelode.plans import pipelines
 from framelode.scratch import purge, release, written
 
 
@@ -247,6 +248,57 @@ def test_names(spark):
     assert tuple(one) == ("frame-000007.jpg", "-1.0000", "0.500000 2.000000 ")
 
 
+@pytest.mark.parametrize("rows", [cluster.GROUP_ROWS, 1])
+def test_kmeans_variants(spark, monkeypatch, rows):
+    """Clusters without frames are kept or dropped, clusters of one frame move or stay: in one task and in one job a pass."""
+    monkeypatch.setattr(cluster, "GROUP_ROWS", rows)
+    values = [[0.0, 0.0], [0.0, 0.0], [9.0, 9.0], [9.0, 10.0], [30.0, 30.0]]  # the second seed never wins
+    df = sequence(spark, values, "hist", "array<double>")
+    kept = {r["cluster_id"]: r["vec"] for r in cluster.kmeans(df, 3)[1].collect()}
+    assert kept == {0: [0, 0], 1: [0, 0], 2: [16, pytest.approx(49 / 3)]}
+    found, centroids = cluster.kmeans(df, 3, empty="drop")
+    assert sorted(r["cluster_id"] for r in centroids.collect()) == [0, 2] and column(found, "cluster_id") == [0, 0, 2, 2, 2]
+    lone = sequence(spark, [[0.0], [10.0], [10.0], [3.0]], "hist", "array<double>")
+    assert {r["cluster_id"]: r["vec"] for r in cluster.kmeans(lone, 2, max_passes=1)[1].collect()} == {0: [1.5], 1: [10]}
+    far = sequence(spark, [[0.0], [10.0], [10.0], [9.0]], "hist", "array<double>")
+    two = far.withColumn("hist", F.when(F.col("frame_id") == 0, F.array(F.lit(0.5))).otherwise(F.col("hist")))
+    for single in (True, False):
+        assert {r["cluster_id"]: r["vec"][0] for r in cluster.kmeans(two, 2, single=single)[1].collect()} == {0: 0.5, 1: pytest.approx(29 / 3)}
+
+
+def test_nearest_rows_in_pieces():
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(300, 7)), rng.normal(size=(40, 7))
+    for metric in ("l1", "l2"):
+        whole, pieces = cluster.nearest_rows(x, c, metric), cluster.nearest_rows(x, c, metric, cells=1)
+        assert np.array_equal(whole[0], pieces[0]) and np.array_equal(whole[1], pieces[1])
+
+
+def test_xmeans_rounds():
+    x = np.concatenate([np.random.default_rng(k).normal(size=(40, 2)) * 0.1 + np.array([9 * (k % 2) + 90 * (k // 2), 0]) for k in range(4)])
+    assert len(cluster.xmeans(x)[1]) == 4 and len(cluster.xmeans(x, splits=1)[1]) == 2 and len(cluster.xmeans(x, most=3)[1]) == 3
+    ball = np.random.default_rng(9).normal(size=(60, 2))
+    assert len(cluster.xmeans(ball)[1]) == 1 < len(cluster.xmeans(ball, cutoff=1.0, splits=1)[1])
+
+
+def test_presets(spark):
+    rng = np.random.default_rng(2)
+    images = [("v", k, 6, 6, rng.integers(0, 256, 108, np.uint8).tobytes()) for k in range(4)] + [("v", 4, 6, 6, bytes(108))]
+    df = spark.createDataFrame(images, "video_id string, frame_id int, height int, width int, data binary")
+    for name, p in pipelines.PRESETS.items():
+        f = pipelines.image_frames(df, name)
+        for r in f.collect():
+            h = np.array(r[p.filter_column])
+            assert len(h) == p.bins and len(r["hist"]) == 16 and sum(r["hist"]) == 36
+        value = {"std": lambda h: h.std(), "fixed_mean": lambda h: np.sqrt(((h - 1 / 16) ** 2).sum() / 16), "root_squares": lambda h: np.sqrt((h * h).sum())}[p.spread]
+        want = sorted(r["frame_id"] for r in f.collect() if value(np.array(r[p.filter_column])) <= p.max_std)
+        got = sorted(r["frame_id"] for r in histogram.meaningful(f, p.max_std, p.spread, p.filter_column).collect())
+        assert got == want and 4 not in got, name
+        assert {r["frame_id"] for r in pipelines.histogram_summary(f, name).collect()} <= set(want)
+    frames = spark.range(100).select(F.col("id"))
+    assert pipelines.PRESETS["gpu"].sampled(frames, F.col("id"), 10.0).count() == 4 and pipelines.PRESETS["cpu"].sampled(frames, F.col("id"), 10.0).count() == 10
+
+
 def test_scratch(spark):
     mine = f"{scratch.checkpoint_root(spark)}/others.parquet"
     spark.range(3).write.parquet(mine)

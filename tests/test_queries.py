@@ -6,14 +6,13 @@ import duckdb
 import numpy as np
 import pytest
 
+from framelode.operators import cluster
 from framelode.plans import catalog
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-# The smallest events table, two events an hour, has no dissolves, and no shots either by the oracle of ``shots``.
-MAY_BE_EMPTY = ("dissolves", "shot_summary")
-LONG = ("histogram_summary_cpu", "histogram_summary_gpu", "histogram_summary_gpu_fused")
+LARGER = DATA.replace("sf0.001", "sf0.01")  # the smallest events table has no shots
 
 
 @pytest.fixture(scope="module")
@@ -33,12 +32,9 @@ def tidy(df):
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in LONG])
+@pytest.mark.parametrize("name", list(catalog.ORACLES))
 def test_query(spark, db, name):
     got = tidy(catalog.QUERIES[name](spark, DATA).toPandas())
-    if name not in catalog.ORACLES:
-        assert len(got) or name in MAY_BE_EMPTY
-        return
     want = tidy(db.execute(catalog.ORACLES[name]).df())
     assert list(got.columns) == list(want.columns) and len(got) == len(want)
     for c in got.columns:
@@ -46,3 +42,27 @@ def test_query(spark, db, name):
             assert got[c].tolist() == want[c].tolist()
         else:
             assert np.allclose(got[c].astype(float), want[c].astype(float), atol=2e-6, equal_nan=True), c
+
+
+def test_queries_without_oracle():
+    assert {*catalog.QUERIES} - {*catalog.ORACLES} == {"xmeans", "shot_summary"}
+
+
+def test_xmeans_groups(spark):
+    rows = catalog.QUERIES["xmeans"](spark, DATA).collect()
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
+    for label in {r["label"] for r in vectors}:
+        own = {r["vec_id"]: np.array(r["embedding"], float) for r in vectors if r["label"] == label}
+        found = [r for r in rows if r["video_id"] == label]
+        assert sum(r["n"] for r in found) == len(own) and all(r["frame_id"] in own for r in found) and 1 <= len(found) <= 10
+        label_of, centres = cluster.xmeans(np.array([own[k] for k in sorted(own)]), 1, 10, 300)
+        one = ((np.array(list(own.values())) - np.mean(list(own.values()), 0)) ** 2).sum()
+        many = sum(((np.array([own[k] for k in sorted(own)])[label_of == j] - c) ** 2).sum() for j, c in enumerate(centres))
+        assert many <= one + 1e-9 and sorted(r["n"] for r in found) == sorted(np.bincount(label_of)[np.bincount(label_of) > 0])
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no larger tables")
+def test_shot_summary(spark):
+    frames = {r["frame_id"] for r in catalog.QUERIES["shot_frames"](spark, LARGER).collect()}
+    found = [r["frame_id"] for r in catalog.QUERIES["shot_summary"](spark, LARGER).collect()]
+    assert found and len(found) == len(set(found)) and set(found) <= frames

@@ -31,6 +31,15 @@ def test_videos_and_decode(spark, tmp_path):
     decoder = lambda path: ((i, 1, 1, bytes([i, i, i])) for i in range(10))
     got = frames.decode(videos, decoder, every=3, ranges=2)
     assert sorted((r["video_id"][0], r["frame_id"], r["data"][0]) for r in got.collect()) == [(v, k + 1, 3 * k) for v in "ab" for k in range(4)]
+    calls = spark.sparkContext.accumulator(0)
+
+    def seeking(path, part, parts):
+        for i in range(10 * part // parts, 10 * (part + 1) // parts):
+            calls.add(1)
+            yield i, 1, 1, bytes([i, i, i])
+
+    sought = frames.decode(videos, seeking, every=3, ranges=4, seeks=True, batch=2).collect()
+    assert sorted(map(tuple, sought)) == sorted(map(tuple, got.collect())) and calls.value == 20  # each frame is decoded once
     assert [r["frame_id"] for r in frames.sampled(spark.range(10), F.col("id"), 4.9).orderBy("id").collect()] == [1, 2, 3]
     frames.discard(got)
 
