@@ -255,7 +255,8 @@ def store_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """``id_col`` and one row for each packet: track, timestamp_ns, key, offset, size, cluster. A null file has none."""
+    """``id_col`` and one row for each packet: track, timestamp_ns, key, offset, size, cluster. A null file has none, and a
+    damaged one raises, as its bytes can't be told apart from others: filter such files first."""
     narrow = df.select(df[id_col], df[media_col])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +276,9 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Store each text, read the samples back through the demuxer, and describe what was read.
 
     ``id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``.
-    One narrow pass; a task holds one text's file at a time. Equal texts give equal values.
+    One narrow pass; a task holds one text's file at a time. Equal texts give equal values. Null texts are empty ones; ids
+    may be null or repeated, a row each; an empty table gives an empty table; other columns are not read, and an id column
+    named like a result stands beside it.
     """
     narrow = df.select(df[id_col], df[text_col])
 

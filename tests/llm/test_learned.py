@@ -117,6 +117,9 @@ def test_readings():
     for t in ("the", "table", "", "!!!", "12345", "x" * 5000):
         assert scorer[t] == 0.0, t
     assert scorer.hits("so i d i o t and m o r o n")[1] == pytest.approx(np.log(3))
+    for t in ("you are a s t u p i d one", "I l o s e r", "y o u m o r o n, there", "a b c i d i o t"):
+        assert scorer.hits(t)[1] == pytest.approx(np.log(2)), t
+    assert scorer.hits("a " * 300_000)[1] == 0
     assert scorer.score(None) == scorer.score("") == scorer.score("hello there") < 0.1 < scorer.score("1d10t tr@sh")
 
 

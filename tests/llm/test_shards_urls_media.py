@@ -138,6 +138,8 @@ def test_judge(spark, model):
         assert (r["host"], r["path"], r["rule"]) == (h, p, rule), u
         assert abs(r["score"] - score) < 1e-6 and r["verdict"] == (verdict or ("block" if score >= 0.5 else "allow")), u
     assert urls.judge(df.limit(0), model=model).count() == 0
+    long = urls.judge(spark.createDataFrame([(1, "http://a.org/" + "x" * 30_000), (1, "http://" + "b" * 30_000)], "page_id long, url string"), model=model).collect()
+    assert sorted(len(r["host"] + r["path"]) for r in long) == [30_000, 30_006] and all(0 <= r["score"] <= 1 for r in long)
     verdicts = {r["page_id"]: r["verdict"] for r in rows}
     assert all(verdicts[13 + k] == ("block" if bad else "allow") for k, (_, bad) in enumerate(KNOWN))
     plan = urls.judge(df, model=model)._jdf.queryExecution().executedPlan().toString()
@@ -185,3 +187,5 @@ def test_media_query(make):
     table = matroska.packet_table(stored, "doc_id", "media")
     assert {r["doc_id"]: r["count"] for r in table.groupBy("doc_id").count().collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 139}
     assert matroska.digest(df.limit(0)).count() == 0
+    none = matroska.digest(make([(None, "abc"), (None, None), (2, "abc"), (2, "abc")])).collect()
+    assert len(none) == 4 and len({r["media_sha256"] for r in none}) == 2
