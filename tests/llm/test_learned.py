@@ -69,6 +69,70 @@ def test_mixed_rows(sources):
         assert repeats.get((r["doc_id"], r["size"]), 0) * r["size"] == r["t"]
 
 
+def test_mix_against_plain_tree(spark, sources):
+    """Every row's words, by a plain walk down each leaf and up the tree, with fractions of words instead of arrays."""
+    leaf_rows = 16
+    text = F.col("text")
+    keyed = sources.select(F.col("doc_id"), F.col("source"), mixing.words(text).alias("w"), F.xxhash64("doc_id", "text").alias("k"))
+    counted = keyed.groupBy("doc_id", "source", "w", "k").agg(F.count("*").alias("n")).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = counted.withColumn("k", F.xxhash64("k", "c")).withColumn("h", F.xxhash64("k")).withColumn("g", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["w"]
+    want = plain_targets(sizes)
+
+    def settle(things, salt):
+        """Rounds ``[words, fraction]`` in pairs; the one left keeps its fraction."""
+        held = None
+        for i, thing in enumerate(things):
+            if not 1e-9 < thing[1] < 1 - 1e-9:
+                thing[1] = float(round(thing[1]))
+            elif not thing[0]:
+                thing[1] = float(mixing.chance(*salt, i, 1) < thing[1])
+            elif held is None:
+                held = i
+            else:
+                a, b = things[held], thing
+                gain, loss = min((1 - a[1]) * a[0], b[1] * b[0]), min(a[1] * a[0], (1 - b[1]) * b[0])
+                step = gain if mixing.chance(*salt, i, 0) < loss / (gain + loss) else -loss
+                a[1], b[1] = a[1] + step / a[0], b[1] - step / b[0]
+                still = [k for k in (held, i) if 1e-9 < things[k][1] < 1 - 1e-9]
+                for k in {held, i} - {*still}:
+                    things[k][1] = float(things[k][1] > 0.5)
+                held = still[0] if still else None
+        return held
+
+    out = []
+    for source in sizes:
+        own = [r for r in rows if r["source"] == source]
+        copies = want[source] / sizes[source] if sizes[source] else 0.0
+        whole, leaves = int(copies + 1e-9), {}
+        for r in own:
+            leaves.setdefault(r["h"] % -(-len(own) // leaf_rows), []).append(r)
+        level, parts = {}, {}
+        for leaf, held_rows in leaves.items():
+            held_rows.sort(key=lambda r: (r["k"], r["w"]))
+            parts[leaf] = [[r["w"], max(0.0, copies - whole)] for r in held_rows]
+            held = settle(parts[leaf], (own[0]["g"], leaf, 0))
+            if held is not None:
+                level[leaf] = parts[leaf][held]
+        depth, top = 0, max((leaf for s in sizes for leaf in [-(-sum(r["source"] == s for r in rows) // leaf_rows) - 1]), default=0)
+        while level:
+            depth, top = depth + 1, top // mixing.FAN
+            left = {}
+            for node in {leaf // mixing.FAN**depth for leaf in level}:
+                members = sorted(leaf for leaf in level if leaf // mixing.FAN**depth == node)
+                held = settle([level[leaf] for leaf in members], (own[0]["g"], node, depth))
+                if held is not None:
+                    left[members[held]] = level[members[held]]
+                    if not top:
+                        level[members[held]][1] = float(mixing.chance(own[0]["g"], node, depth, -1) < level[members[held]][1])
+            level = {} if not top else left
+        out += [(r["doc_id"], r["w"], sizes[source], r["w"] * (whole + round(x[1]))) for leaf, held_rows in leaves.items() for r, x in zip(held_rows, parts[leaf], strict=True)]
+    got = [(r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in mixing.mix(sources, leaf=leaf_rows).collect()]
+    assert sorted(got, key=str) == sorted(out, key=str)
+
+
 def test_many_copies_of_a_row(spark):
     """Copies of one row are spread over leaves, come back whole, and share the source's words."""
     df = spark.createDataFrame([(7, "a b c", "en", "x", 5)] * 900 + [(k, "d " * (k % 5), "en", "y", 5) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -180,6 +244,26 @@ def test_held_out_accuracy(spark, toxic_docs):
     assert sum(r["predicted"] == r["toxic"] for r in out) >= 0.98 * len(out)
 
 
+def test_scores_against_plain_lookup(spark, toxic_docs):
+    """Scores without the shortcut over heads and without a cache: every token's readings, every feature of theirs."""
+    docs, labels = toxic_docs
+    model = toxicity.fit(docs, labels)
+    rng = random.Random(12)
+    pieces = ["1diot", "m0ron", "l o s e r", "moooron", "id!ot", "idiots", "table", "I", "a", "l", "o", "s", "x1", "lo$er", "RIVER,", "--", "é", "midiot", "ido", "mor0n."]
+    for _ in range(300):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))
+        tokens = text.lower().split()
+        weights = {}
+        for t in [*tokens, *toxicity.spaced(tokens)]:
+            readings = [toxicity.edges_off(t)] if toxicity.plain(toxicity.edges_off(t)) and not any(c in toxicity.LEET for c in t) else [toxicity.edges_off(t) if toxicity.edges_off(t).isalpha() else "", toxicity.decode(t, model.costs)]
+            weights[t] = max((model.lexicon.get(f, 0.0) for r in readings if r for f in (r + "|", *(r[:k] for k in range(4, 10) if k <= len(r)))), default=0.0)
+        hits = [(weights[t], t) for t in [*tokens, *toxicity.spaced(tokens)] if weights[t]]
+        n = len(hits)
+        x = [1.0, np.log1p(n), np.log1p(len({t for _, t in hits})), np.log1p(sum(w for w, _ in hits)), n >= 2, n >= 3, np.log1p(n) * np.log1p(len(tokens)) / 6]
+        z = sum(a * b for a, b in zip(x, model.weights, strict=True))
+        assert model.scorer().score(text) == pytest.approx(1 / (1 + np.exp(-max(-30, min(30, z))))), text
+
+
 def test_toxicity_edges(spark, toxic_docs):
     docs, labels = toxic_docs
     model = toxicity.fit(docs, labels.unionByName(labels.limit(3)).unionByName(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int")))
