@@ -182,7 +182,11 @@ def part_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("pixel"), *(F.expr(e).cast("int").alias(c) for c, e in RGB.items()))
 
 
-@query(f"WITH {PIXEL}, m AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM p), t AS (SELECT *, CASE WHEN hi = lo THEN 0.0 WHEN hi = r THEN (g - b) * 60.0 / (hi - lo) WHEN hi = g THEN 120 + (b - r) * 60.0 / (hi - lo) ELSE 240 + (r - g) * 60.0 / (hi - lo) END AS turn FROM m) SELECT pixel, CAST(round((CASE WHEN turn < 0 THEN turn + 360 ELSE turn END) / 2) % 180 AS INT) AS h, CAST(CASE WHEN hi > 0 THEN round((hi - lo) * 255.0 / hi) ELSE 0 END AS INT) AS s, hi AS v FROM t")
+HSV = """m AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM p), t AS (SELECT *, CASE WHEN hi = lo THEN 0.0 WHEN hi = r THEN (g - b) * 60.0 / (hi - lo) WHEN hi = g THEN 120 + (b - r) * 60.0 / (hi - lo) ELSE 240 + (r - g) * 60.0 / (hi - lo) END AS turn FROM m),
+hsv AS (SELECT pixel, CAST(round((CASE WHEN turn < 0 THEN turn + 360 ELSE turn END) / 2) % 180 AS INT) AS h, CAST(CASE WHEN hi > 0 THEN round((hi - lo) * 255.0 / hi) ELSE 0 END AS INT) AS s, hi AS v FROM t)"""
+
+
+@query(f"WITH {PIXEL}, {HSV} SELECT * FROM hsv")
 def hsv_pixels(spark, sf_dir):
     return part_pixels(spark, sf_dir).select("pixel", color.hsv(F.col("r"), F.col("g"), F.col("b")).alias("x")).select("pixel", "x.h", "x.s", "x.v")
 
@@ -207,6 +211,28 @@ def sampled_frames(spark, sf_dir):
     return source.sampled(e, F.col("event_id"), 25.9).select("video_id", "frame_id", "event_id")
 
 
+@query(f"WITH {PIXEL}, {HSV}, f AS (SELECT p_size AS frame_id, h // 16 AS bin, count(*) AS c FROM hsv JOIN part ON p_partkey = pixel GROUP BY ALL) SELECT d.frame_id, CAST(b.bin AS INT) AS bin, coalesce(c, 0) AS cnt FROM (SELECT DISTINCT p_size AS frame_id FROM part) d CROSS JOIN (SELECT unnest(range(16)) AS bin) b LEFT JOIN f ON f.frame_id = d.frame_id AND f.bin = b.bin")
+def hue_histogram(spark, sf_dir):
+    """Parts are pixels, a size is a frame: 180 hue counts, 16 bins of width 16."""
+    size = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("frame_id"))
+    pixels = part_pixels(spark, sf_dir).join(size, F.col("pixel") == F.col("key")).withColumn("h", color.hsv(F.col("r"), F.col("g"), F.col("b"))["h"])
+    hues = histogram.from_long(pixels, F.col("h"), 180, 1, ("frame_id",))
+    return hues.select("frame_id", F.posexplode(histogram.hue_histogram(F.col("hist"))).alias("bin", "c")).select("frame_id", "bin", F.col("c").cast("long").alias("cnt"))
+
+
+@query("SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame_id, CAST(least(255, floor(value)) AS INT) AS bin, count(*) AS cnt FROM events GROUP BY ALL")
+def hist256(spark, sf_dir):
+    """The bins that occur of 256."""
+    wide = histogram.from_long(proxies.event_pixels(spark, sf_dir), F.col("gray"), 256, 1)
+    return wide.select("frame_id", F.posexplode("hist").alias("bin", "c")).filter("c > 0").select("frame_id", "bin", F.col("c").cast("long").alias("cnt"))
+
+
+@query(f"WITH {EMB} SELECT frame_id, printf('frame-%06d.jpg', frame_id) AS name, printf('%.6f %.6f %.6f ', v[1], v[2], v[3]) AS line FROM emb")
+def text_formats(spark, sf_dir):
+    e = proxies.embeddings(spark, sf_dir)
+    return e.select("frame_id", names.frame_name(F.col("frame_id")).alias("name"), names.feature_text(vec.head("hist", 3)).alias("line"))
+
+
 # Distances ----------------------------------------------------------------------------------------
 
 
@@ -308,12 +334,28 @@ def lbg_split4(spark, sf_dir):
     return spark.createDataFrame([(k, int(n[k]), float(w[0])) for k, w in enumerate(words)], "word long, n_points long, first double").withColumn("first", r6("first"))
 
 
+@query(f"WITH {', '.join(LBG)} SELECT CAST(cluster_id AS BIGINT) AS word, n AS n_points, round(v[2], 6) AS second FROM l4 WHERE cluster_id < 3")
+def lbg_truncated3(spark, sf_dir):
+    """Four words are made, three are kept."""
+    words, n = cluster.lbg(proxies.embeddings(spark, sf_dir), "hist", 3, passes=2)
+    return spark.createDataFrame([(k, int(n[k]), float(w[1])) for k, w in enumerate(words)], "word long, n_points long, second double").withColumn("second", r6("second"))
+
+
 @query(f"WITH {EMB}, book AS (SELECT row_number() OVER (ORDER BY frame_id) - 1 AS word, v FROM emb QUALIFY word < 16), n AS (SELECT e.video_id, b.word, row_number() OVER (PARTITION BY e.frame_id ORDER BY list_distance(e.v, b.v), b.word) AS rn FROM emb e CROSS JOIN book b) SELECT video_id, CAST(word AS INT) AS word, count(*) AS cnt FROM n WHERE rn = 1 GROUP BY ALL")
 def word_histogram(spark, sf_dir):
+    return words_by(spark, sf_dir, ("video_id",))
+
+
+def words_by(spark: SparkSession, sf_dir: str, keys: tuple[str, ...]) -> DataFrame:
     e = proxies.embeddings(spark, sf_dir)
     first = e.orderBy("frame_id").limit(16).collect()  # the codebook: 16 fixed rows
     book = spark.createDataFrame([(k, r["hist"]) for k, r in enumerate(first)], "cluster_id int, vec array<double>")
-    return bovw.word_histogram(e.withColumnRenamed("hist", "vec"), book, keys=("video_id",))
+    return bovw.word_histogram(e.withColumnRenamed("hist", "vec"), book, keys=keys)
+
+
+@query(f"WITH {EMB}, book AS (SELECT row_number() OVER (ORDER BY frame_id) - 1 AS word, v FROM emb QUALIFY word < 16), n AS (SELECT e.video_id, e.frame_id, b.word, row_number() OVER (PARTITION BY e.frame_id ORDER BY list_distance(e.v, b.v), b.word) AS rn FROM emb e CROSS JOIN book b) SELECT video_id, frame_id, CAST(word AS INT) AS word, count(*) AS cnt FROM n WHERE rn = 1 GROUP BY ALL")
+def word_histogram_frames(spark, sf_dir):
+    return words_by(spark, sf_dir, ("video_id", "frame_id"))
 
 
 @query()
@@ -404,6 +446,13 @@ def pair_filter(spark, sf_dir):
     return summary.pair_filter(d, "hist_norm", "hist", None, correlation=0.95).select("video_id", "frame_id")
 
 
+@query(f"WITH {EMB}, p AS (SELECT *, lead(v) OVER {W} AS n FROM emb), t AS (SELECT video_id, frame_id, unnest(range(1, 65)) AS i, unnest(v) AS x, unnest(n) AS y FROM p WHERE n IS NOT NULL), c AS (SELECT video_id, frame_id, sum(abs(x - y)) FILTER (WHERE i <= 16) AS d, corr(x, y) FILTER (WHERE i BETWEEN 17 AND 40) AS a, corr(x, y) FILTER (WHERE i > 40) AS b FROM t GROUP BY ALL) SELECT video_id, frame_id FROM emb EXCEPT ALL SELECT video_id, frame_id FROM c WHERE d < 2.5 AND a > 0.02 AND b > 0.02")
+def pair_filter_pixels(spark, sf_dir):
+    """Parts of each vector as hues, colours and pixels."""
+    e = proxies.embeddings(spark, sf_dir).select("video_id", "frame_id", F.slice("hist", 1, 16).alias("hue_norm"), F.slice("hist", 17, 24).alias("rgb"), F.slice("hist", 41, 24).alias("pixels"))
+    return summary.pair_filter(e, hue_limit=2.5, correlation=0.02).select("video_id", "frame_id")
+
+
 @query("WITH ev AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS frame_id, CAST(least(255, floor(value)) AS INT) AS gray FROM events) SELECT frame_id, round(var_pop(gray) + 1e-9::DOUBLE, 6) AS gray_var FROM ev GROUP BY ALL HAVING var_pop(gray) > 700")
 def low_variance_filter(spark, sf_dir):
     s = histogram.gray_statistics(proxies.event_pixels(spark, sf_dir), F.col("gray"))
