@@ -34,7 +34,7 @@ GOOD_WORDS = (
 DOMAINS = ("example.com", "example.org", "example.net")
 PREFIXES = ("", "www.", "m.", "blog.")
 PATHS = ("/en/12", "/fr/345.html", "/de/67/", "/es/890", "/article/3/page", "/")
-TRAINED: dict[tuple, str] = {}  # models of this process's sessions
+TRAINED: dict[str, str] = {}  # models of this process's sessions
 
 
 def labelled(spark: SparkSession, bad: tuple[str, ...] = BAD_WORDS, good: tuple[str, ...] = GOOD_WORDS) -> DataFrame:
