@@ -84,13 +84,22 @@ def vectors(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def distance_table(x: np.ndarray, c: np.ndarray, metric: str = "l2") -> np.ndarray:
+    """Distances of each row of x from each row of c, summed entry by entry as ``vec.DISTANCES`` and SQL do: numpy's own sums take
+    another order, and differ in the last bit, on which ties and limits can turn."""
+    out = np.zeros((len(x), len(c)))
+    for a, b in zip(np.ascontiguousarray(x.T), c.T, strict=True):
+        d = a[:, None] - b[None, :]
+        out += np.abs(d) if metric == "l1" else d * d
+    return out if metric == "l1" else np.sqrt(out)
+
+
 def nearest_rows(x: np.ndarray, c: np.ndarray, metric: str = "l2", cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """The nearest row of c for each row of x (first one on ties) and its distance; ``cells`` differences at once, or one row's."""
     label, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
     chunk = max(1, min(1024, cells // max(1, c.size)))
     for s in range(0, len(x), chunk):
-        d = np.abs(x[s : s + chunk, None, :] - c[None, :, :])
-        d = d.sum(-1) if metric == "l1" else np.sqrt((d * d).sum(-1))
+        d = distance_table(x[s : s + chunk], c, metric)
         label[s : s + chunk] = d.argmin(1)
         dist[s : s + chunk] = d.min(1)
     return label, dist
@@ -412,9 +421,7 @@ def greedy_unique(x: np.ndarray, limit: float, metric: str = "l2") -> np.ndarray
     alive = np.ones(len(x), bool)
     for i in range(len(x)):
         if alive[i]:
-            d = np.abs(x[i + 1 :] - x[i])
-            d = d.sum(1) if metric == "l1" else np.sqrt((d * d).sum(1))
-            alive[i + 1 :] &= d >= limit
+            alive[i + 1 :] &= distance_table(x[i + 1 :], x[i : i + 1], metric)[:, 0] >= limit
     return np.flatnonzero(alive)
 
 

@@ -274,6 +274,18 @@ def test_nearest_rows_in_pieces():
         assert np.array_equal(whole[0], pieces[0]) and np.array_equal(whole[1], pieces[1])
 
 
+def test_distances_are_summed_in_order():
+    rng = np.random.default_rng(6)
+    x, c = rng.random((40, 19)), rng.random((5, 19))
+    for metric in ("l1", "l2"):
+        for p, row in zip(x, cluster.distance_table(x, c, metric), strict=True):
+            for q, got in zip(c, row, strict=True):
+                want = 0.0
+                for u, v in zip(p, q, strict=True):
+                    want += abs(u - v) if metric == "l1" else (u - v) * (u - v)
+                assert got == (want if metric == "l1" else np.sqrt(want))
+
+
 def test_xmeans_rounds():
     x = np.concatenate([np.random.default_rng(k).normal(size=(40, 2)) * 0.1 + np.array([9 * (k % 2) + 90 * (k // 2), 0]) for k in range(4)])
     assert len(cluster.xmeans(x)[1]) == 4 and len(cluster.xmeans(x, splits=1)[1]) == 2 and len(cluster.xmeans(x, most=3)[1]) == 3

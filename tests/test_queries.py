@@ -44,6 +44,18 @@ def test_query(spark, db, name):
             assert np.allclose(got[c].astype(float), want[c].astype(float), atol=2e-6, equal_nan=True), c
 
 
+def test_distance_at_the_limit(spark, tmp_path):
+    """Two frames 0.5 apart but for the last bit, which depends on the order of the sum."""
+    a, b = (3, 0, 1, 2, 1, 1, 1, 0, 1, 1, 1, 0, 0, 0), (3, 1, 1, 2, 1, 0, 0, 0, 2, 1, 0, 0, 1, 0)
+    texts = ["".join(chr(16 * k + 37) * n for k, n in enumerate(h)) for h in (a, b, a)]
+    spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("histogram_summary_gpu", "histogram_summary_gpu_fused"):
+        want = sorted(con.execute(catalog.ORACLES[name]).fetchall())
+        assert sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())) == want == [("s", 0)], name
+
+
 def test_queries_without_oracle():
     assert {*catalog.QUERIES} - {*catalog.ORACLES} == {"xmeans", "shot_summary"}
 
