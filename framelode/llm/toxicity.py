@@ -8,9 +8,9 @@ letters are read as one token. Plain tokens are lattices with one path and need
 Score: the restored tokens are looked up by their prefixes in a lexicon of log-odds, and a
 logistic regression on the hits gives a probability.
 
-Everything is learned from labelled rows, at most ``max_rows`` of them (the least hashes of the
-ids): a documented bound on what the classifier is fitted on. Language, source and id are no
-inputs of a score.
+Everything is learned from all labelled rows that it is given: counts of letters and features are
+summed by Spark, and so are the sums of each Newton step. Language, source and id are no inputs of
+a score.
 """
 
 from __future__ import annotations
@@ -27,11 +27,15 @@ from pyspark.sql import functions as F
 
 from framelode.scratch import written
 
-MAX_ROWS, MAX_LEXICON, MIN_SUPPORT, MIN_Z, MIN_ODDS = 20_000, 4096, 5, 4.5, 1.5
+MAX_LEXICON, MIN_SUPPORT, MIN_Z, MIN_ODDS = 1 << 16, 5, 4.5, 1.5
+FEW_LABELS = 1 << 20  # labels that may be broadcast
 THRESHOLD = 0.7
 PREFIXES = range(4, 10)
 CACHE = 200_000
+KNOWN, HELD = 1 << 16, 1 << 17  # tokens and features that a task holds while it counts
+UNIT = float(1 << 30)
 SPACED = 16
+HEAD = 6
 
 # Letters that symbols stand for.
 LEET = {
@@ -173,21 +177,23 @@ class Model:
 
 
 class Heads(dict):
-    """Whether a token that starts with these three letters can read as anything in the lexicon.
+    """Whether a token that starts with these characters, ``HEAD`` at most, can read as anything in the lexicon.
 
-    Letters stay or, after the same letter, fall away; so only the lexicon's own beginnings can lead there.
-    Heads with symbols, and short ones, always can."""
+    Of the letters that it starts with, each stays or, after the same letter, falls away; so each reading of the token begins with
+    one of these, and must begin a feature or with a prefix that is one. Heads that start with a symbol always can."""
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
-        self.starts = {f[:k] for f in lexicon for k in (1, 2, 3)}
+        self.starts = {f[:k] for f in lexicon for k in range(1, HEAD + 1)}
+        self.whole = {f for f in lexicon if len(f) <= HEAD}
 
     def __missing__(self, head: str) -> bool:
-        if len(head) < 3 or not head.isalpha():
-            can = True
-        else:
-            once = "".join(c for i, c in enumerate(head) if not i or head[i - 1] != c)
-            can = head in self.starts or len(once) < 3 and any(x.startswith(once) for x in self.starts)
+        begun = {""}
+        for i, c in enumerate(head):
+            if not c.isalpha():
+                break
+            begun = {x + c for x in begun} | (begun if i and head[i - 1] == c else set())
+        can = any(x in self.starts or any(x[:k] in self.whole for k in PREFIXES if k <= len(x)) or not x for x in begun)
         if len(self) >= CACHE:
             self.clear()
         self[head] = can
@@ -211,7 +217,7 @@ class Scorer(dict):
     def hits(self, text: str | None) -> list[float]:
         """Numbers that describe a text's hits: the inputs of the regression."""
         tokens, heads = (text or "").lower().split(), self.heads
-        found = [(w, t) for t in tokens if heads[t[:3]] and (w := self[t])] + [(w, t) for t in spaced(tokens) if (w := self[t])]
+        found = [(w, t) for t in tokens if heads[t[:HEAD]] and (w := self[t])] + [(w, t) for t in spaced(tokens) if (w := self[t])]
         n = len(found)
         return [1.0, log1p(n), log1p(len({t for _, t in found})), log1p(sum(w for w, _ in found)), float(n >= 2), float(n >= 3), log1p(n) * log1p(len(tokens)) / 6]
 
@@ -220,19 +226,35 @@ class Scorer(dict):
         return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
-def regression(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps, with L2 on all weights but the bias. No rows: certain of label 0."""
-    w = np.zeros(x.shape[1])
-    if not len(x) or not y.any():
-        w[0] = -5.0
-        return w
-    ridge = np.full(x.shape[1], decay)
+def newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What rows add to a Newton step: the log-likelihood's gradient and, row by row, its curvature. In whole numbers of 1 / ``UNIT``,
+    so that a sum does not depend on how the rows are dealt."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    terms = x[:, :, None] * (x * (p * (1 - p))[:, None])[:, None, :]
+    return np.rint(np.concatenate([x * (y - p)[:, None], terms.reshape(len(x), -1)], axis=1) * UNIT).astype(np.int64).sum(0)
+
+
+def regression(hits: DataFrame, size: int, decay: float = 1.0) -> np.ndarray:
+    """Logistic regression on a stored table ``y, x`` by Newton steps, a job each, with L2 on all weights but the bias."""
+
+    def summing(w: np.ndarray):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size + size * size, np.int64)
+            for b in batches:
+                for s in range(0, b.num_rows, 4096):
+                    part = b.slice(s, 4096)
+                    total += newton_sums(part.column(1).flatten().to_numpy().reshape(-1, size), part.column(0).to_numpy(), w)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["sums"])
+
+        return scan
+
+    w, ridge = np.zeros(size), np.full(size, decay)
     ridge[0] = 1e-3
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
+        sums = [sum(column) / UNIT for column in zip(*(r["sums"] for r in hits.mapInArrow(summing(w), "sums array<long>").collect()), strict=True)]
+        step = np.linalg.solve(np.reshape(sums[size:], (size, size)) + np.diag(ridge), np.array(sums[:size]) - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-7:
             break
     return w
 
@@ -267,22 +289,38 @@ def letter_counts(texts: list, labels: list) -> tuple:
 
 
 def feature_counts(costs: np.ndarray):
-    def count(texts: list, labels: list) -> tuple:
+    """A mapInArrow function from ``text, y`` to ``f, a, b``: in how many texts of label 1 and 0 a feature is. Partial counts of a task,
+    given out when it holds ``HELD`` features."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_label = (Counter(), Counter())
         known: dict[str, list[str]] = {}
-        for text, label in zip(texts, labels, strict=True):
-            tokens = (text or "").split()
-            seen: set[str] = set()
-            for t in {*tokens, *spaced(tokens)}:
-                if t not in known:
-                    core = edges_off(t.lower())
-                    known[t] = [f for form in ((core,) if core.isalpha() else forms(t, costs)) for f in features(form)]
-                seen.update(known[t])
-            by_label[label].update(seen)
-        keys = list(by_label[0] | by_label[1])
-        return keys, [by_label[1][k] for k in keys], [by_label[0][k] for k in keys]
 
-    return count
+        def given_out() -> pa.RecordBatch:
+            keys = list(by_label[0].keys() | by_label[1].keys())
+            counts = [pa.array([by_label[k][f] for f in keys], pa.int64()) for k in (1, 0)]
+            by_label[0].clear(), by_label[1].clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *counts], ["f", "a", "b"])
+
+        for b in batches:
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    tokens = (text or "").split()
+                    seen: set[str] = set()
+                    for t in {*tokens, *spaced(tokens)}:
+                        if t not in known:
+                            if len(known) >= KNOWN:
+                                known.clear()
+                            core = edges_off(t.lower())
+                            known[t] = [f for form in ((core,) if core.isalpha() else forms(t, costs)) for f in features(form)]
+                        seen.update(known[t])
+                    by_label[label].update(seen)
+                    if len(by_label[0]) + len(by_label[1]) >= HELD:
+                        yield given_out()
+        yield given_out()
+
+    return scan
 
 
 def specific(found: dict[str, tuple[float, int]]) -> dict[str, float]:
@@ -296,17 +334,15 @@ def specific(found: dict[str, tuple[float, int]]) -> dict[str, float]:
     return {f: w for f, (w, _) in found.items() if len(f) >= 0.85 * longest.get(f, 0)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """Learn from the rows of ``labels`` (id, 0/1) that ``docs`` has; null labels and ids are left out, a repeated id
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", few: int = FEW_LABELS) -> Model:
+    """Learn from all rows of ``labels`` (id, 0/1) that ``docs`` has; null labels and ids are left out, a repeated id
     counts once, with its greater label and the least of its texts. Sizes on the driver are bounded: ``SIZE ** 3`` letter counts,
-    ``MAX_LEXICON`` features, seven numbers for each of ``max_rows`` rows."""
+    ``MAX_LEXICON`` features, 56 sums a task. Up to ``few`` labels are broadcast, more are joined by a shuffle of the texts."""
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id")
+    chosen = written(chosen, "toxicity-labels")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen) if chosen.count() <= few else chosen, "id")
     rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
     rows = written(rows, "toxicity-rows")
-    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    rows = rows.repartition(2 * parts, F.xxhash64("text"))
 
     found = rows.mapInArrow(by_batch(letter_counts, pa.schema([("k", pa.int32()), ("n", pa.int64())])), "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
     counts = np.zeros(SIZE**3)
@@ -314,22 +350,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         counts[r["k"]] = r["n"]
     costs = trigram_costs(counts)
 
-    n1, n0 = (rows.filter(f"y = {k}").count() for k in (1, 0))
-    table = rows.mapInArrow(by_batch(feature_counts(costs), pa.schema([("f", pa.string()), ("a", pa.int64()), ("b", pa.int64())])), "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    by_label = dict(rows.groupBy("y").count().collect())
+    n1, n0 = by_label.get(1, 0), by_label.get(0, 0)
+    table = rows.mapInArrow(feature_counts(costs), "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n0 - F.col("b") + 0.5))
     spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     kept = table.filter(F.col("a") >= MIN_SUPPORT).select("f", "a", odds.alias("w"), (odds / spread).alias("z")).filter((F.col("z") >= MIN_Z) & (F.col("w") >= MIN_ODDS))
     lexicon = specific({r["f"]: (r["w"], r["a"]) for r in kept.orderBy(F.desc("z"), "f").limit(MAX_LEXICON).collect()})
 
-    model = Model(costs, lexicon, np.zeros(7))
+    model = Model(costs, lexicon, np.array([-5.0, 0, 0, 0, 0, 0, 0]))
+    if not n1:  # certain of label 0
+        return model
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([scorer.hits(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = sorted((list(r["x"]), r["y"]) for r in rows.mapInArrow(described, "y int, x array<double>").collect())
-    model.weights = regression(np.array([x for x, _ in rows]).reshape(len(rows), 7), np.array([y for _, y in rows], float))
+    model.weights = regression(written(rows.mapInArrow(described, "y int, x array<double>"), "toxicity-hits"), len(model.weights))
     return model
 
 

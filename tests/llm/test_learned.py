@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelode.llm import decontamination, lm_scoring, mixing, sharding, toxicity
@@ -275,6 +276,21 @@ def test_toxicity_edges(spark, toxic_docs):
     assert {r["predicted"] for r in toxicity.score(docs, nothing).collect()} == {0}
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """A word that only rows with the greatest hashes of ids have, past the 20,000 least."""
+    rows = spark.range(24_000).withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64("id"))))
+    rows = rows.withColumn("toxic", (F.col("place") > 23_900).cast("int")).withColumn("text", F.when(F.col("toxic") == 1, "you old blackguard").otherwise("a river of stone"))
+    docs, labels = rows.select(F.col("id").alias("doc_id"), "text").cache(), rows.select(F.col("id").alias("doc_id"), "toxic").cache()
+    model = toxicity.fit(docs, labels)
+    assert "blackguard|" in model.lexicon and model.scorer().score("a blackguard") > 0.1 > 0.001 > model.scorer().score("a river")
+    x = np.array([model.scorer().hits(r["text"]) for r in docs.orderBy("doc_id").collect()])
+    y = np.array([r["toxic"] for r in labels.orderBy("doc_id").collect()])
+    slope = x.T @ (y - 1 / (1 + np.exp(-(x @ model.weights)))) - np.r_[1e-3, np.ones(6)] * model.weights
+    assert np.abs(slope).max() < 1e-4
+    shuffled = toxicity.fit(docs.repartition(7), labels, few=0)
+    assert shuffled.lexicon == model.lexicon and np.array_equal(shuffled.weights, model.weights)
+
+
 def tokens_of(t):
     return re.findall("[a-z0-9\u0080-\U0010ffff]+", t.lower())
 
