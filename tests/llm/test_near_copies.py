@@ -66,3 +66,33 @@ def test_stage_drops_an_edited_copy(spark, make):
     words[7] = "edited"  # 51 of 61 shingles are shared
     got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, make([*texts, " ".join(words)], extra=False), "")
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(20))
+
+
+def test_links_that_only_the_gray_index_finds(spark, make):
+    """Texts and themselves without two words, at exactly 0.8, that share no band and are within 4 bits; null and empty texts are one group."""
+    texts = [
+        "w264 w128 w78 w367 w40 w123 w176 w347 w382 w203 w248 w143 w351 w92",
+        "w178 w41 w3 w189 w216 w116 w268 w188 w66 w198 w135 w128 w161 w22",
+        "w280 w209 w359 w158 w98 w208 w110 w325 w247 w272 w285 w199 w128 w3",
+    ]
+    cut = [t.rsplit(" ", 2)[0] for t in texts]
+    for a, b in zip(texts, cut, strict=True):
+        x, y = near_copies.shingles(a), near_copies.shingles(b)
+        assert not {*zip(range(24), near_copies.bands(x), strict=True)} & {*zip(range(24), near_copies.bands(y), strict=True)}
+        assert (simhash.print_of(x) ^ simhash.print_of(y)).bit_count() <= simhash.RADIUS and near_copies.connected([x, y]).tolist() == [0, 0]
+    lines = [*texts, *cut, "", None]
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, make(lines, extra=False), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2, 6] == sorted({int(k) for k in brute(lines)})
+
+
+def test_a_close_fingerprint_alone_is_no_link(make):
+    """Within the radius, yet under 0.8: the check on the whole sets holds the index's candidates too."""
+    rng = random.Random(3)
+    while True:
+        words = [f"w{rng.randrange(400)}" for _ in range(14)]
+        a, b = " ".join(words), " ".join(words[:-3])
+        x, y = near_copies.shingles(a), near_copies.shingles(b)
+        if (simhash.print_of(x) ^ simhash.print_of(y)).bit_count() <= simhash.RADIUS:
+            break
+    assert len(np.intersect1d(x, y)) * 10 == len(np.union1d(x, y)) * 7
+    assert near_copies.one_of_each(make([a, b])).count() == 2
