@@ -24,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles of five words, Jaccard of 0.8 or more): the least id, null ids
-    last; of rows that agree in every column, one. Texts without words are one group."""
+    """One document of each group of near copies (shingles of five words, Jaccard of 0.8 or more; candidates from the Gray-order
+    index over SimHash fingerprints and from MinHash bands): the least id, null ids last; of rows that agree in every column,
+    one. Texts without words are one group."""
     return near_copies.one_of_each(docs)
 
 

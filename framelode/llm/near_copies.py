@@ -1,14 +1,18 @@
 """Near copies by shingle similarity: texts whose sets of ``width``-word shingles have a Jaccard of ``similarity`` or more.
 
-Words are those of ``simhash``. Candidates come from MinHash bands, and each link is checked on the whole sets:
-
-1. Texts of equal sets are one class. A set has ``BANDS`` keys of ``ROWS`` minima each: two sets of Jaccard ``s`` share
-   none with a probability of ``(1 - s ** ROWS) ** BANDS``, which is 0.00007 at 0.8 and less above it.
-2. A bucket holds the classes of one key. Buckets of the same members are one. Each goes to one task with a text of each
-   member; one of more than ``hot`` members is dealt to chunks, anew for each band.
-3. In a bucket, sets are compared with all that are not yet connected to them, those that share most with the bucket
+Words are those of ``simhash``. Candidates come from its Gray-order index, which finds all pairs of sets whose
+fingerprints differ in ``radius`` bits or fewer, and from MinHash bands, as many pairs at 0.8 differ in more. Each
+link is checked on the whole sets:
+
+1. Texts of equal sets are one class, with a SimHash fingerprint of the set. The index joins distinct fingerprints, and
+   the components of its links are buckets: any pair that it finds is in one.
+2. A set also has ``BANDS`` keys of ``ROWS`` minima each, a bucket for each key: two sets of Jaccard ``s`` share none with
+   a probability of ``(1 - s ** ROWS) ** BANDS``, which is 0.00007 at 0.8 and less above it.
+3. Buckets of the same members are one. Each goes to one task with a text of each member; one of more than ``hot`` members
+   is dealt to chunks, anew for each band.
+4. In a bucket, sets are compared with all that are not yet connected to them, those that share most with the bucket
    first, so that a family of near copies takes few comparisons. A bucket returns a forest.
-4. Buckets in chunks whose members are not all connected after that meet again, each chunk with each.
+5. Buckets in chunks whose members are not all connected after that meet again, each chunk with each.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelode.llm import simhash
+from framelode.llm import simhash, slices
 from framelode.scratch import written
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -50,16 +54,27 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def sketches(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``key, set long, bands array<long>`` for rows ``key, text``: the hash of the set of shingles and its keys."""
+    """``key, set long, fp long, bands array<long>`` for rows ``key, text``: the hash of the set of shingles, its fingerprint
+    and its keys."""
     narrow = keyed.select("key", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t, width) for t in b.column(1).to_pylist()]
             names = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "set", "bands"])
+            prints = np.array([simhash.print_of(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names), pa.array(prints), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "set", "fp", "bands"])
+
+    return narrow.mapInArrow(scan, f"key {narrow.schema[0].dataType.simpleString()}, set long, fp long, bands array<long>")
+
 
-    return narrow.mapInArrow(scan, f"key {narrow.schema[0].dataType.simpleString()}, set long, bands array<long>")
+def indexed(classes: DataFrame, radius: int) -> DataFrame:
+    """``set, t, k``: the bucket of each set in the Gray-order index over ``classes (set, fp)``: the least fingerprint that its own
+    reaches over links of ``radius`` bits."""
+    prints = written(classes.groupBy("fp").agg(F.count("*").alias("n")), "prints")
+    roots = simhash.components(simhash.forest(prints.select("fp"), radius))
+    rooted = written(prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("k"), "n"), "rooted")
+    return written(simhash.meet(classes.select("set", "fp"), rooted, ["fp"]).select("set", F.lit(BANDS).alias("t"), "k"), "indexed")
 
 
 def connected(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -92,7 +107,7 @@ def linked(members: DataFrame, texts: DataFrame, width: int, similarity: float)
             return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[label[a]])], ["a", "b"])
 
         now, names, texts = None, [], []
-        for b in batches:  # rows of a bucket come one after another
+        for b in slices(batches):  # rows of a bucket come one after another
             for *bucket, name, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != now:
                     if len(names) > 1:
@@ -106,13 +121,13 @@ def linked(members: DataFrame, texts: DataFrame, width: int, similarity: float)
     return dealt.mapInArrow(join, "a long, b long")
 
 
-def near_copies(keyed: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+def near_copies(keyed: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, hot: int = HOT, radius: int = simhash.RADIUS) -> DataFrame:
     """``key, component`` for the least key of each set of rows ``key, text``: component is the least set that it reaches.
 
     Texts without words, and null ones, are one set, which links to no other."""
     sketched = written(sketches(keyed, width), "sketches")
-    classes = written(sketched.groupBy("set").agg(F.min("key").alias("key"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("set", F.posexplode("bands").alias("t", "k"))
+    classes = written(sketched.groupBy("set").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+    banded = classes.select("set", F.posexplode("bands").alias("t", "k")).unionByName(indexed(classes.filter(F.size("bands") > 0), radius))
     mark = F.xxhash64("set")
     buckets = banded.groupBy("t", "k").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("y")).filter("n > 1")
     buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("t", "k")).alias("at")).select("at.t", "at.k", "n", F.ceil(F.col("n") / hot).cast("int").alias("chunks"))

@@ -51,11 +51,8 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> list[int]:
     return [digest(joined[s:e], 42) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """The text's fingerprint. Fewer than ``width`` words make one shingle; no words give zero."""
-    hashes = shingle_hashes(text, width)
-    if not hashes:
-        return 0
+def print_of(hashes: list[int] | np.ndarray) -> int:
+    """The fingerprint of a text with these shingle hashes; none give zero."""
     total = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[k : k + (1 << 16)], ">u8")
@@ -63,6 +60,11 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """The text's fingerprint. Fewer than ``width`` words make one shingle; no words give zero."""
+    return print_of(shingle_hashes(text, width))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``id_col, fp long`` (the 64 bits as a signed number) for each row of ``df``."""
     narrow = df.select(df[id_col], df[text_col])

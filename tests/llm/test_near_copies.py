@@ -96,3 +96,14 @@ def test_a_close_fingerprint_alone_is_no_link(make):
             break
     assert len(np.intersect1d(x, y)) * 10 == len(np.union1d(x, y)) * 7
     assert near_copies.one_of_each(make([a, b])).count() == 2
+
+
+def test_buckets_of_the_index_meet_again_after_chunks(make):
+    """In chunks of one set each, so that links are found when chunks meet, and only there."""
+    texts = [
+        "w264 w128 w78 w367 w40 w123 w176 w347 w382 w203 w248 w143 w351 w92",
+        "w178 w41 w3 w189 w216 w116 w268 w188 w66 w198 w135 w128 w161 w22",
+        "w280 w209 w359 w158 w98 w208 w110 w325 w247 w272 w285 w199 w128 w3",
+    ]
+    lines = [*texts, *(t.rsplit(" ", 2)[0] for t in texts)]
+    assert sorted(r["doc_id"] for r in near_copies.one_of_each(make(lines), hot=1).collect()) == [0, 1, 2]
