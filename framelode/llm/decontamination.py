@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelode.llm import slices
 from framelode.scratch import written
 
 # The masks, a 1 for each place that a seed reads, by the least number of tokens of their items.
@@ -323,7 +324,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     bench = in_memory(items, limit)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             clean = np.ones(b.num_rows, bool)
             for k, _ in matched(bench, b.column(at).to_pylist(), min_tokens, min_identity, True):
                 clean[k] = False

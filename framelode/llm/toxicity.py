@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelode.llm import slices
 from framelode.scratch import written
 
 MAX_LEXICON, MIN_SUPPORT, MIN_Z, MIN_ODDS = 1 << 16, 5, 4.5, 1.5
@@ -403,7 +404,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([scorer.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)

@@ -89,3 +89,48 @@ def test_clashing_columns_and_repeated_rows(spark, tables, tmp_path):
         assert name == "sharding" or docs.columns == columns
     assert {"doc_size", "doc_shard", "doc_slot", "size", "shard", "slot"} <= set(docs.columns)
     assert sorted(r["slot"] * 40 + r["shard"] for r in docs.collect()) == list(range(docs.count()))
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "near_duplicates", "decontamination"])
+def test_few_texts_of_a_batch_are_held_at_once(spark, make, monkeypatch, stage):
+    """A batch may hold all texts of a task: 20 MB here, of which Python takes a part at a time."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from framelode.llm import decontamination, near_copies, toxicity
+
+    df = make([], extra=False).select("doc_id", "text")
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, function, schema: function)
+    model = toxicity.Model(np.ones((toxicity.SIZE,) * 3, np.float32), {"zzzz": 1.0}, np.zeros(7))
+    scan = {
+        "toxicity": lambda: toxicity.keep_clean(df, model),
+        "near_duplicates": lambda: near_copies.sketches(df.toDF("key", "text")),
+        "decontamination": lambda: decontamination.keep_clean(df, items),
+    }[stage]()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(["ab" * 2000] * 5000)], ["doc_id", "text"])
+    peaks = []
+    for n in (1024, 1024, 5000):  # what is made once is there after the first
+        tracemalloc.start()
+        assert sum(b.num_rows for b in scan(iter([batch.slice(0, n)]))) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[2] < peaks[1] + 4_000_000
+
+
+def test_batches_are_small_while_it_runs(spark, tables, monkeypatch):
+    key, written, seen = corpus_pipeline.BATCH_KEY, corpus_pipeline.scratch.written, []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(corpus_pipeline.scratch, "written", lambda df, name: seen.append(int(spark.conf.get(key))) or written(df, name))
+    try:
+        for given, wanted in ((10_000, 512), (0, 512), (100, 100)):
+            spark.conf.set(key, given)
+            corpus_pipeline.in_small_batches(spark)
+            assert int(spark.conf.get(key)) == wanted
+        spark.conf.set(key, 9000)
+        assert corpus_pipeline.run(spark, tables).count() > 100
+        assert seen == [512] * 4 and spark.conf.get(key) == "9000"
+    finally:
+        spark.conf.set(key, before)
