@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -291,6 +292,30 @@ def test_toxicity_learns_from_all_labels(spark):
     assert shuffled.lexicon == model.lexicon and np.array_equal(shuffled.weights, model.weights)
 
 
+def test_toxicity_reads_few_texts_at_once(spark, toxic_docs):
+    """Scores of a batch of 10,000 rows come 512 rows at a time, whatever the session's batches."""
+    docs, labels = toxic_docs
+    model, seen = toxicity.fit(docs, labels), []
+
+    class Narrow:
+        """Stands for a DataFrame: keeps the function that its rows would go through."""
+
+        schema = spark.createDataFrame([], "doc_id long, text string, held_out boolean").schema
+
+        def __getitem__(self, name):
+            return F.col(name)
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10_000)), "text": ["you idiot moron", None] * 5000, "held_out": [False] * 10_000})
+            seen.extend(function(iter([batch])))
+
+    toxicity.score(Narrow(), model)
+    assert max(b.num_rows for b in seen) == 512 and [i for b in seen for i in b.column(0).to_pylist()] == list(range(10_000))
+
+
 def tokens_of(t):
     return re.findall("[a-z0-9\u0080-\U0010ffff]+", t.lower())
 
